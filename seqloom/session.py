@@ -20,3 +20,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Let this session's Python workers import the package from where the driver did, if nobody told them yet."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    told = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in told:
+        env["PYTHONPATH"] = os.pathsep.join([*told, root])
+    return spark
