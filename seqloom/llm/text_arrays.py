@@ -99,10 +99,10 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, size: int) -> list[np.nd
         if n >= size:
             out.append(np.unique(s[a : a + n - size + 1]))
         elif n:
-            whole = np.uint64(n)
-            for x in h[a : a + n]:
-                whole = mix(np.array([whole * np.uint64(0x9E3779B97F4A7C15) + x], np.uint64))[0]
-            out.append(np.array([whole], np.uint64))
+            whole = np.array([n], np.uint64)
+            for j in range(a, a + n):
+                whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + h[j : j + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
