@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import connected_components
-from seqloom.llm.groups import attach
+from seqloom.llm.groups import attach, batches_of
 from seqloom.llm.text_arrays import mix, runs, shingles, word_hashes, words
 from seqloom.storage import remove, store
 
@@ -30,10 +30,14 @@ from seqloom.storage import remove, store
 KEYED, LISTS = 96, 32
 #: Sets of so many shingles at most also stand under each single hash, since a differing one may break all their runs.
 SMALL = 16
-#: Hashes in a sketch (their upper 32 bits). Sets that fit are compared exactly, others pass with a margin of 4.5 standard deviations or more.
-SKETCH, MARGIN = 192, 0.13
+#: Hashes in a sketch (their upper 32 bits). Sets that fit are compared exactly, others pass with a margin of 4.4 standard deviations or more.
+SKETCH, MARGIN = 384, 0.09
 #: Classes of a list that are compared in one task; longer lists are cut into blocks.
 BLOCK = 2_500
+#: Pairs with their sets that go to a worker at once.
+WIDE_ROWS = 500
+#: Rows and sketch values that a comparison holds as a matrix at once.
+ROWS, COLUMNS = 512, 1024
 #: Bits of the filter that keeps texts without a partner out of the shuffle; a full filter only lets more texts through.
 FILTER_BITS = 1 << 23
 
@@ -214,12 +218,12 @@ def _cross(percent: int):
         row, column = row[by_column], column[by_column]
         width = int(column[-1]) + 1 if len(column) else 0
         out_a, out_b = [], []
-        for lo in range(0, len(a), 256):
-            some = a[lo : lo + 256]
+        for lo in range(0, len(a), ROWS):
+            some = a[lo : lo + ROWS]
             shared = np.zeros((len(some), len(z)), np.float32)
-            for c in range(0, width, 4096):
-                part = slice(*np.searchsorted(column, [c, c + 4096]))
-                hold = np.zeros((len(doc), min(4096, width - c)), np.float32)
+            for c in range(0, width, COLUMNS):
+                part = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+                hold = np.zeros((len(doc), min(COLUMNS, width - c)), np.float32)
                 hold[row[part], column[part] - c] = 1
                 shared += hold[some] @ hold[z].T
             upto_a = np.stack([np.searchsorted(sketch[i], ends[z], "right") for i in some])
@@ -258,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met = stars.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     passed = _with_both(met, sets, "n", "sketch").mapInArrow(_star_filter(percent), "a long, b long")
-    links = store(verified(passed), "star-links")
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        links = store(verified(passed), "star-links")
     comps = store(connected_components(links), "star-components")
     members = stars.select("key", "doc").distinct().join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     members = store(members, "members")
@@ -267,7 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = members.join(open_lists.select("key", "size"), "key").withColumn("block", F.pmod(F.hash("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "doc", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     crossed = dealt.join(sets.select("doc", "n", "sketch"), "doc").groupBy("key", "one", "two").applyInArrow(_cross(percent), "a long, b long")
-    more = store(verified(crossed.distinct()), "cross-links")
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        more = store(verified(crossed.distinct()), "cross-links")
     comps = store(connected_components(links.unionByName(more)), "components")
     placed = classes.select("sig", "times", "doc").join(comps, F.col("doc") == F.col("node"), "left").select("sig", "times", F.coalesce("component", "doc").alias("component"))
     remove(stars, sets, members)

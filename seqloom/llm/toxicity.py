@@ -3,8 +3,8 @@
 A lexicon of words and stems is learned from a bounded sample of labelled rows.
 Its trie, intersected with the automata of all strings one edit away, becomes one
 deterministic automaton that runs over all words of a batch at once. A hit counts
-for as much as such hits (same term, same number of edits, quoted or not) told in
-the sample, shifted by the words around it, and a text is judged by its plainest hit.
+for as much as such hits (same term, or same form one edit away from it; quoted or
+not) told in the sample, shifted by the words around it, and a text is judged by its plainest hit.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ STEMS = (4, 5, 6)
 FUZZY = 5
 LONGEST = 24
 #: A term is learned if it stands in toxic rows at least so far (in standard deviations) beyond chance, in so many
-#: families of texts (those that begin alike are one), and if so large a part of its rows is toxic.
-BEYOND, FAMILIES, PURITY = 4.5, 5, 0.8
+#: families of texts (those with the same smallest word hash are one, as near copies mostly are), and if so large a part of its rows is toxic.
+BEYOND, FAMILIES, PURITY = 4.5, 6, 0.8
 #: Words on each side of a hit that shift its score, and the buckets their hashes go to.
 WINDOW, BUCKETS = 4, 1 << 12
+#: Rows of the average toxic share that are added to a kind of hit's own: few rows prove little, and quoted hits,
+#: a kind of their own, are taken for harmless until seen otherwise. A quoted hit one edit away loses QUOTE_SHIFT.
+DOUBT, QUOTE_SHIFT = 8.0, 2.0
 #: A hit between quotation marks this many characters apart at most, on each side, is quoted.
 QUOTED = 80
 
@@ -197,7 +200,9 @@ class TermAutomaton:
 @dataclass(frozen=True)
 class ToxicityModel:
     automaton: TermAutomaton | None
-    hit_logit: np.ndarray  # of term * 4 + edits * 2 + quoted
+    hit_logit: np.ndarray  # of exact hits: term * 2 + quoted
+    forms: np.ndarray  # hashes of words known to be one edit away, sorted
+    form_logit: np.ndarray  # of each, and last of any other
     context: np.ndarray  # shift of each bucket of words near a hit
     without: float  # toxic share of texts without a hit
 
@@ -214,7 +219,7 @@ def _terms_of(w: Words, toxic: np.ndarray) -> dict:
             if STEMS[0] <= w.end[i] - w.start[i] <= LONGEST:
                 t = w.text(i)
                 seen.update((t + " ", *(t[:k] for k in STEMS if k < len(t))))
-        family = int(mix(np.array([sum(h[lo[r] : lo[r] + 4].tolist()) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] % np.uint64(63))
+        family = int(h[lo[r] : hi[r]].min() % np.uint64(63)) if hi[r] > lo[r] else 0
         for key in seen:
             e = found.setdefault(key, [0, 0, 0])
             e[1 - int(toxic[r])] += 1
@@ -266,43 +271,53 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     terms = learn_lexicon(sample, share) if toxic else []
     if not terms:
         remove(sample)
-        return ToxicityModel(None, np.zeros(0), np.zeros(BUCKETS), share)
+        return ToxicityModel(None, np.zeros(0), np.zeros(0, np.uint64), np.zeros(1), np.zeros(BUCKETS), share)
     automaton = TermAutomaton(terms)
 
     def tally(batches):
-        kinds = np.zeros((2, 4 * len(terms)), np.int64)
-        context = np.zeros((2, BUCKETS), np.int64)
-        clear = np.zeros(2, np.int64)
+        kinds, context, clear = np.zeros((2, 2 * len(terms)), np.int64), np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        forms: dict[int, list[int]] = {}
         for b in batches:
             label = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, buf, offs in runs(b.column("text")):
                 w = Words(buf, offs)
                 at, kind = automaton.hits(w)
-                row = w.row[at]
-                kind = kind * 2 + w.quoted(at)
-                pairs = np.unique(np.stack([row, kind], 1), axis=0)  # a row counts once for a kind of hit
+                row, exact = w.row[at], kind % 2 == 0
+                pairs = np.unique(np.stack([row, kind // 2 * 2 + w.quoted(at)], 1)[exact], axis=0)  # a row counts once for a kind of hit
                 np.add.at(kinds, (label[lo:hi][pairs[:, 0]], pairs[:, 1]), 1)
-                hit, bucket = w.windows(at)
-                np.add.at(context, (label[lo:hi][row[hit]], bucket), 1)
+                for r, h in set(zip(row[~exact].tolist(), w.hashes()[at[~exact]].tolist(), strict=True)):
+                    forms.setdefault(h, [0, 0])[int(label[lo + r])] += 1
+                hit, bucket = w.windows(at[exact])
+                np.add.at(context, (label[lo:hi][row[exact][hit]], bucket), 1)
                 without = np.ones(hi - lo, bool)
-                without[row] = False
+                without[row[exact]] = False
                 clear += np.bincount(label[lo:hi][without], minlength=2)
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]) for a in (kinds, context, clear)], names=["kinds", "context", "clear"])
+        seen = np.array([(h - (1 << 64) if h >> 63 else h, *n) for h, n in forms.items()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]) for a in (kinds, context, clear, seen)], names=["kinds", "context", "clear", "forms"])
 
-    got = sample.mapInArrow(tally, "kinds binary, context binary, clear binary").collect()  # one row a task of a bounded sample
+    got = sample.mapInArrow(tally, "kinds binary, context binary, clear binary, forms binary").collect()  # one row a task of a bounded sample
     kinds, context, clear = (sum(np.frombuffer(r[k], np.int64) for r in got) for k in range(3))
     remove(sample)
     kinds, context = kinds.reshape(2, -1).astype(float), context.reshape(2, -1).astype(float)
-    # what a kind of hit tells: pooled over terms first, then each term's own rows; quotation is taken for harmless until seen otherwise
-    pooled = np.array([[kinds[c, k::4].sum() for k in range(4)] for c in (0, 1)])
-    prior = np.array([0.9, 0.3, 0.5, 0.2])
-    pooled = (pooled[1] + 4 * prior) / (pooled.sum(0) + 4)
-    own = (kinds[1] + 4 * np.tile(pooled, len(terms))) / (kinds.sum(0) + 4)
+    own = (kinds[1] + DOUBT * share) / (kinds.sum(0) + DOUBT)
+    seen: dict[int, np.ndarray] = {}
+    for r in got:
+        for h, clean, bad in np.frombuffer(r.forms, np.int64).reshape(-1, 3):
+            seen[int(h) % (1 << 64)] = seen.get(int(h) % (1 << 64), 0) + np.array([clean, bad], float)
+    forms = np.array(sorted(seen), np.uint64)
+    n = np.array([seen[h] for h in sorted(seen)]).reshape(-1, 2)
+    once = n[n.sum(1) == 1].sum(0)
+    fresh = (once[1] + share) / (once.sum() + 1)  # a form never seen tells what the forms seen once told
+    known = (n[:, 1] + 2 * fresh) / (n.sum(1) + 2)
     shift = np.zeros(BUCKETS)
     if context[0].sum() >= 50:  # with hardly a harmless hit, its context can't be learned
         rate = (context + 1) / (context.sum(1, keepdims=True) + BUCKETS)
         shift = np.clip(np.log(rate[1] / rate[0]), -2, 2)
-    return ToxicityModel(automaton, np.log(own / (1 - own)), shift, (clear[1] + 0.5) / (clear.sum() + 1))
+    return ToxicityModel(automaton, _logit(own), forms, _logit(np.append(known, fresh)), shift, (clear[1] + 0.5) / (clear.sum() + 1))
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
 
 
 def score(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
@@ -315,7 +330,14 @@ def score(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
         at, kind = model.automaton.hits(w)
         if not len(at):
             continue
-        logit = model.hit_logit[kind * 2 + w.quoted(at)].copy()
+        quoted, fuzzy = w.quoted(at), kind % 2 == 1
+        logit = model.hit_logit[kind // 2 * 2 + quoted]
+        h = w.hashes()[at[fuzzy]]
+        place = np.searchsorted(model.forms, h)
+        same = place < len(model.forms)
+        same[same] = model.forms[place[same]] == h[same]
+        form = np.minimum(model.form_logit[np.where(same, place, -1)], model.hit_logit[kind[fuzzy] // 2 * 2] - 1)  # an edit proves less than the term itself
+        logit[fuzzy] = form - QUOTE_SHIFT * quoted[fuzzy]
         hit, bucket = w.windows(at)
         near = np.bincount(hit, minlength=len(at))
         logit += np.bincount(hit, model.context[bucket], len(at)) / np.maximum(near, 1)
