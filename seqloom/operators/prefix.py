@@ -16,7 +16,7 @@ from seqloom.storage import store
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Add ``out`` (long): the sum of ``value`` over all rows that sort before this one.
+    """Add ``out``: the sum of ``value`` (long, or double where that is its type) over all rows that sort before this one.
 
     Rows are dealt into ranges of ``order`` (ascending, nulls first), summed
     inside each range, and shifted by the totals of the ranges before, of which
@@ -27,22 +27,24 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, partiti
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([*df.schema.fields, T.StructField("_sl_part", T.IntegerType()), T.StructField("_sl_before", T.LongType())])
+    kind = T.DoubleType() if isinstance(df.schema[value].dataType, T.DoubleType) else T.LongType()
+    arrow = pa.float64() if isinstance(kind, T.DoubleType) else pa.int64()
+    schema = T.StructType([*df.schema.fields, T.StructField("_sl_part", T.IntegerType()), T.StructField("_sl_before", kind)])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
         for b in batches:
-            v = b.column(value).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            v = b.column(value).cast(arrow).fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(v) + total
             names = [*b.schema.names, "_sl_part", "_sl_before"]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), part, np.int32)), pa.array(ends - v)], names=names)
-            total = int(ends[-1]) if len(v) else total
+            total = ends[-1] if len(v) else total
 
     ranged = df.repartitionByRange(n, *[F.col(c) for c in order]).sortWithinPartitions(*order)
     summed = store(ranged.mapInArrow(inside, schema), "ranges")
-    ends = summed.groupBy("_sl_part").agg(F.max(F.col("_sl_before") + F.coalesce(F.col(value).cast("long"), F.lit(0))).alias("_sl_end"))
+    ends = summed.groupBy("_sl_part").agg(F.max(F.col("_sl_before") + F.coalesce(F.col(value).cast(kind), F.lit(0).cast(kind))).alias("_sl_end"))
     before = Window.orderBy("_sl_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ends.select("_sl_part", F.coalesce(F.sum("_sl_end").over(before), F.lit(0)).alias("_sl_shift"))
+    shift = ends.select("_sl_part", F.coalesce(F.sum("_sl_end").over(before), F.lit(0).cast(kind)).alias("_sl_shift"))
     return (
         summed.join(F.broadcast(shift), "_sl_part")
         .withColumn(out, F.col("_sl_before") + F.col("_sl_shift"))

@@ -28,3 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from seqloom.plans import load  # noqa: E402, F401  registers the queries
