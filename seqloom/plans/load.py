@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from seqloom.plans import sequences  # noqa: F401
+from seqloom.plans import sequences, texts, vectors  # noqa: F401
