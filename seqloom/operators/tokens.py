@@ -14,8 +14,9 @@ def run_tokens(frames: DataFrame, part: str = "rec", order: str = "t", symbol: s
     w = Window.partitionBy(part).orderBy(order)
     turn = F.when(F.lag(symbol).over(w).eqNullSafe(F.col(symbol)), 0).otherwise(1)
     runs = frames.withColumn("_turn", turn).withColumn("run", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    rest = [F.first(c).alias(c) for c in frames.columns if c not in (part, order, symbol)]
-    out = runs.groupBy(part, "run").agg(F.first(symbol).alias(symbol), F.min(order).cast("long").alias("start"), (F.max(order) + 1).cast("long").alias("stop"), *rest)
+    # a run has one symbol; min, unlike first, lets filters on the part pass through to the scan
+    rest = [F.min(c).alias(c) for c in frames.columns if c not in (part, order, symbol)]
+    out = runs.groupBy(part, "run").agg(F.min(symbol).alias(symbol), F.min(order).cast("long").alias("start"), (F.max(order) + 1).cast("long").alias("stop"), *rest)
     name = F.col("cls") if "cls" in frames.columns else F.col(symbol).cast("string")
     length = F.col("stop") - F.col("start")
     return out.withColumn("cls", F.when(F.col(symbol) == 0, silence_class(length, short, middle)).otherwise(name))
@@ -27,7 +28,7 @@ def merge_annotations(df: DataFrame, part: str, start: str = "start", stop: str
     joins = (F.col(start) <= F.lag(stop).over(w)) & (F.col(label) == F.lag(label).over(w))
     islands = df.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last = F.max_by(stop, F.struct(start, stop))  # the last row's end, not the furthest
-    return islands.groupBy(part, "island").agg(F.min(start).alias(start), last.alias(stop), F.first(label).alias(label), F.sum(value).alias(value))
+    return islands.groupBy(part, "island").agg(F.min(start).alias(start), last.alias(stop), F.min(label).alias(label), F.sum(value).alias(value))
 
 
 def postings(sequences: DataFrame, grams, seq_id: str = "seq_id", name: str = "gram") -> DataFrame:

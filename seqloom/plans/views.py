@@ -31,10 +31,10 @@ def _case(column, values: dict, kind: str):
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec (user), t (frame from 0), cid, cls, value."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("rec").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "rec")
     kind = F.col("event_type")
-    return e.select(F.col("user_id").alias("rec"), (F.row_number().over(w) - 1).cast("long").alias("t"), _case(kind, {k: v[0] for k, v in CLASSES.items()}, "long").alias("cid"), _case(kind, {k: v[1] for k, v in CLASSES.items()}, "string").alias("cls"), "value")
+    return e.select("rec", (F.row_number().over(w) - 1).cast("long").alias("t"), _case(kind, {k: v[0] for k, v in CLASSES.items()}, "long").alias("cid"), _case(kind, {k: v[1] for k, v in CLASSES.items()}, "string").alias("cls"), "value")
 
 
 FRAMES = """frames AS (

@@ -98,8 +98,9 @@ def joined(parts: DataFrame, group: str, order: str, samples: str = "samples", g
     g = parts.groupBy(group).agg(listed.alias("parts"))
     zero = F.array_repeat(F.lit(0).cast("long"), gap)
     laid = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["x"]).otherwise(F.concat(zero, p["x"]))))
-    spans = F.aggregate("parts", F.array().cast("array<struct<start:long,stop:long>>"), lambda a, p: F.array_append(a, F.struct((F.coalesce(F.element_at(F.slice(a["stop"], -1, 1), 1) + gap, F.lit(0).cast("long"))).alias("start"), (F.coalesce(F.element_at(F.slice(a["stop"], -1, 1), 1) + gap, F.lit(0).cast("long")) + F.size(p["x"])).alias("stop"))))
-    return g.select(group, laid.alias("samples"), F.when(F.size("parts") > 0, spans).alias("spans"))
+    begin = lambda a: F.coalesce(F.get(F.slice(a["stop"], -1, 1), F.lit(0)) + gap, F.lit(0).cast("long"))
+    spans = F.aggregate("parts", F.array().cast("array<struct<start:long,stop:long>>"), lambda a, p: F.array_append(a, F.struct(begin(a).alias("start"), (begin(a) + F.size(p["x"])).alias("stop"))))
+    return g.select(group, laid.alias("samples"), spans.alias("spans"))
 
 
 def spectrogram(samples: np.ndarray, window: int = WINDOW, step: int = STEP, low: int = LOW, high: int = HIGH, normalise: bool = True) -> np.ndarray:
