@@ -62,16 +62,16 @@ def _counts(texts: pa.Array) -> np.ndarray:
     return total[:BUCKETS]
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS, partitions: int = 12) -> LanguageModel:
-    """Fit on about ``sample_rows`` rows with text and language, chosen by a hash of the text.
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, partitions: int = 12) -> LanguageModel:
+    """Fit on about ``sample_rows`` rows with text and language, chosen by a hash of the id, so that copies are drawn each for itself.
 
     Rows with a null language or text teach nothing. Without any row to learn
     from, the model has no language and every text stays undetermined.
     """
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     n = known.select("lang").count()
     if n > sample_rows:
-        known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
+        known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample_rows: in
         return pd.DataFrame({"lang": [part["lang"].iloc[0]], "rows": [int(part["rows"].sum())], "sums": [total.tobytes()]})
 
     schema = "lang string, rows long, sums binary"
-    got = known.repartition(partitions).mapInArrow(count, schema).groupBy("lang").applyInPandas(add, schema).collect()
+    got = known.select("lang", "text").repartition(partitions).mapInArrow(count, schema).groupBy("lang").applyInPandas(add, schema).collect()
     got.sort(key=lambda r: r.lang)
     if not got:
         return LanguageModel([], np.zeros(0), np.zeros((BUCKETS + 1, 0), np.float32))
@@ -152,6 +152,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     a null id isn't held out. Repeated rows repeat; an empty table stays empty.
     """
     spark = docs.sparkSession
-    model = fit(docs.filter(~held_out(id_col)), lang_col, text_col)
+    model = fit(docs.filter(~held_out(id_col)), lang_col, text_col, id_col)
     found = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), language(F.col(text_col), model, spark).alias("_found"))
     return found.select(id_col, "held_out", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
