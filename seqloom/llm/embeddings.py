@@ -25,6 +25,8 @@ PIVOTS, SAMPLE = 256, 2_048
 PREFIX, SHARED = 8, 3
 #: Lists with more vectors are compared block by block.
 BLOCK = 1_000
+#: Groups of so many vectors at most are compared together with others, larger ones each as a matrix.
+SMALL = 24
 
 
 def usable(vector: str):
@@ -104,44 +106,105 @@ def pivot_lists(vectors: DataFrame, pivots: np.ndarray, shared: int = SHARED) ->
     return vectors.mapInArrow(index, "list long, vec long, times long, perm binary")
 
 
-def _verify(threshold: float, shared: int):
-    def verify(table: pa.Table) -> pa.Table:
-        """One list, or two blocks of one: links of each vector that are counted here, and the smallest vector it reaches here."""
-        vec, times = table["vec"].to_numpy(), table["times"].to_numpy()
-        block = table["block"].to_numpy()
-        perms = np.frombuffer(b"".join(table["perm"].to_pylist()), np.int16).reshape(len(vec), -1)
-        number, pair = table["list"][0].as_py() // 4096, (table["one"][0].as_py(), table["two"][0].as_py())
-        digits = []
-        for _ in range(min(shared, perms.shape[1])):
-            digits.append(number % 1024)
-            number //= 1024
-        ((at, x),) = _vectors(table["embedding"])
-        x = unit(x)
-        a, z = np.flatnonzero(block == pair[0]), np.flatnonzero(block == pair[1])
-        linked = x[a] @ x[z].T >= threshold
-        linked &= vec[a][:, None] != vec[z]
-        # the first list of a pair holds the smallest of its shared pivots: none below this list's largest is shared besides them
-        top = max(digits)
-        below = np.zeros((len(vec), top + 1), np.float32)
-        r, c = np.nonzero(perms <= top)
-        below[r, perms[r, c]] = 1
-        linked &= below[a] @ below[z].T == len(digits)
-        links = np.zeros(len(vec), np.int64)
-        links[a] += linked @ times[z]
-        if pair[0] != pair[1]:
-            links[z] += linked.T @ times[a]
-        root = vec.copy()
-        while True:
-            new = root.copy()
-            big = np.iinfo(np.int64).max
-            if linked.size:
-                new[a] = np.minimum(new[a], np.where(linked, root[z], big).min(1))
-                new[z] = np.minimum(new[z], np.where(linked, new[a][:, None], big).min(0))
-            if (new == root).all():
-                break
-            root = new
-        keep = links > 0
-        return pa.table({"vec": vec[keep], "links": links[keep], "root": root[keep]})
+class _Rows:
+    """Sorted rows of some lists, with vectors of one length."""
+
+    def __init__(self, table: pa.Table, at: np.ndarray, x: np.ndarray):
+        take = lambda c: table[c].to_numpy()[at]
+        self.vec, self.times, self.block = take("vec"), take("times"), take("block")
+        self.list, self.one, self.two = take("list"), take("one"), take("two")
+        self.perm = np.frombuffer(b"".join(table["perm"].to_pylist()), np.int16).reshape(table.num_rows, -1)[at]
+        self.x = unit(x)
+
+    def top(self, i):
+        """Largest pivot of a row's list: the last digit of its number."""
+        return self.list[i] // 4096 % 1024
+
+
+def _few(r: _Rows, start: np.ndarray, size: np.ndarray, threshold: float, shared: int):
+    """Links of many small groups at once: rows are compared with the row d places on, for every d inside a group."""
+    group = np.repeat(np.arange(len(size)), size)
+    rows = np.repeat(start, size) + np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+    out = []
+    for d in range(1, int(size.max()) if len(size) else 0):
+        at = np.flatnonzero(group[:-d] == group[d:])
+        i, j = rows[at], rows[at + d]
+        split = r.one[i] != r.two[i]  # of two blocks, only pairs across count
+        ok = ~(split & (r.block[i] == r.block[j]))
+        i, j = i[ok], j[ok]
+        near = np.einsum("ij,ij->i", r.x[i], r.x[j]) >= threshold
+        i, j = i[near], j[near]
+        below = r.perm[i][:, :, None] <= r.top(i)[:, None, None]
+        both = ((r.perm[i][:, :, None] == r.perm[j][:, None, :]) & below).sum((1, 2))
+        first = (both == min(shared, r.perm.shape[1])) & (r.vec[i] != r.vec[j])
+        i, j = i[first], j[first]
+        low = np.minimum(r.vec[i], r.vec[j])
+        out += [(r.vec[i], r.times[j], low), (r.vec[j], r.times[i], low)]
+    return out
+
+
+def _many(r: _Rows, at: np.ndarray, threshold: float, shared: int):
+    """Links of one group as a matrix; of its links only a spanning forest is handed on, with the number of links of each vector."""
+    vec, times, block, x, perm = r.vec[at], r.times[at], r.block[at], r.x[at], r.perm[at]
+    one, two = r.one[at[0]], r.two[at[0]]
+    a, z = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    linked = x[a] @ x[z].T >= threshold
+    linked &= vec[a][:, None] != vec[z]
+    # the first list of a pair holds the smallest of its shared pivots: none up to this list's largest is shared besides them
+    top = int(r.top(at[:1])[0])
+    below = np.zeros((len(vec), top + 1), np.float32)
+    row, col = np.nonzero(perm <= top)
+    below[row, perm[row, col]] = 1
+    linked &= below[a] @ below[z].T == min(shared, perm.shape[1])
+    links = np.zeros(len(vec), np.int64)
+    links[a] += linked @ times[z]
+    if one != two:
+        links[z] += linked.T @ times[a]
+    root, big = vec.copy(), np.iinfo(np.int64).max
+    while linked.size:
+        new = root.copy()
+        new[a] = np.minimum(new[a], np.where(linked, root[z], big).min(1))
+        new[z] = np.minimum(new[z], np.where(linked, new[a][:, None], big).min(0))
+        if (new == root).all():
+            break
+        root = new
+    keep = links > 0
+    return [(vec[keep], links[keep], root[keep])]
+
+
+def _verified(threshold: float, shared: int):
+    """Verify lists that come sorted by list and block pair; a list's rows are held until its last one has come."""
+
+    def whole_groups(table: pa.Table):
+        for at, x in _vectors(table["embedding"]):
+            r = _Rows(table, at, x)
+            edge = np.flatnonzero((np.diff(r.list) != 0) | (np.diff(r.one) != 0) | (np.diff(r.two) != 0)) + 1
+            start = np.concatenate([[0], edge])
+            size = np.diff(np.append(start, len(at)))
+            small = size <= SMALL
+            out = _few(r, start[small], size[small], threshold, shared)
+            for s, n in zip(start[~small], size[~small], strict=True):
+                out += _many(r, np.arange(s, s + n), threshold, shared)
+            if out:
+                vec, links, root = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(vec), pa.array(links), pa.array(root)], names=["vec", "links", "root"])
+
+    def verify(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in ("list", "one", "two")])
+            last = np.flatnonzero((keys != keys[:, -1:]).any(0))
+            cut = int(last[-1]) + 1 if len(last) else 0  # where the batch's last group begins
+            if held and (cut or tuple(held[-1].column(c)[-1].as_py() for c in ("list", "one", "two")) != tuple(int(k) for k in keys[:, 0])):
+                yield from whole_groups(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from whole_groups(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield from whole_groups(pa.Table.from_batches(held))
 
     return verify
 
@@ -166,8 +229,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         met = met.select("list", "vec", "times", "perm", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
         full = met.join(classes.select("vec", "embedding"), "vec")
-        found = full.groupBy("list", "one", "two").applyInArrow(_verify(threshold, shared), "vec long, links long, root long")
-        found = store(found, "found")
+        ordered = full.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two")
+        found = store(ordered.mapInArrow(_verified(threshold, shared), "vec long, links long, root long"), "found")
         links = found.groupBy("vec").agg(F.sum("links").alias("links"))
         comps = connected_components(found.filter("vec <> root"), "vec", "root")
         classes = classes.drop("embedding").join(links, "vec", "left").join(comps, F.col("vec") == F.col("node"), "left")
