@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import sequences as fs
-from seqloom.operators import search, tokens, windows
+from seqloom.operators import labels, search, tokens, windows
 from seqloom.plans import query
 from seqloom.plans.views import FRAMES, GRAMS, SEQUENCES, TOKENS, event_sequences, frames, queries_of, table
 from seqloom.plans.views import tokens as token_view
@@ -326,3 +326,24 @@ def event_session(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     g = e.groupBy("user_id", F.session_window("ts", "12 hours")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.unix_seconds("session_window.start").alias("start"), "n")
+
+
+@query(
+    "gapped_ngrams",
+    f"""WITH {TOKENS}, w AS (SELECT rec, start, array_to_string(list(cls) OVER p, '_') AS gram, max(stop) OVER p AS stop, avg(1.0 / (stop - start)) OVER p AS prob, count(*) OVER p AS n FROM tokens
+WINDOW p AS (PARTITION BY rec ORDER BY start ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) SELECT rec, gram, start, stop, round(prob, 6) AS prob FROM w WHERE n = 3 AND prob >= 0.75""",
+)
+def gapped_ngrams(spark, sf):
+    """Trigrams of tokens that are likely on average."""
+    t = token_view(spark, sf).withColumn("prob", 1 / (F.col("stop") - F.col("start")))
+    return labels.gapped_ngrams(t, 3, "rec", 0.75, 1).withColumn("prob", F.round("prob", R)).select("rec", "gram", "start", "stop", "prob")
+
+
+@query(
+    "region_windows",
+    """SELECT doc_id, CAST(0 AS BIGINT) AS start, n_chars AS stop FROM documents WHERE lang = 'en'
+UNION ALL SELECT doc_id, unnest(e) - 400, unnest(e) FROM (SELECT doc_id, range(400, n_chars, 200) AS e FROM documents WHERE n_chars > 400 AND lang IS DISTINCT FROM 'en')""",
+)
+def region_windows(spark, sf):
+    """Regions of one class stay whole, others become half-overlapping windows."""
+    return labels.rewindow(table(spark, sf, "documents").select("doc_id", "n_chars", "lang"), "n_chars", F.col("lang") == "en", 400).select("doc_id", "start", "stop")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import vectors as fv
-from seqloom.operators import clustering
+from seqloom.operators import clustering, labels
 from seqloom.operators.distance import dtw
 from seqloom.operators.pairs import against, in_interval, triplets
 from seqloom.operators.series_index import SeriesIndex, votes
@@ -370,3 +370,13 @@ def greedy_chain(spark, sf):
     d, out = _centres(spark, sf)
     of = spark.createDataFrame([(c, i) for i, c in enumerate(clustering.nearest_chain(d))], "cluster long, place long")
     return out.join(F.broadcast(of), "cluster").select("ts_id", "cluster", "place")
+
+
+@query(
+    "balanced_sample",
+    f"""WITH {SERIES}, r AS (SELECT ts_id, label, row_number() OVER (PARTITION BY label ORDER BY ts_id * 2654435761 % 4294967296, ts_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM series),
+d AS (SELECT label, unnest(range(50)) AS draw FROM (SELECT DISTINCT label FROM series)) SELECT d.label, d.draw, r.ts_id FROM d JOIN r ON r.label = d.label AND r.r = d.draw % r.n""",
+)
+def balanced_sample(spark, sf):
+    """Fifty draws with replacement from each label, a sampling operator."""
+    return labels.balanced(series(spark, sf).select("ts_id", "label"), "label", "ts_id", 50).select("label", "draw", "ts_id")
