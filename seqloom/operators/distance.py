@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pairs in one matrix.
-PAIRS = 512
+#: Cells of all pairs' matrices held at once.
+CELLS = 1 << 20
 
 
 def _band(n: np.ndarray, m: np.ndarray, part: float) -> np.ndarray:
@@ -20,26 +21,45 @@ def _band(n: np.ndarray, m: np.ndarray, part: float) -> np.ndarray:
     return np.maximum((np.maximum(n, m) * part).astype(np.int64), np.abs(n - m)) + 2
 
 
-def _padded(lists: list[np.ndarray], fill) -> np.ndarray:
-    out = np.full((len(lists), max(1, max(map(len, lists), default=1)), *lists[0].shape[1:]), fill, dtype=lists[0].dtype)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
-    return out
-
-
-def _programme(cost: np.ndarray, n: np.ndarray, m: np.ndarray, width: np.ndarray | None, gap: float) -> np.ndarray:
-    """End value of each pair: borders are infinite but for the corner; a step aside costs ``gap`` (edit distance) or the cell's cost plus ``gap``."""
+def _matrix(column: pa.Array, values: np.ndarray, fill, dim: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(rows padded to the longest with ``fill``, number of places of each row) of a list column whose flat values are ``values``."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) // dim
+    ends = np.cumsum(n * dim)
+    width = int(n.max(initial=0))
+    place = np.arange(width * dim)
+    at = (ends - n * dim)[:, None] + place
+    inside = place < (n * dim)[:, None]
+    out = np.where(inside, values[np.minimum(at, max(len(values) - 1, 0))] if len(values) else fill, fill)
+    return out.reshape(len(n), width, dim), n
+
+
+def _runs(n: np.ndarray, m: np.ndarray):
+    """Pairs with places on both sides, in groups of like size so that CELLS cells are enough."""
+    full = np.flatnonzero((n > 0) & (m > 0))
+    full = full[np.argsort(n[full] * (1 << 20) + m[full], kind="stable")]
+    lo = 0
+    while lo < len(full):
+        cells = np.maximum.accumulate(n[full[lo:]]) * np.maximum.accumulate(m[full[lo:]]) * np.arange(1, len(full) - lo + 1)
+        hi = lo + max(1, int(np.searchsorted(cells, CELLS, "right")))
+        yield full[lo:hi]
+        lo = hi
+
+
+def _programme(cost: np.ndarray, n: np.ndarray, m: np.ndarray, width: np.ndarray | None, gap: float | None) -> np.ndarray:
+    """End value of each pair: borders are infinite but for the corner; a step aside costs one (no ``gap``: edit distance) or the cell's cost plus ``gap``."""
     b, rows, cols = cost.shape
-    prev = np.full((b, cols + 1), np.inf)
-    prev[:, 0] = 0
+    cost = np.ascontiguousarray(cost.transpose(1, 2, 0))  # a cell's values lie together
+    prev = np.full((cols + 1, b), np.inf)
+    prev[0] = 0
     out = np.full(b, np.nan)
+    reach = cols + rows if width is None else int(width.max())
     for i in range(1, rows + 1):
-        row = np.full((b, cols + 1), np.inf)
-        for j in range(1, cols + 1):
-            v = _cell(cost[:, i - 1, j - 1], prev[:, j - 1], prev[:, j], row[:, j - 1], gap)
-            row[:, j] = v if width is None else np.where((j >= i - width) & (j < i + width), v, np.inf)
-        done = n == i
-        out[done] = row[done, m[done]]
+        row = np.full((cols + 1, b), np.inf)
+        for j in range(max(1, i - reach), min(cols + 1, i + reach)):
+            v = _cell(cost[i - 1, j - 1], prev[j - 1], prev[j], row[j - 1], gap)
+            row[j] = v if width is None else np.where((j >= i - width) & (j < i + width), v, np.inf)
+        done = np.flatnonzero(n == i)
+        out[done] = row[m[done], done]
         prev = row
     return out
 
@@ -50,38 +70,41 @@ def _cell(cost, both, up, left, gap):
     return cost + np.minimum(np.minimum(up, left) + gap, both)
 
 
-def edit_distances(x: list, y: list, band: float = 0.1) -> np.ndarray:
+def edit_distances(x, y, band: float = 0.1) -> np.ndarray:
     """Anchored, banded edit distance over the product of lengths: the first symbols are always aligned with each other. Null or empty: NaN."""
-    out = np.full(len(x), np.nan)
-    codes: dict = {}
-    full = [i for i in range(len(x)) if x[i] and y[i]]
-    for lo in range(0, len(full), PAIRS):
-        at = full[lo : lo + PAIRS]
-        a, c = ([np.array([codes.setdefault(s, len(codes)) for s in side[i]], np.int64) for i in at] for side in (x, y))
-        n, m = np.array([len(v) for v in a]), np.array([len(v) for v in c])
-        cost = (_padded(a, -1)[:, :, None] != _padded(c, -2)[:, None, :]).astype(float)
-        out[at] = _programme(cost, n, m, _band(n, m, band), None) / (n * m)
+    x, y = (v if isinstance(v, pa.Array) else pa.array(v, pa.list_(pa.string())) for v in (x, y))
+    fx, fy = x.flatten(), y.flatten()
+    codes = pa.concat_arrays([fx, fy]).dictionary_encode().indices.fill_null(-3).to_numpy(zero_copy_only=False)
+    a, n = _matrix(x, codes[: len(fx)], -1)
+    c, m = _matrix(y, codes[len(fx) :], -2)
+    out = np.full(len(n), np.nan)
+    for at in _runs(n, m):
+        rows, cols = n[at].max(), m[at].max()
+        cost = (a[at, :rows] != c[at, :cols].transpose(0, 2, 1)).astype(float)
+        out[at] = _programme(cost, n[at], m[at], _band(n[at], m[at], band), None) / (n[at] * m[at])
     return out
 
 
-def warped_distances(x: list[np.ndarray], y: list[np.ndarray], dim: int = 1, squared: bool = True, band: float = 0.1, gap: float = 0.0) -> np.ndarray:
+def warped_distances(x, y, dim: int = 1, squared: bool = True, band: float = 0.1, gap: float = 0.0) -> np.ndarray:
     """Dynamic time warping of row-major series with ``dim`` channels.
 
     ``squared``: squared Euclidean cost, no band, no normalisation. Otherwise root
     cost, banded, over the product of lengths. An empty series gives NaN.
     """
-    out = np.full(len(x), np.nan)
-    full = [i for i in range(len(x)) if len(x[i]) >= dim and len(y[i]) >= dim]
-    for lo in range(0, len(full), PAIRS):
-        at = full[lo : lo + PAIRS]
-        a, c = ([np.asarray(side[i], np.float64).reshape(-1, dim) for i in at] for side in (x, y))
-        n, m = np.array([len(v) for v in a]), np.array([len(v) for v in c])
-        d = _padded(a, 0.0)[:, :, None, :] - _padded(c, 0.0)[:, None, :, :]
-        cost = (d * d).sum(3)
+    x, y = (v if isinstance(v, pa.Array) else pa.array([np.asarray(s, np.float64) for s in v], pa.list_(pa.float64())) for v in (x, y))
+    a, n = _matrix(x, x.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), 0.0, dim)
+    c, m = _matrix(y, y.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), 0.0, dim)
+    out = np.full(len(n), np.nan)
+    for at in _runs(n, m):
+        rows, cols = n[at].max(), m[at].max()
+        cost = np.zeros((len(at), rows, cols))
+        for k in range(dim):
+            d = a[at, :rows, k][:, :, None] - c[at, :cols, k][:, None, :]
+            cost += d * d
         if squared:
-            out[at] = _programme(cost, n, m, None, 0.0)
+            out[at] = _programme(cost, n[at], m[at], None, 0.0)
         else:
-            out[at] = _programme(np.sqrt(cost), n, m, _band(n, m, band), gap) / (n * m)
+            out[at] = _programme(np.sqrt(cost), n[at], m[at], _band(n[at], m[at], band), gap) / (n[at] * m[at])
     return out
 
 
@@ -90,7 +113,7 @@ def edit_distance(x: Column, y: Column, band: float = 0.1) -> Column:
 
     @F.arrow_udf("double")
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(edit_distances(a.to_pylist(), b.to_pylist(), band), from_pandas=True)
+        return pa.array(edit_distances(a, b, band), from_pandas=True)
 
     return distance(x, y)
 
@@ -100,8 +123,7 @@ def dtw(x: Column, y: Column, dim: int = 1, squared: bool = True, band: float =
 
     @F.arrow_udf("double")
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        series = [[np.asarray(v if v is not None else [], np.float64) for v in c.to_pylist()] for c in (a, b)]
-        return pa.array(warped_distances(*series, dim, squared, band, gap), from_pandas=True)
+        return pa.array(warped_distances(a, b, dim, squared, band, gap), from_pandas=True)
 
     return distance(x, y)
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.storage import store
+
 
 def gram_counts(sequences: DataFrame, label: str, grams: Column) -> DataFrame:
     """label, gram, n."""
@@ -16,6 +18,7 @@ def gram_counts(sequences: DataFrame, label: str, grams: Column) -> DataFrame:
 
 def frequencies(counts: DataFrame, support: int = 3) -> DataFrame:
     """label, gram, freq over grams with ``support`` occurrences in all labels together; a label's frequencies add to 1."""
+    counts = store(counts, "gram-counts")  # read three times
     kept = counts.groupBy("gram").agg(F.sum("n").alias("all")).filter(F.col("all") >= support)
     sums = counts.join(kept, "gram").groupBy("label").agg(F.sum("n").alias("total"))
     return counts.join(kept, "gram").join(sums, "label").select("label", "gram", (F.col("n") / F.col("total")).alias("freq"))

@@ -15,6 +15,7 @@ from seqloom.operators.statistics import confusion, dampener_sweep
 from seqloom.plans import query
 from seqloom.plans.views import FRAMES, SERIES, TOKENS, frames, queries_of, series, table
 from seqloom.plans.views import tokens as token_view
+from seqloom.storage import store
 
 R, DIM = 6, 4  # places of rounded doubles; channels of a series, 16 frames long
 
@@ -72,7 +73,7 @@ def neardup_topk(spark, sf):
     """Of series whose lengths differ by less than five frames, the ten nearest below the median of all distances."""
     s = series(spark, sf).withColumn("frames", F.size("ts") / DIM)
     met = against(queries_of(s, "ts_id"), s, "ts_id", "frames", 5).filter("q_ts_id <> s_ts_id")
-    d = _ids(met, dtw(F.col("q_ts"), F.col("s_ts"), DIM, squared=False, band=0.01).alias("dist"))
+    d = store(_ids(met, dtw(F.col("q_ts"), F.col("s_ts"), DIM, squared=False, band=0.01).alias("dist")), "distances")  # read twice
     near = d.crossJoin(F.broadcast(d.agg(F.percentile("dist", 0.5).alias("edge")))).filter("dist < edge")  # one row
     w = Window.partitionBy("q").orderBy("dist", "s")
     return near.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10").select("q", "s", F.round("dist", R).alias("dist"), "rank")
