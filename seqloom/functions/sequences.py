@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 def ngrams(symbols: Column, n: int = 2, sep: str = "", include_tail: bool = False) -> Column:
     """Joined runs of ``n`` symbols, in order. Unless asked, the last symbol of a sequence is in none of them."""
     last = F.size(symbols) - n + (1 if include_tail else 0)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(symbols, i, n), sep))).otherwise(F.array().cast("array<string>"))
+    symbols = F.transform(symbols, lambda x: F.coalesce(x, F.lit(""))) if n == 1 else symbols
+    grams = F.slice(symbols, F.lit(1), last)
+    for j in range(1, n):  # one pass for each further symbol, rather than a slice for each gram
+        grams = F.zip_with(grams, F.slice(symbols, F.lit(1 + j), last), lambda a, b: F.concat_ws(sep, a, b))
+    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
 def phrases(symbols: Column, longest: int = 7, sep: str = " ", include_tail: bool = False) -> Column:
