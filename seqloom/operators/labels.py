@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.operators.prefix import rank_in
 from seqloom.operators.windows import sliding
 
 
@@ -49,8 +50,7 @@ def rasterise(spans: DataFrame, frames: str, labels: str = "labels") -> DataFram
 
 def balanced(df: DataFrame, label: str, key: str, n: int, seed: int = 2_654_435_761) -> DataFrame:
     """``n`` rows of each label with replacement: the k-th draw of a label is its row k modulo its size, in a mixed order."""
-    order = Window.partitionBy(label).orderBy(F.pmod(F.col(key) * seed, F.lit(1 << 32)), key)
-    ranked = df.withColumn("_r", (F.row_number().over(order) - 1).cast("long"))
+    ranked = rank_in(df.withColumn("_mixed", F.pmod(F.col(key) * seed, F.lit(1 << 32))), label, ["_mixed", key], "_r").drop("_mixed")
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("draw", F.col("draw").cast("long"))
     draws = draws.withColumn("_r", F.col("draw") % F.col("_n")).drop("_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.prefix import rank_in
+
 #: Queries that meet a row in one block.
 PER_BLOCK = 256
 
@@ -48,7 +50,7 @@ def triplets(df: DataFrame, key: str, label: str, seed: int = 2_654_435_761) ->
     from pyspark.sql.window import Window
 
     mixed = F.pmod(F.col(key) * seed, F.lit(1 << 32))
-    r = df.select(F.col(key).alias("id"), F.col(label).alias("label"), (F.row_number().over(Window.partitionBy(label).orderBy(mixed, key)) - 1).cast("long").alias("r"))
+    r = rank_in(df.select(F.col(key).alias("id"), F.col(label).alias("label"), mixed.alias("_mixed")), "label", ["_mixed", "id"], "r").drop("_mixed")
     sizes = r.groupBy("label").agg(F.count("*").alias("n"))
     ring = sizes.withColumn("next", F.coalesce(F.lead("label").over(Window.orderBy("label")), F.first("label").over(Window.orderBy("label"))))  # a row for each label
     ring = ring.join(sizes.select(F.col("label").alias("next"), F.col("n").alias("next_n")), "next")

@@ -50,3 +50,20 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, partiti
         .withColumn(out, F.col("_sl_before") + F.col("_sl_shift"))
         .drop("_sl_part", "_sl_before", "_sl_shift")
     )
+
+
+def running_total_in(df: DataFrame, part: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the same ``part`` that sort before this one.
+
+    The order runs over all parts, so a part with a third of all rows is dealt over
+    many ranges; a part's total starts where the parts before it end.
+    """
+    stored = store(df, "parts")
+    total = running_total(stored, [part, *order], value, "_sl_all")
+    starts = total.groupBy(F.col(part).alias("_sl_of")).agg(F.min("_sl_all").alias("_sl_first"))
+    return total.join(starts, F.col(part).eqNullSafe(F.col("_sl_of"))).withColumn(out, F.col("_sl_all") - F.col("_sl_first")).drop("_sl_all", "_sl_of", "_sl_first")
+
+
+def rank_in(df: DataFrame, part: str, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the rank from 0 among the rows of the same ``part``; ``order`` should leave no ties."""
+    return running_total_in(df.withColumn("_sl_one", F.lit(1)), part, order, "_sl_one", out).drop("_sl_one")

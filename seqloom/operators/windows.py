@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.operators.prefix import running_total_in
+
 
 def sliding(df: DataFrame, length: str, size: int, hop: int) -> DataFrame:
     """A row for each window of ``size`` frames: win_id, start, stop. Ends lie below the length, so a tail (and the window at the very end) is dropped."""
@@ -59,6 +61,6 @@ def moving_average(df: DataFrame, value: str, part: str, order: list[str], k: in
 
 
 def running_offset(df: DataFrame, length: str, part: str, order: list[str]) -> DataFrame:
-    """start and stop of each row when rows are laid end to end inside their part."""
-    w = _span(part, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("stop", F.sum(length).over(w).cast("long")).withColumn("start", (F.col("stop") - F.col(length)).cast("long"))
+    """start and stop of each row when rows are laid end to end inside their part, however large a part is."""
+    out = running_total_in(df, part, order, length, "start")
+    return out.withColumn("stop", (F.col("start") + F.coalesce(F.col(length), F.lit(0))).cast("long"))
