@@ -17,8 +17,10 @@ from seqloom.storage import store
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of undetermined language: null texts and texts without a letter."""
+    """Drops documents of undetermined language: null texts and texts without a letter. Without any label to learn from, the rest stays."""
     model = language.fit(docs.filter(~language.held_out("doc_id")))
+    if not model.langs:
+        return docs.filter(language.lettered(F.col("text")))
     found = docs.withColumn("_sl_found", language.language(F.col("text"), model, spark))
     return found.filter(F.col("_sl_found.lang") != language.UNDETERMINED).drop("_sl_found")
 

@@ -124,6 +124,11 @@ def score(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     return best, sure
 
 
+def lettered(text: Column) -> Column:
+    """Texts with a letter; false for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def language(text: Column, model: LanguageModel, spark) -> Column:
     """struct(lang string, score double): the likeliest language, or ``und`` with score 0 where the text is null or has no letter."""
     shared = spark.sparkContext.broadcast(model)
@@ -135,9 +140,8 @@ def language(text: Column, model: LanguageModel, spark) -> Column:
         names = pa.array(m.langs or [UNDETERMINED]).take(pa.array(best))
         return pa.StructArray.from_arrays([names, pa.array(sure)], names=["lang", "score"])
 
-    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     found = predict(F.coalesce(text, F.lit("")))
-    return F.when(lettered, found).otherwise(F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score")))
+    return F.when(lettered(text), found).otherwise(F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score")))
 
 
 def held_out(id_col: str) -> Column:
