@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.components import connected_components
 from seqloom.llm.groups import attach
-from seqloom.storage import store
+from seqloom.storage import remove, store
 
 #: Reference points, picked from a sample of the vectors; the index is fitted on these alone.
 PIVOTS, SAMPLE = 256, 2_048
@@ -214,13 +214,18 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     Links join pairs of vectors of one length with cosine >= ``threshold``; null,
     all-zero and non-finite vectors link with nothing, whatever the threshold.
-    Equal vectors are compared once for all their rows. Rows that repeat an id
-    count as vectors of their own. Other columns are ignored; empty in, empty out.
+    Equal vectors are compared once for all their rows. Rows that repeat an id, or
+    have none, count as vectors of their own; a group of rows without any id has a
+    null component. Other columns are ignored; empty in, empty out.
     """
+    spark = rows.sparkSession
     known = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).withColumn("ok", usable("embedding"))
     known = known.withColumn("sig", F.when(F.col("ok"), F.concat_ws(":", F.xxhash64("embedding"), F.hash("embedding"), F.size("embedding"))))
-    classes = store(known.filter("ok").groupBy("sig").agg(F.min("vec_id").alias("vec"), F.count("*").alias("times"), F.any_value("embedding").alias("embedding")).filter("vec IS NOT NULL"), "classes")
+    # a class of equal vectors is a node; ids may repeat or be null, so nodes have numbers of their own
+    classes = known.filter("ok").groupBy("sig").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.any_value("embedding").alias("embedding"))
+    classes = store(classes.withColumn("vec", F.xxhash64("sig")), "classes")
     points = pick_pivots(classes, pivots, apart=threshold)
+    links, comps = (spark.createDataFrame([], s) for s in ("vec long, links long", "node long, component long"))
     if len(points):
         lists = store(pivot_lists(classes.select("vec", "times", "embedding"), points, shared), "lists")
         sizes = lists.groupBy("list").agg(F.count("*").alias("size")).filter("size > 1")
@@ -231,12 +236,13 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         full = met.join(classes.select("vec", "embedding"), "vec")
         ordered = full.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two")
         found = store(ordered.mapInArrow(_verified(threshold, shared), "vec long, links long, root long"), "found")
+        remove(lists)
         links = found.groupBy("vec").agg(F.sum("links").alias("links"))
         comps = connected_components(found.filter("vec <> root"), "vec", "root")
-        classes = classes.drop("embedding").join(links, "vec", "left").join(comps, F.col("vec") == F.col("node"), "left")
-        classes = classes.select("sig", "times", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component"))
-    else:
-        classes = classes.select("sig", "times", (F.col("times") - 1).alias("n_links"), F.col("vec").alias("component"))
+    nodes = classes.select("sig", "times", "least", "vec").join(links, "vec", "left").join(comps, F.col("vec") == F.col("node"), "left")
+    nodes = store(nodes.select("sig", "times", "least", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "vec").alias("of")), "nodes")
+    smallest = nodes.groupBy("of").agg(F.min("least").alias("component"))
+    classes = nodes.join(smallest, "of").select("sig", "times", "n_links", "component")
     total = known.count()
     # rows without a usable vector have no class; each is alone
     own = known.filter("ok").select("vec_id", "sig")
