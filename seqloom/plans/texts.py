@@ -97,7 +97,7 @@ def bag_union(spark, sf):
 
 @query("support_limits", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM r WHERE r <= 25 AND n >= 10")
 def support_limits(spark, sf):
-    """The first 25 instances of each source that has ten at least: the reference's cap on instances is the feature."""
+    """The first 25 instances of each source that has ten at least; the cap on instances is the feature."""
     d = table(spark, sf, "documents").select("source", "doc_id")
     first = d.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("r <= 25")
     return first.join(d.groupBy("source").agg(F.count("*").alias("n")).filter("n >= 10"), "source").select("source", "doc_id")
