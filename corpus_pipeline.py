@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import exact, language, mixing, neardup, packing
+from seqloom.llm.groups import for_texts
 from seqloom.session import ship_code
 from seqloom.storage import store
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of undetermined language: null texts and texts without a letter. Without any label to learn from, the rest stays."""
+    for_texts(spark)
     model = language.fit(docs.filter(~language.held_out("doc_id")))
     if not model.langs:
         return docs.filter(language.lettered(F.col("text")))
@@ -27,21 +29,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose normalised texts are equal, the one with the smallest id stays."""
+    for_texts(spark)
     return exact.drop_copies(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays."""
+    for_texts(spark)
     return neardup.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the mix's proportions: a document stands once for each copy taken, or not at all."""
+    for_texts(spark)
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 ids at most."""
+    for_texts(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 

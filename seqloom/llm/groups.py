@@ -24,13 +24,24 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return found.unionByName(rest)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def for_texts(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches small enough for whole texts, unless it asks for smaller ones itself."""
+    if int(spark.conf.get(_BATCH)) > TEXT_ROWS:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+    return spark
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of ``rows`` rows at most for jobs run inside, where rows are wide."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)

@@ -83,4 +83,4 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of the mix with all columns of ``docs``: a document appears once for each copy taken."""
     copies = pareto_mix(docs, id_col, **how).filter("copies > 0").select(F.col(id_col).alias("_sl_id"), F.col("copies").alias("_sl_copies")).dropDuplicates(["_sl_id"])
-    return docs.join(copies, docs[id_col].eqNullSafe(F.col("_sl_id"))).withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("_sl_copies")))).drop("_sl_id", "_sl_copies", "_sl_copy")
+    return docs.join(copies.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_sl_id"))).withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("_sl_copies")))).drop("_sl_id", "_sl_copies", "_sl_copy")

@@ -132,7 +132,7 @@ def _some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             ok &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return pa.array(ok)
 
-    kept = docs.filter(perhaps("doc_id")).join(ids, F.col("doc_id") == F.col("doc"), "left_semi")
+    kept = docs.filter(perhaps("doc_id")).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left_semi")
     return kept.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
@@ -286,4 +286,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` that stay when each group of near-duplicates keeps its smallest id, all columns as they are."""
     gone = near_duplicates(docs, id_col, **how).filter(~F.col("kept")).select(F.col(id_col).alias("_sl_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_sl_id")), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_sl_id")), "left_anti")

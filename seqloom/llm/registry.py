@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import embeddings, exact, language, mixing, neardup, packing, token_counts, token_files, toxicity, urls
+from seqloom.llm.groups import for_texts
 
 #: The rules of the URL query.
 URL_RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return for_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
