@@ -161,14 +161,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
             for lo, hi, ids, lens in encoder(tokenizer).encode(b.column("text")):
-                ends = np.cumsum(lens)
-                docs_in += doc_ids[lo:hi]
-                lens_in.append(lens + 1)
-                ids_in.append(np.insert(ids, ends, np.uint32(end_id)))
-                held += len(ids) + len(lens)
-                if held >= file_ids:
-                    yield flush()
-                    docs_in, lens_in, ids_in, held, seq = [], [], [], 0, seq + 1
+                ids = np.insert(ids, np.cumsum(lens), np.uint32(end_id))
+                lens = lens + 1
+                upto = np.concatenate([[0], np.cumsum(lens)])
+                a = 0
+                while a < len(lens):
+                    z = min(max(a + 1, int(np.searchsorted(upto, upto[a] + file_ids - held))), len(lens))
+                    docs_in += doc_ids[lo + a : lo + z]
+                    lens_in.append(lens[a:z])
+                    ids_in.append(ids[upto[a] : upto[z]])
+                    held += int(upto[z] - upto[a])
+                    a = z
+                    if held >= file_ids:
+                        yield flush()
+                        docs_in, lens_in, ids_in, held, seq = [], [], [], 0, seq + 1
         if docs_in:
             yield flush()
 
