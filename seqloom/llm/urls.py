@@ -144,6 +144,8 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], general=GENERAL, default:
         at = pa.array(np.where(found < 0, len(globs), found))
         return pa.StructArray.from_arrays([names.take(at), verdicts.take(at)], names=["rule", "verdict"])
 
+    # a JOINT of the URL's own would let a path pass for a host
+    plain = lambda c: F.replace(F.col(c), F.lit(JOINT), F.lit("\ufffd"))
     parts = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    judged = parts.withColumn("_found", judge(F.concat(F.lit("."), "host", F.lit(JOINT), "path")))
+    judged = parts.withColumn("_found", judge(F.concat(F.lit("."), plain("host"), F.lit(JOINT), plain("path"))))
     return judged.select(id_col, "host", "path", F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("verdict"))
