@@ -207,7 +207,7 @@ def update_index(index: DataFrame, changes: DataFrame, total: int) -> DataFrame:
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text no row with a smaller id has, all columns as they are."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_sl_id"), F.unhex("text_sha256").alias("_sl_digest"))
+    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_sl_id"), F.unhex("text_sha256").alias("_sl_digest")).distinct()
     marked = docs.withColumn("_sl_key", digest(F.col(text_col)))
     # hashing the few columns of what goes spares sorting whole texts
-    return marked.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col("_sl_id")) & (F.col("_sl_key") == F.col("_sl_digest")), "left_anti").drop("_sl_key")
+    return marked.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_sl_id")) & (F.col("_sl_key") == F.col("_sl_digest")), "left_anti").drop("_sl_key")

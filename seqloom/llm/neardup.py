@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import connected_components
@@ -68,8 +68,13 @@ def retained(s: np.ndarray, run: int) -> np.ndarray:
     return np.concatenate([single, np.sort(v)[:LISTS]])
 
 
+def text_mark(text: Column) -> Column:
+    """SHA-256 of a text as it stands, which tells rows of one id, or of none, apart."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def shingled(docs: DataFrame, size: int, run: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), sig (equal for equal sets) and keys (retained values) of every row."""
+    """doc_id, mark (of the text), n (set size), sig (equal for equal sets) and keys (retained values) of every row."""
 
     def make(batches):
         for b, lo, hi, sets in _sets(batches, size):
@@ -77,10 +82,10 @@ def shingled(docs: DataFrame, size: int, run: int, id_col: str, text_col: str) -
             keys = [retained(s, run).view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, keys)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), flat], names=["doc_id", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("mark").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), flat], names=["doc_id", "mark", "n", "sig", "keys"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(make, "doc_id long, n long, sig binary, keys array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_mark(F.col(text_col)).alias("mark"))
+    return texts.mapInArrow(make, "doc_id long, mark binary, n long, sig binary, keys array<long>")
 
 
 def _stars(batches):
@@ -108,7 +113,7 @@ def _stars(batches):
 
 
 def _some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) whose id is among ``ids`` (doc): a fixed-size filter first, then a join; one text an id."""
+    """node and text of the rows of ``docs`` (doc_id, text) that ``ids`` (doc, mark, node) names: a fixed-size filter on ids first, then a join; one text a node."""
     seeds = (1, 2, 3)
 
     def bits(batches):
@@ -132,17 +137,18 @@ def _some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             ok &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return pa.array(ok)
 
-    kept = docs.filter(perhaps("doc_id")).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left_semi")
-    return kept.groupBy("doc_id").agg(F.min("text").alias("text"))
+    marked = docs.filter(perhaps("doc_id")).withColumn("_mark", text_mark(F.col("text")))
+    kept = marked.join(ids.hint("shuffle_hash"), (F.col("doc_id") == F.col("doc")) & (F.col("_mark") == F.col("mark")))
+    return kept.groupBy("doc", "mark").agg(F.min("node").alias("node"), F.min("text").alias("text")).select("node", "text")
 
 
 def _full_sets(texts: DataFrame, size: int) -> DataFrame:
-    """doc, n, sketch and full set of texts."""
+    """doc (the class), n, sketch and full set of texts (node, text)."""
 
     def make(batches):
         for b, lo, hi, sets in _sets(batches, size):
             sketch = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "n", "sketch", "full"])
+            yield pa.RecordBatch.from_arrays([b.column("node").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "n", "sketch", "full"])
 
     return texts.mapInArrow(make, "doc long, n long, sketch binary, full binary")
 
@@ -239,23 +245,17 @@ def _cross(percent: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
-
-    A set holds the distinct runs of ``size`` words (a shorter text: the whole of
-    it as one), A-Z lower-cased; documents link if 100 * intersection >= ``percent``
-    * union. A text without words, or null, has an empty set and links with
-    nothing. Rows that share an id count as one document (with the text that sorts
-    first, where they differ); rows without an id link with their copies only.
-    Other columns are ignored; an empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """doc_id, mark, n and component_id of every row. A class of equal sets is a node of its own, whatever ids its rows share with other classes."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = store(shingled(texts, size, run_length(percent), "doc_id", "text"), "shingled")
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.any_value("keys").alias("keys"))
-    classes = store(classes.filter("doc IS NOT NULL"), "classes")
-    lists = classes.select(F.explode("keys").alias("key"), "doc").repartition("key").sortWithinPartitions("key", "doc")
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least"), F.count("*").alias("times"), F.any_value("keys").alias("keys"))
+    classes = classes.filter("least IS NOT NULL").select("sig", F.xxhash64("sig").alias("node"), F.col("least.doc_id").alias("doc"), F.col("least.mark").alias("mark"), "times", "keys")
+    classes = store(classes, "classes")
+    lists = classes.select(F.explode("keys").alias("key"), F.col("node").alias("doc")).repartition("key").sortWithinPartitions("key", "doc")
     stars = store(lists.mapInArrow(_stars, "key long, doc long, leader long"), "stars")
-    sets = store(_full_sets(_some_of(texts, stars.select("doc").distinct()), size), "sets")
+    listed = stars.select(F.col("doc").alias("node")).distinct()
+    sets = store(_full_sets(_some_of(texts, classes.select("node", "doc", "mark").join(listed, "node", "left_semi")), size), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _with_both(pairs, sets, "full").mapInArrow(_exact_filter(percent), "a long, b long")
@@ -275,15 +275,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with batches_of(docs.sparkSession, WIDE_ROWS):
         more = store(verified(crossed.distinct()), "cross-links")
     comps = store(connected_components(links.unionByName(more)), "components")
-    placed = classes.select("sig", "times", "doc").join(comps, F.col("doc") == F.col("node"), "left").select("sig", "times", F.coalesce("component", "doc").alias("component"))
+    # a component takes the smallest id of its classes; large ones are kept out of the shuffle
+    named = comps.join(classes.select("node", "doc"), "node")
+    least = store(named.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("members")), "least")
+    joined = classes.select("sig", "times", "node", "doc").join(comps, "node", "left").select("sig", "times", "doc", F.coalesce("component", "node").alias("component"))
+    placed = attach(joined, least, "component", "members", classes.count()).select("sig", "times", F.coalesce("least", "doc").alias("component"))
     remove(stars, sets, members)
-    own = rows.filter("n > 0").select("doc_id", "n", "sig")
-    found = attach(own, store(placed, "placed"), "sig", "times", rows.count()).select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
-    out = found.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    own = rows.filter("n > 0").select("doc_id", "mark", "n", "sig")
+    found = attach(own, store(placed, "placed"), "sig", "times", rows.count()).select("doc_id", "mark", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    return found.unionByName(rows.filter("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    A set holds the distinct runs of ``size`` words (a shorter text: the whole of
+    it as one), A-Z lower-cased; documents link if 100 * intersection >= ``percent``
+    * union. A text without words, or null, has an empty set and links with
+    nothing. Rows that share an id but not a set are judged each by its own set;
+    rows that repeat the id that stays are all kept; rows without an id link with
+    their copies only. Other columns are ignored; an empty table gives an empty result.
+    """
+    out = _placed(docs, id_col, text_col, size, percent)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when each group of near-duplicates keeps its smallest id, all columns as they are."""
-    gone = near_duplicates(docs, id_col, **how).filter(~F.col("kept")).select(F.col(id_col).alias("_sl_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_sl_id")), "left_anti")
+    gone = _placed(docs, id_col, text_col, size, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("_sl_id"), F.col("mark").alias("_sl_mark")).distinct()
+    marked = docs.withColumn("_sl_key", text_mark(F.col(text_col)))
+    return marked.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_sl_id")) & (F.col("_sl_key") == F.col("_sl_mark")), "left_anti").drop("_sl_key")
