@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from seqloom.functions.sequences import ngrams, overlaps
 from seqloom.operators.distance import edit_distance
+from seqloom.operators.pairs import against
 from seqloom.operators.prefix import running_total
 from seqloom.storage import store
 
@@ -18,6 +19,13 @@ def candidates(queries: DataFrame, corpus: DataFrame, n: int = 2, include_tail:
     return grams(queries, "q").join(grams(corpus, "s"), "gram").select("q", "s").distinct()
 
 
+def met_in_blocks(queries: DataFrame, corpus: DataFrame, n: int, *columns: str) -> DataFrame:
+    """q, s and the q_/s_ ``columns`` of pairs that share an n-gram, for n-grams so few that keys of :func:`candidates` are hot: every query against every row, in blocks. Ids must be distinct."""
+    grams = lambda df: df.select("seq_id", *columns, F.array_distinct(ngrams(F.col("symbols"), n, "|")).alias("grams"))
+    met = against(grams(queries), grams(corpus), "seq_id").filter(F.arrays_overlap("q_grams", "s_grams"))
+    return met.select(F.col("q_seq_id").alias("q"), F.col("s_seq_id").alias("s"), *[f"{side}_{c}" for c in columns for side in ("q", "s")])
+
+
 def with_sequences(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, *columns: str) -> DataFrame:
     side = lambda df, key: df.select(F.col("seq_id").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in columns])
     return pairs.join(side(queries, "q"), "q").join(side(corpus, "s"), "s")

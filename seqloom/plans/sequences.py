@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from seqloom.functions import sequences as fs
 from seqloom.operators import labels, search, tokens, windows
-from seqloom.plans import query
+from seqloom.plans import oracle_sql, query
 from seqloom.plans.views import FRAMES, GRAMS, SEQUENCES, TOKENS, event_sequences, frames, queries_of, table
 from seqloom.plans.views import tokens as token_view
 
@@ -254,6 +254,67 @@ def weighted_sample(spark, sf):
     return search.draw(search.cumulative(_density(spark, sf)), _POINTS)
 
 
+def _bigram(name: str):
+    """The query ``name`` over candidates that share a bigram, as the reference has it; its SQL is the other's with n = 2."""
+    return query(f"bigram_{name}", oracle_sql()[name].replace(_gram_sql(GRAM, "|"), _gram_sql(2, "|")))
+
+
+def _bigram_pairs(spark, sf, *columns):
+    return search.met_in_blocks(*_corpus(spark, sf), 2, *columns)
+
+
+def _with_distance(pairs):
+    return pairs.select("q", "s", search.edit_distance(F.col("q_symbols"), F.col("s_symbols")).alias("dist"))
+
+
+def _bigram_graph(spark, sf):
+    return search.nearest(_with_distance(search.apart(_bigram_pairs(spark, sf, "symbols", "encounter", "start", "stop"))), 10)
+
+
+def _bigram_densities(spark, sf):
+    return search.density(_corpus(spark, sf)[0], _bigram_graph(spark, sf))
+
+
+@_bigram("ngram_candidates")
+def bigram_ngram_candidates(spark, sf):
+    return _bigram_pairs(spark, sf)
+
+
+@_bigram("overlap_reject_pairs")
+def bigram_overlap_reject_pairs(spark, sf):
+    return search.apart(_bigram_pairs(spark, sf, "encounter", "start", "stop")).select("q", "s")
+
+
+@_bigram("edit_distance_pairs")
+def bigram_edit_distance_pairs(spark, sf):
+    return _with_distance(_bigram_pairs(spark, sf, "symbols")).withColumn("dist", F.round("dist", R))
+
+
+@_bigram("knn_strict")
+def bigram_knn_strict(spark, sf):
+    return search.nearest(_with_distance(_bigram_pairs(spark, sf, "symbols")), 10).withColumn("dist", F.round("dist", R))
+
+
+@_bigram("discovery_graph")
+def bigram_discovery_graph(spark, sf):
+    return _bigram_graph(spark, sf).withColumn("dist", F.round("dist", R))
+
+
+@_bigram("density")
+def bigram_density(spark, sf):
+    return _bigram_densities(spark, sf).withColumn("density", F.round("density", R))
+
+
+@_bigram("density_cdf")
+def bigram_density_cdf(spark, sf):
+    return search.cumulative(_bigram_densities(spark, sf)).select("q", F.round("cdf", R).alias("cdf"))
+
+
+@_bigram("weighted_sample")
+def bigram_weighted_sample(spark, sf):
+    return search.draw(search.cumulative(_bigram_densities(spark, sf)), _POINTS)
+
+
 @query("history_latest", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def history_latest(spark, sf):
     """The latest twenty entries of the history, a top-k report."""
