@@ -50,7 +50,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
     return s.withColumn("target", F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("_weight")))).select("source", "source_size", "target")
 
 
-def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 17, size_power: float = SIZE_POWER) -> DataFrame:
+def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 17, size_power: float = SIZE_POWER, row_col: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies times size) of every row.
 
     Documents are taken whole, so a source's words differ from its target by half
@@ -58,10 +58,12 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depends on the id and the seed alone, so reruns agree; rows that share an id
     and a size are interchangeable. A null or empty text has size 0 and is taken
     as often as the whole copies say, which adds no word. A null source is a
-    source of its own, the last. Other columns are ignored; empty in, empty out.
+    source of its own, the last. ``row_col``, a distinct number of each row, is
+    handed on and orders rows that tie. Other columns are ignored; empty in, empty out.
     """
+    row = [row_col] if row_col else []
     unit = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    sizes = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), unit.alias("_u")), "sizes")
+    sizes = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), unit.alias("_u"), *row), "sizes")
     of = store(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # one row a source; joined by hash like any table
@@ -69,18 +71,20 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     certain = F.floor(rate + 1e-12)
     share = rate - certain
     odds = F.when(share > 1e-12, share / (1 - share)).otherwise(F.lit(1e-12)) * F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(size_power))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", certain.cast("long").alias("_certain"), ((F.col("_u") / (1 - F.col("_u"))) / odds).alias("_rank"))
-    ranked = running_total(store(rows, "ranked"), ["source", "_rank", "doc_id", "size"], "size", "_before")
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", certain.cast("long").alias("_certain"), ((F.col("_u") / (1 - F.col("_u"))) / odds).alias("_rank"), *row)
+    ranked = running_total(store(rows, "ranked"), ["source", "_rank", "doc_id", "size", *row], "size", "_before")
     # the running total spans all sources; a source starts where those before it end
     start = of.select(F.col("source").alias("_s"), F.coalesce(F.sum("source_size").over(Window.orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     ranked = ranked.join(start, F.col("source").eqNullSafe(F.col("_s")))
     rest = F.col("target") - F.col("_certain") * F.col("source_size")
     sampled = (F.col("size") > 0) & (F.col("_before") - F.col("_start") + F.col("size") / 2.0 <= rest) & (rest > 1e-6)
     copies = F.col("_certain") + sampled.cast("long")
-    return ranked.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return ranked.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *row)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of the mix with all columns of ``docs``: a document appears once for each copy taken."""
-    copies = pareto_mix(docs, id_col, **how).filter("copies > 0").select(F.col(id_col).alias("_sl_id"), F.col("copies").alias("_sl_copies")).dropDuplicates(["_sl_id"])
-    return docs.join(copies.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_sl_id"))).withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("_sl_copies")))).drop("_sl_id", "_sl_copies", "_sl_copy")
+    # ids may repeat or be missing, so rows are numbered, and stored with their numbers since both sides of the join need the same ones
+    rows = store(docs.withColumn("_sl_row", F.monotonically_increasing_id()), "rows")
+    copies = pareto_mix(rows, id_col, **how, row_col="_sl_row").filter("copies > 0").select("_sl_row", F.col("copies").alias("_sl_copies"))
+    return rows.join(copies.hint("shuffle_hash"), "_sl_row").withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("_sl_copies")))).drop("_sl_row", "_sl_copies", "_sl_copy")
