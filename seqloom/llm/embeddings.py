@@ -1,15 +1,15 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A vector is described by its PREFIX nearest of PIVOTS reference points, in order.
-The inverted lists are of sets of SHARED pivots, so that two vectors meet in a
-list exactly when at least SHARED of their nearest pivots are the same; every
-pair that meets is verified by its cosine in double precision, and counted in the
-first of the lists that it meets in.
+A vector is described by its nearest reference points (pivots), nearest first.
+The inverted list of a pivot holds the vectors that have it at the front of their
+description; two vectors that meet in a list are compared if their descriptions
+share enough pivots, and verified by their cosine in double precision. A pair is
+counted in the first of the lists that it meets in.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,14 @@ from seqloom.llm.components import connected_components
 from seqloom.llm.groups import attach
 from seqloom.storage import remove, store
 
-#: Reference points, picked from a sample of the vectors; the index is fitted on these alone.
-PIVOTS, SAMPLE = 256, 2_048
-PREFIX, SHARED = 8, 3
+#: Pivots grow with the root of the number of vectors between these bounds. The index is fitted on a sample of SAMPLE vectors
+#: for each pivot, so on 16,384 at most.
+FEWEST, MOST, SAMPLE = 64, 4_096, 4
+#: A vector stands in the lists of FRONT pivots, or of as many as the pivots' number has binary digits; its description is DEPTH
+#: times as long, and pairs share so many pivots of it at least.
+FRONT, DEPTH, SHARED = 8, 3, 3
 #: Lists with more vectors are compared block by block.
-BLOCK = 1_000
+BLOCK = 1_500
 #: Groups of so many vectors at most are compared together with others, larger ones each as a matrix.
 SMALL = 24
 
@@ -36,25 +39,49 @@ def usable(vector: str):
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def pick_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE, apart: float = 0.9) -> np.ndarray:
-    """Unit rows of ``pivots`` vectors at most, of a sample chosen by a hash of the content; shorter ones end in zeros.
+def pivot_count(vectors: int) -> int:
+    """Twice the root of the number of vectors as a power of two, so that lists grow with the root too."""
+    return min(MOST, max(FEWEST, 1 << round(math.log2(2 * math.sqrt(max(vectors, 1))))))
 
-    Each next one is the vector farthest from those picked, as long as one is
-    left whose cosine with all of them is below ``apart``: a group of near copies,
-    however large, gives one pivot, and so its members agree on their nearest ones.
+
+class Pivots:
+    """Unit rows of reference vectors, shorter ones ending in zeros, and what each one's cosine with the sample's mean is."""
+
+    def __init__(self, rows: np.ndarray, mean: np.ndarray):
+        self.rows, self.bias = rows, rows @ mean
+        self.front = min(len(rows), max(FRONT, math.ceil(math.log2(max(len(rows), 1)))))
+        self.depth = min(len(rows), DEPTH * self.front)
+        self.shared = min(SHARED, len(rows))
+
+    def describe(self, column: pa.Array) -> np.ndarray:
+        """The nearest pivots of each vector, nearest first. What vectors have in common (their mean) makes no pivot nearer than another."""
+        out = np.zeros((len(column), self.depth), np.int16)
+        for at, x in _vectors(column):
+            k = min(x.shape[1], self.rows.shape[1])
+            far = self.bias - unit(x)[:, :k] @ self.rows[:, :k].T
+            out[at] = np.argsort(far, 1, kind="stable")[:, : self.depth]
+        return out
+
+
+def pick_pivots(vectors: DataFrame, pivots: int, apart: float = 0.9) -> Pivots:
+    """``pivots`` vectors at most, of a sample of SAMPLE times as many, in the order of a hash of their content.
+
+    One whose cosine with one picked before is ``apart`` or more is passed over:
+    a group of near copies, however large, gives one pivot, and so its members
+    agree on their nearest ones.
     """
-    rows = [r.embedding for r in vectors.orderBy(F.xxhash64("embedding")).select("embedding").limit(sample).collect()]
-    x = np.zeros((len(rows), max(map(len, rows), default=0)))
-    for i, r in enumerate(rows):
-        x[i, : len(r)] = unit(np.array([r], np.float64))[0]
-    picked, nearest, at = [], np.full(len(x), -2.0), 0
-    while len(x) and len(picked) < pivots:
-        picked.append(at)
-        nearest = np.maximum(nearest, x @ x[at])
-        at = int(nearest.argmin())
-        if nearest[at] >= apart:
-            break
-    return x[picked]
+    column = vectors.orderBy(F.xxhash64("embedding")).select("embedding").limit(SAMPLE * pivots).toArrow().column("embedding")
+    parts = _vectors(column) if len(column) else []
+    x = np.zeros((len(column), max((part.shape[1] for _, part in parts), default=0)))
+    for at, part in parts:
+        x[at, : part.shape[1]] = unit(part)
+    picked = np.zeros((min(pivots, len(x)), x.shape[1]))
+    n = 0
+    for row in x:
+        if n < len(picked) and (not n or (picked[:n] @ row).max() < apart):
+            picked[n] = row
+            n += 1
+    return Pivots(picked[:n], x.mean(0) if len(x) else np.zeros(0))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,50 +103,35 @@ def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def permutations(pivots: np.ndarray, column: pa.Array, prefix: int = PREFIX) -> np.ndarray:
-    """The nearest pivots of each vector, nearest first."""
-    out = np.zeros((len(column), min(prefix, len(pivots))), np.int16)
-    for at, x in _vectors(column):
-        k = min(x.shape[1], pivots.shape[1])
-        near = -(unit(x)[:, :k] @ pivots[:, :k].T)
-        out[at] = np.argsort(near, 1, kind="stable")[:, : out.shape[1]]
-    return out
-
-
-def pivot_lists(vectors: DataFrame, pivots: np.ndarray, shared: int = SHARED) -> DataFrame:
-    """(list, vec, times, perm, embedding): every vector once in each list it belongs to."""
-    prefix = min(PREFIX, len(pivots))
-    sets = np.array(list(combinations(range(prefix), min(shared, prefix))), np.int64)
+def described(classes: DataFrame, pivots: Pivots) -> DataFrame:
+    """vec, times, embedding, perm (nearest pivots in order, two bytes each) and lists of every class."""
 
     def index(batches):
         for b in batches:
-            perm = permutations(pivots, b.column("embedding"))
-            low = np.sort(perm, 1)
-            number = np.zeros((len(low), len(sets)), np.int64)
-            for j in range(sets.shape[1]):
-                number = number * 1024 + low[:, sets[:, j]]
-            number = number * 4096 + b.column("embedding").value_lengths().to_numpy(zero_copy_only=False)[:, None] % 4096
-            row = pa.array(np.repeat(np.arange(len(low)), len(sets)))
-            packed = pa.array([p.tobytes() for p in low.astype("<i2")], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(number.ravel()), b.column("vec").take(row), b.column("times").take(row), packed.take(row)], names=["list", "vec", "times", "perm"])
+            perm = pivots.describe(b.column("embedding"))
+            packed = pa.array([p.tobytes() for p in perm.astype("<i2")], pa.binary())
+            # vectors of different length may share a list, so that there are a bounded number of lists
+            kind = b.column("embedding").value_lengths().to_numpy(zero_copy_only=False).astype(np.int32) % 16 * MOST
+            front = (perm[:, : pivots.front] + kind[:, None]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(front) + 1) * pivots.front, pa.int32()), pa.array(front.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("vec"), b.column("times"), b.column("embedding"), packed, lists], names=["vec", "times", "embedding", "perm", "lists"])
 
-    return vectors.mapInArrow(index, "list long, vec long, times long, perm binary")
+    return classes.select("vec", "times", "embedding").mapInArrow(index, f"vec long, times long, embedding {classes.schema['embedding'].dataType.simpleString()}, perm binary, lists array<int>")
 
 
 class _Rows:
     """Sorted rows of some lists, with vectors of one length."""
 
-    def __init__(self, table: pa.Table, at: np.ndarray, x: np.ndarray):
+    def __init__(self, table: pa.Table, at: np.ndarray, x: np.ndarray, front: int):
         take = lambda c: table[c].to_numpy()[at]
         self.vec, self.times, self.block = take("vec"), take("times"), take("block")
         self.list, self.one, self.two = take("list"), take("one"), take("two")
         self.perm = np.frombuffer(b"".join(table["perm"].to_pylist()), np.int16).reshape(table.num_rows, -1)[at]
+        self.front = self.perm[:, :front]
+        self.least = self.front.min(1)
+        self.pivot = self.list % MOST
         self.x = unit(x)
 
-    def top(self, i):
-        """Largest pivot of a row's list: the last digit of its number."""
-        return self.list[i] // 4096 % 1024
-
 
 def _few(r: _Rows, start: np.ndarray, size: np.ndarray, threshold: float, shared: int):
     """Links of many small groups at once: rows are compared with the row d places on, for every d inside a group."""
@@ -130,41 +142,79 @@ def _few(r: _Rows, start: np.ndarray, size: np.ndarray, threshold: float, shared
         at = np.flatnonzero(group[:-d] == group[d:])
         i, j = rows[at], rows[at + d]
         split = r.one[i] != r.two[i]  # of two blocks, only pairs across count
-        ok = ~(split & (r.block[i] == r.block[j]))
+        ok = ~(split & (r.block[i] == r.block[j])) & (r.vec[i] != r.vec[j])
         i, j = i[ok], j[ok]
         near = np.einsum("ij,ij->i", r.x[i], r.x[j]) >= threshold
         i, j = i[near], j[near]
-        below = r.perm[i][:, :, None] <= r.top(i)[:, None, None]
-        both = ((r.perm[i][:, :, None] == r.perm[j][:, None, :]) & below).sum((1, 2))
-        first = (both == min(shared, r.perm.shape[1])) & (r.vec[i] != r.vec[j])
+        enough = (r.perm[i][:, :, None] == r.perm[j][:, None, :]).sum((1, 2)) >= shared
+        both = np.where((r.front[i][:, :, None] == r.front[j][:, None, :]).any(2), r.front[i], MOST)
+        first = enough & (both.min(1) == r.pivot[i])
         i, j = i[first], j[first]
         low = np.minimum(r.vec[i], r.vec[j])
         out += [(r.vec[i], r.times[j], low), (r.vec[j], r.times[i], low)]
     return out
 
 
-def _many(r: _Rows, at: np.ndarray, threshold: float, shared: int):
-    """Links of one group as a matrix; of its links only a spanning forest is handed on, with the number of links of each vector."""
-    vec, times, block, x, perm = r.vec[at], r.times[at], r.block[at], r.x[at], r.perm[at]
-    one, two = r.one[at[0]], r.two[at[0]]
-    a, z = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    linked = x[a] @ x[z].T >= threshold
-    linked &= vec[a][:, None] != vec[z]
-    # the first list of a pair holds the smallest of its shared pivots: none up to this list's largest is shared besides them
-    top = int(r.top(at[:1])[0])
-    below = np.zeros((len(vec), top + 1), np.float32)
-    row, col = np.nonzero(perm <= top)
-    below[row, perm[row, col]] = 1
-    linked &= below[a] @ below[z].T == min(shared, perm.shape[1])
-    links = np.zeros(len(vec), np.int64)
-    links[a] += linked @ times[z]
-    if one != two:
-        links[z] += linked.T @ times[a]
+def _bits(perm: np.ndarray, below: int) -> np.ndarray:
+    """A column for each pivot below a number, 1 where a description holds it."""
+    out = np.zeros((len(perm), below), np.float32)
+    row, col = np.nonzero(perm < below)
+    out[row, perm[row, col]] = 1
+    return out
+
+
+def _linked(r: _Rows, a: np.ndarray, z: np.ndarray, bits: np.ndarray, pivot: int, threshold: float, shared: int) -> np.ndarray:
+    """Links between rows a and z of one list (places in bits too): enough shared pivots, none of an earlier list, near by cosine."""
+    linked = bits[a] @ bits[z].T >= shared
+    linked &= r.x[a] @ r.x[z].T >= threshold
+    linked &= r.vec[a][:, None] != r.vec[z]
+    i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    if pivot and len(i):
+        linked[np.ix_(i, j)] &= _bits(r.front[a[i]], pivot) @ _bits(r.front[z[j]], pivot).T == 0
+    return linked
+
+
+def _many(r: _Rows, lo: int, hi: int, threshold: float, shared: int):
+    """Links of one group as matrices; of its links only a spanning forest is handed on, with the number of links of each vector.
+
+    Rows whose first list is the same one, and another than this, have met there,
+    so that copies in great number are compared in one of their lists only.
+    """
+    at, pivot = np.arange(lo, hi), int(r.pivot[lo])
+    one, two = r.one[lo], r.two[lo]
+    a, z = at[r.block[lo:hi] == one], at[r.block[lo:hi] == two]
+    used = np.unique(r.perm[lo:hi])
+    place = np.zeros(MOST, np.int64)
+    place[used] = np.arange(len(used))
+    bits = np.zeros((hi - lo, len(used)), np.float32)
+    bits[(at - lo)[:, None], place[r.perm[lo:hi]]] = 1
+    kinds, n = np.unique(r.least[a], return_counts=True)
+    crowds = kinds[(n > SMALL) & (kinds != pivot)]
+    parts = [(a[r.least[a] == k], z[r.least[z] != k]) for k in crowds] + [(a[~np.isin(r.least[a], crowds)], z)]
+    found = []
+    for rows, columns in parts:
+        linked = bits[rows - lo] @ bits[columns - lo].T >= shared
+        linked &= r.x[rows] @ r.x[columns].T >= threshold
+        linked &= r.vec[rows][:, None] != r.vec[columns]
+        i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+        if not len(i):
+            continue
+        rows, columns, linked = rows[i], columns[j], linked[np.ix_(i, j)]
+        if pivot:  # no pivot before this one is at the front of both
+            linked &= _bits(r.front[rows], pivot) @ _bits(r.front[columns], pivot).T == 0
+        found.append((rows, columns, linked))
+    vec, links = r.vec[lo:hi], np.zeros(hi - lo, np.int64)
     root, big = vec.copy(), np.iinfo(np.int64).max
-    while linked.size:
+    for rows, columns, linked in found:
+        links[rows - lo] += linked @ r.times[columns]
+        if one != two:
+            links[columns - lo] += linked.T @ r.times[rows]
+    while found:
         new = root.copy()
-        new[a] = np.minimum(new[a], np.where(linked, root[z], big).min(1))
-        new[z] = np.minimum(new[z], np.where(linked, new[a][:, None], big).min(0))
+        for rows, columns, linked in found:
+            i, j = rows - lo, columns - lo
+            new[i] = np.minimum(new[i], np.where(linked, new[j], big).min(1))
+            new[j] = np.minimum(new[j], np.where(linked, new[i][:, None], big).min(0))
         if (new == root).all():
             break
         root = new
@@ -172,19 +222,19 @@ def _many(r: _Rows, at: np.ndarray, threshold: float, shared: int):
     return [(vec[keep], links[keep], root[keep])]
 
 
-def _verified(threshold: float, shared: int):
+def _verified(threshold: float, front: int, shared: int):
     """Verify lists that come sorted by list and block pair; a list's rows are held until its last one has come."""
 
     def whole_groups(table: pa.Table):
         for at, x in _vectors(table["embedding"]):
-            r = _Rows(table, at, x)
+            r = _Rows(table, at, x, front)
             edge = np.flatnonzero((np.diff(r.list) != 0) | (np.diff(r.one) != 0) | (np.diff(r.two) != 0)) + 1
             start = np.concatenate([[0], edge])
             size = np.diff(np.append(start, len(at)))
             small = size <= SMALL
             out = _few(r, start[small], size[small], threshold, shared)
             for s, n in zip(start[~small], size[~small], strict=True):
-                out += _many(r, np.arange(s, s + n), threshold, shared)
+                out += _many(r, s, s + n, threshold, shared)
             if out:
                 vec, links, root = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(vec), pa.array(links), pa.array(root)], names=["vec", "links", "root"])
@@ -209,7 +259,7 @@ def _verified(threshold: float, shared: int):
     return verify
 
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, pivots: int = PIVOTS, shared: int = SHARED) -> DataFrame:
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Links join pairs of vectors of one length with cosine >= ``threshold``; null,
@@ -220,33 +270,31 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """
     spark = rows.sparkSession
     known = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).withColumn("ok", usable("embedding"))
-    known = known.withColumn("sig", F.when(F.col("ok"), F.concat_ws(":", F.xxhash64("embedding"), F.hash("embedding"), F.size("embedding"))))
-    # a class of equal vectors is a node; ids may repeat or be null, so nodes have numbers of their own
-    classes = known.filter("ok").groupBy("sig").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.any_value("embedding").alias("embedding"))
-    classes = store(classes.withColumn("vec", F.xxhash64("sig")), "classes")
-    points = pick_pivots(classes, pivots, apart=threshold)
+    # a class of equal vectors is a node, numbered when it is stored; ids may repeat or be null
+    classes = known.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
+    classes = store(classes.withColumn("vec", F.monotonically_increasing_id()), "classes")
+    n = classes.count()
+    pivots = pick_pivots(classes, pivot_count(n), threshold)
     links, comps = (spark.createDataFrame([], s) for s in ("vec long, links long", "node long, component long"))
-    if len(points):
-        lists = store(pivot_lists(classes.select("vec", "times", "embedding"), points, shared), "lists")
-        sizes = lists.groupBy("list").agg(F.count("*").alias("size")).filter("size > 1")
+    if n:
+        rowed = store(described(classes, pivots), "described")
+        # as many lists as pivots, 16 times as many at most
+        sizes = rowed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("size")).filter("size > 1")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        met = lists.join(sizes, "list").withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("vec"), F.col("blocks")).cast("int"))
-        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("list", "vec", "times", "perm", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-        full = met.join(classes.select("vec", "embedding"), "vec")
-        ordered = full.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two")
-        found = store(ordered.mapInArrow(_verified(threshold, shared), "vec long, links long, root long"), "found")
-        remove(lists)
+        met = rowed.select("vec", "times", "embedding", "perm", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.hash("vec"), blocks).cast("int"))
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        met = met.select("list", "vec", "times", "embedding", "perm", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+        ordered = met.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two")
+        found = store(ordered.mapInArrow(_verified(threshold, pivots.front, pivots.shared), "vec long, links long, root long"), "found")
+        remove(rowed)
         links = found.groupBy("vec").agg(F.sum("links").alias("links"))
         comps = connected_components(found.filter("vec <> root"), "vec", "root")
-    nodes = classes.select("sig", "times", "least", "vec").join(links, "vec", "left").join(comps, F.col("vec") == F.col("node"), "left")
-    nodes = store(nodes.select("sig", "times", "least", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "vec").alias("of")), "nodes")
+    nodes = classes.select("times", "least", "vec").join(links, "vec", "left").join(comps, F.col("vec") == F.col("node"), "left")
+    nodes = store(nodes.select("vec", "least", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "vec").alias("of")), "nodes")
     smallest = nodes.groupBy("of").agg(F.min("least").alias("component"))
-    classes = nodes.join(smallest, "of").select("sig", "times", "n_links", "component")
-    total = known.count()
+    named = classes.select("vec", "times", "embedding").join(nodes.join(smallest, "of").select("vec", "n_links", "component"), "vec").drop("vec")
     # rows without a usable vector have no class; each is alone
-    own = known.filter("ok").select("vec_id", "sig")
     alone = known.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    joined = attach(own, store(classes, "vector-classes"), "sig", "times", total).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    out = joined.unionByName(alone)
+    joined = attach(known.filter("ok").select("vec_id", "embedding"), store(named, "vector-classes"), "embedding", "times", known.count())
+    out = joined.select("vec_id", "n_links", F.col("component").alias("component_id")).unionByName(alone)
     return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
