@@ -25,6 +25,7 @@ SAMPLE_ROWS = 20_000
 #: Texts are undetermined without a letter.
 UNDETERMINED = "und"
 
+_LOWER: np.ndarray | None = None
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -35,14 +36,25 @@ class LanguageModel:
     log_prob: np.ndarray  # (BUCKETS + 1, languages); the last row is 0 and stands for no n-gram
 
 
+def _lower_case() -> np.ndarray:
+    """The small letter of every code point for itself; one whose small form is longer keeps its case."""
+    global _LOWER
+    if _LOWER is None:
+        _LOWER = np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x20000):  # capitals end far before
+            c = chr(i).lower()
+            if len(c) == 1:
+                _LOWER[i] = ord(c)
+    return _LOWER
+
+
 def gram_buckets(buf: np.ndarray, offs: np.ndarray):
-    """(bucket of the n-gram at each character, start of each row in characters) for each order; BUCKETS where none fits in the row."""
-    text = buf.tobytes().decode().lower() if len(buf) else ""
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    lead = (buf & 0xC0) != 0x80
-    at = np.concatenate([[0], np.cumsum(lead)])[offs]
-    if len(code) != at[-1]:  # a character that grows when lower-cased: keep its case
-        code = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+    """(bucket of the n-gram at each character, start of each row in characters) for each order; BUCKETS where none fits in the row.
+
+    Every character is lower-cased for itself, so that a text's n-grams don't depend on the texts beside it.
+    """
+    code = _lower_case()[np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    at = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offs]
     for n in ORDERS:
         h = np.full(len(code), np.uint32(n * 0x27D4EB2F & 0xFFFFFFFF))
         for j in range(n):
@@ -109,14 +121,14 @@ def score(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     best, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     if not model.langs:
         return best, sure
-    columns = [np.ascontiguousarray(model.log_prob[:, c]) for c in range(len(model.langs))]
+    columns = [np.ascontiguousarray(model.log_prob[:, c], np.float64) for c in range(len(model.langs))]
     for lo, hi, buf, offs in runs(texts):
         total = np.tile(model.log_prior, (hi - lo, 1))
         for bucket, at in gram_buckets(buf, offs):
             full = at[1:] > at[:-1]
             if full.any():
                 for c, column in enumerate(columns):
-                    total[full, c] += np.add.reduceat(column[bucket], at[:-1][full], dtype=np.float64)
+                    total[full, c] += np.add.reduceat(column[bucket], at[:-1][full])
         total -= total.max(1, keepdims=True)
         p = np.exp(total)
         best[lo:hi] = p.argmax(1)
