@@ -1,10 +1,9 @@
 """Token counts by rank-synchronous array merging.
 
-Pre-tokens of one length stand as the rows of a symbol matrix. Every round finds
-each row's lowest-rank pair (the leftmost of equals), merges it in all rows at
-once and shortens them by a symbol; rows without a mergeable pair are done, and
-their count is the number of symbols that survive. A worker merges each distinct
-word once.
+Pre-tokens stand one behind the other in a ragged array of symbols. Every round
+finds each pre-token's lowest pair rank and merges all places of that pair at
+once; a pre-token without a mergeable pair is done, and its count is the number
+of symbols that survive. A worker merges each distinct word once.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from pyspark.sql import functions as F
 from seqloom.llm.text_arrays import runs, word_hashes, words
 from seqloom.llm.word_tokens import KNOWN_WORDS, RUN_BYTES, Grown, WordTable, odd_rows
 
-#: Pre-tokens with more bytes are merged one at a time.
-LONG = 64
 _NONE = np.int64(1 << 40)
 
 _counters: dict[str, "PairMerger"] = {}
@@ -82,64 +79,58 @@ class PairMerger:
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
     def merge_counts(self, pieces: list[bytes]) -> np.ndarray:
-        """Number of symbols left of each piece; no piece is empty."""
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        out = np.ones(len(pieces), np.int64)
-        for n in np.unique(sizes):
-            at = np.flatnonzero(sizes == n)
-            if n > LONG:
-                for i in at:
-                    out[i] = self._long(np.frombuffer(pieces[i], np.uint8))
-            elif n > 1:
-                out[at] = self._same_length(np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(len(at), n))
-        return out
+        """Number of symbols left of each piece; no piece is empty.
 
-    def _same_length(self, b: np.ndarray) -> np.ndarray:
-        m = self.inner[b]
-        m[:, -1] = self.last[b[:, -1]]
-        r = self.rank(m[:, :-1], m[:, 1:])
-        out, rows = np.ones(len(b), np.int64), np.arange(len(b))
-        while m.shape[1] > 1:
-            at = r.argmin(1)
-            best = r[np.arange(len(at)), at]
-            live = best < _NONE
-            out[rows[~live]] = m.shape[1]
-            if not live.all():
-                m, r, at, best, rows = m[live], r[live], at[live], best[live], rows[live]
-            if not len(rows):
-                break
-            i, col = np.arange(len(at)), np.arange(m.shape[1] - 1)
-            m = np.take_along_axis(m, col + (col > at[:, None]), 1)
-            m[i, at] = self.result[best]
-            r = np.take_along_axis(r, col[:-1] + (col[:-1] >= at[:, None]), 1)
-            left, right = at > 0, at < m.shape[1] - 1
-            r[i[left], at[left] - 1] = self.rank(m[i[left], at[left] - 1], m[i[left], at[left]])
-            r[i[right], at[right]] = self.rank(m[i[right], at[right]], m[i[right], at[right] + 1])
+        Merges of one rank run from left to right. Where one opens a pair of a
+        lower rank beside it, the places behind it in its piece wait a round.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out, piece = np.ones(len(pieces), np.int64), np.flatnonzero(sizes > 1)
+        n = sizes[piece]
+        b = np.frombuffer(b"".join(pieces[i] for i in piece), np.uint8)
+        s, end = self.inner[b], np.cumsum(n)
+        s[end - 1] = self.last[b[end - 1]]
+        r = np.full(len(s), _NONE)  # rank of each symbol with the next; the last of a piece has none
+        r[:-1] = self.rank(s[:-1], s[1:])
+        r[end - 1] = _NONE
+        while len(piece):
+            low = np.minimum.reduceat(r, end - n)
+            if (low == _NONE).any():
+                out[piece] = n
+                go = low < _NONE
+                stay = np.repeat(go, n)
+                s, r, low, n, piece = s[stay], r[stay], low[go], n[go], piece[go]
+                end = np.cumsum(n)
+                if not len(piece):
+                    break
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.flatnonzero(r == low[of])
+            # of places that overlap (a pair of equal symbols), every other one
+            first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            rank, own = low[of[at]], of[at]
+            new = self.result[rank]
+            # what each merge sees as its neighbours when its turn comes: merged ones on its left only
+            left = np.where(np.diff(at, prepend=-3) == 2, new, s[at - 1])
+            right = s[np.minimum(at + 2, len(s) - 1)]
+            opens = ((at > (end - n)[own]) & (self.rank(left, new) < rank)) | ((at + 2 < end[own]) & (self.rank(new, right) < rank))
+            if opens.any():
+                before = np.cumsum(opens) - opens
+                keep = before == before[np.searchsorted(own, own)]
+                at, new, own = at[keep], new[keep], own[keep]
+            s[at] = new
+            rest = np.ones(len(s), bool)
+            rest[at + 1] = False
+            s, r = s[rest], r[rest]
+            n = n - np.bincount(own, minlength=len(n))
+            end = np.cumsum(n)
+            here = at - np.arange(len(at))
+            for i, o in ((here, own), (here - 1, own)):
+                inside = (i >= (end - n)[o]) & (i < end[o] - 1)
+                r[i[inside]] = self.rank(s[i[inside]], s[i[inside] + 1])
+            r[end - 1] = _NONE
         return out
 
-    def _long(self, b: np.ndarray) -> int:
-        """One long piece: all places of the lowest-rank pair at once, or the leftmost alone where a merge would open a lower rank."""
-        s = self.inner[b]
-        s[-1] = self.last[b[-1]]
-        while len(s) > 1:
-            r = self.rank(s[:-1], s[1:])
-            low = r.min()
-            if low >= _NONE:
-                break
-            at = np.flatnonzero(r == low)
-            run = np.cumsum(np.diff(at, prepend=-2) > 1)
-            at = at[(at - at[np.searchsorted(run, run)]) % 2 == 0]
-            t = self._merged(s, at, low)
-            if len(at) > 1 and len(t) > 1 and self.rank(t[:-1], t[1:]).min() < low:
-                t = self._merged(s, at[:1], low)
-            s = t
-        return len(s)
-
-    def _merged(self, s: np.ndarray, at: np.ndarray, rank: int) -> np.ndarray:
-        t = s.copy()
-        t[at] = self.result[rank]
-        return np.delete(t, at + 1)
-
     def _word_counts(self, found: list[str]) -> np.ndarray:
         """Tokens of words of plain characters."""
         split = [self.piece.findall(w.lower()) for w in found]
