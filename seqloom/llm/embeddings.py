@@ -295,6 +295,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     named = classes.select("vec", "times", "embedding").join(nodes.join(smallest, "of").select("vec", "n_links", "component"), "vec").drop("vec")
     # rows without a usable vector have no class; each is alone
     alone = known.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    joined = attach(known.filter("ok").select("vec_id", "embedding"), store(named, "vector-classes"), "embedding", "times", known.count())
+    # the hash comes first, so that sorting seldom compares whole vectors
+    hashed = lambda df: df.withColumn("hash", F.xxhash64("embedding"))
+    joined = attach(hashed(known.filter("ok").select("vec_id", "embedding")), store(hashed(named), "vector-classes"), ["hash", "embedding"], "times", known.count())
     out = joined.select("vec_id", "n_links", F.col("component").alias("component_id")).unionByName(alone)
     return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
