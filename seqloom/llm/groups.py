@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 HOT = 1000
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
-    """Left join ``rows`` with ``groups`` (one row a key, with the number of its rows in ``size``).
+def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, how: str = "left") -> DataFrame:
+    """Join ``rows`` with ``groups`` (one row a key, with the number of its rows in ``size``); ``how`` is left or inner.
 
     Hot groups are broadcast (fewer than HOT rows, whatever the input), so that
     no shuffle deals a third of all rows to one task; the rest joins on the key.
@@ -21,7 +21,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str,
     keys = [key] if isinstance(key, str) else key
     hot, cold = groups.filter(F.col(size) > edge), groups.filter(F.col(size) <= edge)
     found = rows.join(F.broadcast(hot), keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return found.unionByName(rest)
 
 

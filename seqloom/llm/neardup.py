@@ -2,19 +2,24 @@
 
 A document is the set of 64-bit hashes of its word shingles; since these are
 random numbers, the smallest of them are a sample of the set (its sketch). Equal
-sets become one class. Inverted lists hold, under each of a class's retained
-values (runs of successive sketch values, the LISTS smallest of them), the
-classes that retain it; classes that meet are compared by their union sketch, and
-those that pass by exact Jaccard similarity on full sets.
+sets become one class. A class retains the RETAINED smallest values; inverted
+lists hold, under a retained value, the classes that retain it. Two classes that
+are to link overlap in so many retained values (see overlap) that they meet in a
+list of one of their rarest ones already, so that only those lists are made: a
+passage that many documents share makes no list where documents have enough of
+their own. Classes that meet are compared by their union sketch, and those that
+pass by exact Jaccard similarity on full sets.
 
 No list is expanded into all its pairs. First every class is compared with the
 smallest class of its lists only (a star). Lists whose members then lie in one
 component are done; in the others, classes of different components are compared
-in blocks inside one task, which hands on only what passes the union sketch.
+block by block, and the largest component of a list never with itself.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,15 +30,12 @@ from seqloom.llm.groups import attach, batches_of
 from seqloom.llm.text_arrays import mix, runs, shingles, word_hashes, words
 from seqloom.storage import remove, store
 
-#: Retained values are made of runs of hashes among the KEYED smallest (see run_length); a class stands in LISTS lists at most.
-#: A pair of similarity 0.8 misses all common lists once in 700,000 times, one of 0.85 once in 100 million.
-KEYED, LISTS = 96, 32
-#: Sets of so many shingles at most also stand under each single hash, since a differing one may break all their runs.
-SMALL = 16
-#: Hashes in a sketch (their upper 32 bits). Sets that fit are compared exactly, others pass with a margin of 4.4 standard deviations or more.
-SKETCH, MARGIN = 384, 0.09
-#: Classes of a list that are compared in one task; longer lists are cut into blocks.
-BLOCK = 2_500
+#: Values that a set retains for the inverted lists, and the chance that a pair at the threshold overlaps in fewer than its lists take for granted.
+RETAINED, MISS = 48, 1e-7
+#: Hashes in a sketch (their upper 32 bits). Sets that fit are compared exactly, others pass with a margin of 5.9 standard deviations or more.
+SKETCH, MARGIN = 384, 0.12
+#: Classes of a list that are compared with as many others in one task.
+BLOCK = 500
 #: Pairs with their sets that go to a worker at once.
 WIDE_ROWS = 500
 #: Rows and sketch values that a comparison holds as a matrix at once.
@@ -50,22 +52,31 @@ def _sets(batches, size: int):
             yield b, lo, hi, shingles(word_hashes(buf, first, end), row, hi - lo, size)
 
 
-def run_length(percent: int) -> int:
-    """Successive sketch values in a retained value: longer runs make shorter lists, but pairs of low similarity share only short ones."""
-    return 3 if percent >= 80 else 2 if percent >= 70 else 1
+def overlap(percent: int) -> int:
+    """Retained values that two large sets at the threshold have in common, but for a chance of MISS.
+
+    The RETAINED smallest values of the union are a sample of it without
+    replacement, and both sets retain what the sample holds of their intersection;
+    with replacement (binomial) fewer would be in common.
+    """
+    p, below, c = percent / 100, 0.0, 0
+    while c < RETAINED:
+        below += math.comb(RETAINED, c) * p**c * (1 - p) ** (RETAINED - c)
+        if below > MISS:
+            break
+        c += 1
+    return max(c, 1)
 
 
-def retained(s: np.ndarray, run: int) -> np.ndarray:
-    """The values under which a set stands in the inverted lists."""
-    k = s[:KEYED]
-    single = mix(k + np.uint64(1)) if len(s) <= SMALL else k[:0]
-    if len(k) < run:
-        return single
-    n = len(k) - run + 1
-    v = k[:n]
-    for j in range(1, run):
-        v = mix(v * np.uint64(0x9E3779B97F4A7C15) + k[j : j + n])
-    return np.concatenate([single, np.sort(v)[:LISTS]])
+def rarest(n: Column, percent: int) -> Column:
+    """How many of its rarest retained values a set of n shingles is listed under: two sets with c values in common share one that is not among the c - 1 most frequent of either.
+
+    A set so small that its partners retain all their values needs no chance: it
+    shares ``percent`` of its own values with each.
+    """
+    whole = n * 100 <= RETAINED * percent
+    common = F.when(whole, F.ceil(n * percent / 100)).otherwise(F.lit(overlap(percent)))
+    return (F.least(n, F.lit(RETAINED)) - common + 1).cast("int")
 
 
 def text_mark(text: Column) -> Column:
@@ -73,43 +84,35 @@ def text_mark(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def shingled(docs: DataFrame, size: int, run: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, mark (of the text), n (set size), sig (equal for equal sets) and keys (retained values) of every row."""
+def shingled(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (of the text), n (set size), sig (equal for equal sets) and kept (retained values) of every row."""
 
     def make(batches):
         for b, lo, hi, sets in _sets(batches, size):
             sig = [np.array([len(s), np.sum(s, dtype=np.uint64), np.sum(mix(s), dtype=np.uint64)], np.uint64).tobytes() for s in sets]
-            keys = [retained(s, run).view(np.int64) for s in sets]
+            keys = [s[:RETAINED].view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, keys)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("mark").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), flat], names=["doc_id", "mark", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("mark").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), flat], names=["doc_id", "mark", "n", "sig", "kept"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_mark(F.col(text_col)).alias("mark"))
-    return texts.mapInArrow(make, "doc_id long, mark binary, n long, sig binary, keys array<long>")
+    return texts.mapInArrow(make, "doc_id long, mark binary, n long, sig binary, kept array<long>")
 
 
-def _stars(batches):
-    """Of rows sorted by key and doc: every member of a list of two or more, with the list's smallest doc."""
-    key = leader = None
-    told = False
-    for b in batches:
-        k, d = b.column("key").to_numpy(), b.column("doc").to_numpy()
-        if not len(k):
-            continue
-        fresh = np.append([key is None or k[0] != key], k[1:] != k[:-1])
-        at = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), -1))
-        lead = np.where(at >= 0, d[np.maximum(at, 0)], leader if leader is not None else 0)
-        follow = np.flatnonzero(~fresh)
-        # a list's leader is told with its first follower
-        first = follow[(fresh[follow - 1]) & (follow > 0)] if len(follow) else follow
-        heads = (k[first], lead[first])
-        if len(follow) and follow[0] == 0 and not told:
-            heads = (np.append(heads[0], k[0]), np.append(heads[1], lead[0]))
-        keys, docs, leaders = np.concatenate([heads[0], k[follow]]), np.concatenate([heads[1], d[follow]]), np.concatenate([heads[1], lead[follow]])
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs), pa.array(leaders)], names=["key", "doc", "leader"])
-        told = bool(not fresh[-1])
-        key, leader = k[-1], lead[-1]
+def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """key (a retained value), doc (a class's node), leader (the list's smallest doc) of the lists of two classes or more.
+
+    A class stands under its rarest retained values; values that no other class
+    retains are the rarest of all and make no list.
+    """
+    # the values that a class need not be listed under are its most frequent ones, so they are counted from that end
+    values = classes.select("node", (F.size("kept") - rarest(F.col("n"), percent)).alias("spare"), F.explode("kept").alias("key"))
+    often = store(values.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    ranked = attach(values, often, "key", "often", classes.count(), "inner").groupBy("node", "spare").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("found"))  # RETAINED values a class at most
+    first = F.slice("found", F.lit(1), F.greatest(F.size("found") - F.col("spare"), F.lit(0)))
+    lists = store(ranked.select(F.col("node").alias("doc"), F.explode(first).alias("value")).select("doc", F.col("value.key").alias("key")), "lists")
+    leaders = store(lists.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("size")).filter("size > 1"), "leaders")
+    return attach(lists, leaders, "key", "size", lists.count(), "inner").select("key", "doc", "leader")
 
 
 def _some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -245,15 +248,32 @@ def _cross(percent: int):
     return compare
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """key, doc, comp, block, one and two: members (key, doc, comp) of lists of several components, once for each pair of blocks to be compared.
+
+    The largest component of a list has blocks of its own (below 0) that meet the
+    others' blocks only, so that a large group of copies and a few strangers in
+    its lists are as many comparisons as the product of both.
+    """
+    kinds = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "comp"))
+    lists = kinds.groupBy("key").agg(most.alias("most"), F.sum("n").alias("size"), F.count("*").alias("kinds")).filter("kinds > 1 AND size > 2")
+    lists = store(lists.select("key", "size", F.col("most.comp").alias("bulk"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("bulks"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("others")), "open-lists")
+    met = attach(members, lists, "key", "size", members.count(), "inner")
+    of_bulk = F.col("comp") == F.col("bulk")
+    block = F.when(of_bulk, -1 - F.pmod(F.hash("doc"), F.col("bulks"))).otherwise(F.pmod(F.hash("doc"), F.col("others")))
+    met = met.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.when(of_bulk, F.lit(0)).otherwise(-F.col("bulks")), F.col("others") - 1)))
+    return met.select("key", "doc", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """doc_id, mark, n and component_id of every row. A class of equal sets is a node of its own, whatever ids its rows share with other classes."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = store(shingled(texts, size, run_length(percent), "doc_id", "text"), "shingled")
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least"), F.count("*").alias("times"), F.any_value("keys").alias("keys"))
-    classes = classes.filter("least IS NOT NULL").select("sig", F.xxhash64("sig").alias("node"), F.col("least.doc_id").alias("doc"), F.col("least.mark").alias("mark"), "times", "keys")
+    rows = store(shingled(texts, size, "doc_id", "text"), "shingled")
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least"), F.count("*").alias("times"), F.any_value("n").alias("n"), F.any_value("kept").alias("kept"))
+    classes = classes.filter("least IS NOT NULL").select("sig", F.monotonically_increasing_id().alias("node"), F.col("least.doc_id").alias("doc"), F.col("least.mark").alias("mark"), "times", "n", "kept")
     classes = store(classes, "classes")
-    lists = classes.select(F.explode("keys").alias("key"), F.col("node").alias("doc")).repartition("key").sortWithinPartitions("key", "doc")
-    stars = store(lists.mapInArrow(_stars, "key long, doc long, leader long"), "stars")
+    stars = store(inverted_lists(classes, percent), "stars")
     listed = stars.select(F.col("doc").alias("node")).distinct()
     sets = store(_full_sets(_some_of(texts, classes.select("node", "doc", "mark").join(listed, "node", "left_semi")), size), "sets")
 
@@ -265,13 +285,9 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     with batches_of(docs.sparkSession, WIDE_ROWS):
         links = store(verified(passed), "star-links")
     comps = store(connected_components(links), "star-components")
-    members = stars.select("key", "doc").distinct().join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    members = stars.select("key", "doc").join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     members = store(members, "members")
-    open_lists = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("size > 2 AND low <> high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(open_lists.select("key", "size"), "key").withColumn("block", F.pmod(F.hash("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "doc", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    crossed = dealt.join(sets.select("doc", "n", "sketch"), "doc").groupBy("key", "one", "two").applyInArrow(_cross(percent), "a long, b long")
+    crossed = _dealt(members).join(sets.select("doc", "n", "sketch"), "doc").groupBy("key", "one", "two").applyInArrow(_cross(percent), "a long, b long")
     with batches_of(docs.sparkSession, WIDE_ROWS):
         more = store(verified(crossed.distinct()), "cross-links")
     comps = store(connected_components(links.unionByName(more)), "components")
@@ -301,7 +317,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when each group of near-duplicates keeps its smallest id, all columns as they are."""
+    """The rows of ``docs`` that stay when each group of near-duplicates keeps its smallest id, all columns as they are.
+
+    Null texts and texts without words always stay. A row without an id goes if
+    its set equals or is near one of a row with an id; rows that share the id that
+    stays are judged each by its own text, and rows that repeat it stay. Very long
+    texts count whole; an empty table stays empty.
+    """
     gone = _placed(docs, id_col, text_col, size, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = gone.select(F.col("doc_id").alias("_sl_id"), F.col("mark").alias("_sl_mark")).distinct()
     marked = docs.withColumn("_sl_key", text_mark(F.col(text_col)))
