@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target in words. A document first gets the whole copies that
-its source's rate (target over size) makes certain. For the rest of the target,
-documents are ranked by random odds divided by inclusion odds, and the sample is
-the fixed-size head of that order, its size counted in words.
+Every source gets a target in words, and every document an expected number of
+copies in proportion to its weight, so that the words expected of a source add up
+to its target. A document first gets the whole copies that are certain; what is
+left of its expectation is its inclusion probability. Documents are ranked by
+random odds divided by inclusion odds, and the sample is the head of that order,
+its fixed size counted in words.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ from seqloom.storage import store
 WEIGHTS = (1, 2, 3)
 #: No source's target and no document's copies go beyond so many times its size.
 MOST_COPIES = 3
-#: A document's inclusion odds grow with this power of its size, so that the last ones taken tend to be short.
-SIZE_POWER = 0.5
 
 
 def words_in(text: Column) -> Column:
@@ -50,40 +50,57 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
     return s.withColumn("target", F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("_weight")))).select("source", "source_size", "target")
 
 
-def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 17, size_power: float = SIZE_POWER, row_col: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (copies times size) of every row.
+def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 17, weight_col: str | None = None, row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, expected (copies), copies and taken (copies times size) of every row.
+
+    A document of weight w in a source is expected target * w / (sum of w * size)
+    times, so that expected words add up to the target; without ``weight_col`` all
+    weigh the same, and short and long documents are taken alike. Expectations stop
+    at MOST_COPIES. Whole copies are certain, the fraction that is left is the
+    document's inclusion probability in the sample of fixed size.
 
     Documents are taken whole, so a source's words differ from its target by half
     a document at most; its last document goes in if that comes closer. The order
     depends on the id and the seed alone, so reruns agree; rows that share an id
     and a size are interchangeable. A null or empty text has size 0 and is taken
     as often as the whole copies say, which adds no word. A null source is a
-    source of its own, the last. ``row_col``, a distinct number of each row, is
-    handed on and orders rows that tie. Other columns are ignored; empty in, empty out.
+    source of its own, the last; a null or negative weight counts as 0. ``row_col``,
+    a distinct number of each row, is handed on and orders rows that tie. Other
+    columns are ignored; empty in, empty out.
     """
     row = [row_col] if row_col else []
     unit = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    sizes = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), unit.alias("_u"), *row), "sizes")
-    of = store(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
+    sizes = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), unit.alias("_u"), weight.alias("_w"), *row), "sizes")
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_weighted"))
+    of = targets(sums.select("source", "source_size"), weights).withColumnRenamed("source", "_s")
+    of = store(sums.select("source", "_weighted").join(of, F.col("source").eqNullSafe(F.col("_s"))).select("source", "source_size", "_weighted", "target"), "targets")
     # one row a source; joined by hash like any table
     rows = sizes.join(of, sizes["source"].eqNullSafe(of["source"])).drop(of["source"])
-    certain = F.floor(rate + 1e-12)
-    share = rate - certain
-    odds = F.when(share > 1e-12, share / (1 - share)).otherwise(F.lit(1e-12)) * F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(size_power))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", certain.cast("long").alias("_certain"), ((F.col("_u") / (1 - F.col("_u"))) / odds).alias("_rank"), *row)
-    ranked = running_total(store(rows, "ranked"), ["source", "_rank", "doc_id", "size", *row], "size", "_before")
+    expected = F.when(F.col("_weighted") > 0, F.least(F.col("target") * F.col("_w") / F.col("_weighted"), F.lit(float(MOST_COPIES)))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("expected", expected).withColumn("_certain", F.floor(F.col("expected") + 1e-12).cast("long"))
+    rows = rows.withColumn("_chance", F.greatest(F.col("expected") - F.col("_certain"), F.lit(0.0)))
+    odds = F.when(F.col("_chance") > 1e-12, F.col("_chance") / (1 - F.col("_chance"))).otherwise(F.lit(1e-12))
+    rows = store(rows.select("doc_id", "source", "size", "source_size", "target", "expected", "_certain", "_chance", ((F.col("_u") / (1 - F.col("_u"))) / odds).alias("_rank"), *row), "ranked")
+    # the words that the sample of each source is to have
+    rest = rows.groupBy(F.col("source").alias("_of")).agg(F.sum(F.col("_chance") * F.col("size")).alias("_rest"))
+    ranked = running_total(rows, ["source", "_rank", "doc_id", "size", *row], "size", "_before")
     # the running total spans all sources; a source starts where those before it end
     start = of.select(F.col("source").alias("_s"), F.coalesce(F.sum("source_size").over(Window.orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    start = start.join(rest, F.col("_s").eqNullSafe(F.col("_of"))).drop("_of")
     ranked = ranked.join(start, F.col("source").eqNullSafe(F.col("_s")))
-    rest = F.col("target") - F.col("_certain") * F.col("source_size")
-    sampled = (F.col("size") > 0) & (F.col("_before") - F.col("_start") + F.col("size") / 2.0 <= rest) & (rest > 1e-6)
+    sampled = (F.col("size") > 0) & (F.col("_chance") > 1e-12) & (F.col("_before") - F.col("_start") + F.col("size") / 2.0 <= F.col("_rest")) & (F.col("_rest") > 1e-6)
     copies = F.col("_certain") + sampled.cast("long")
-    return ranked.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *row)
+    return ranked.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "expected", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *row)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of the mix with all columns of ``docs``: a document appears once for each copy taken."""
+    """The rows of the mix with all columns of ``docs``: a document appears once for each copy taken.
+
+    Rows that share an id, or have none, are judged each for itself; which of equal
+    rows are taken may change between reruns, how many doesn't. Null texts and
+    sources are handled as by :func:`pareto_mix`; empty in, empty out.
+    """
     # ids may repeat or be missing, so rows are numbered, and stored with their numbers since both sides of the join need the same ones
     rows = store(docs.withColumn("_sl_row", F.monotonically_increasing_id()), "rows")
     copies = pareto_mix(rows, id_col, **how, row_col="_sl_row").filter("copies > 0").select("_sl_row", F.col("copies").alias("_sl_copies"))
