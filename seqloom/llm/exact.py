@@ -182,11 +182,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def update_index(index: DataFrame, changes: DataFrame, total: int) -> DataFrame:
+def update_index(index: DataFrame, changes: DataFrame, rows: DataFrame, total: int) -> DataFrame:
     """Apply changes (digest, row_id, rows: positive to insert, negative to delete) to an index (digest, keep_id, group_size).
 
-    Deletions follow insertions; a digest leaves when its last row goes. The kept
-    id of a digest stays the smallest ever inserted while the digest is live.
+    Deletions follow insertions; a digest leaves when its last row goes. ``rows``
+    (digest, row_id) are the live rows after the changes: a digest that changed
+    keeps the smallest id of its live ones, null if none has an id. Deleting a
+    digest that isn't live changes nothing; empty tables are allowed everywhere.
     """
     shards = max(1, -(-total // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("_shard")
@@ -202,11 +204,20 @@ def update_index(index: DataFrame, changes: DataFrame, total: int) -> DataFrame:
                 live.delete(r["digest"], -r["rows"])
         return pa.Table.from_batches([_batch(live)])
 
-    return index.groupBy(shard).cogroup(changes.groupBy(shard)).applyInArrow(apply, _FOUND)
+    live = index.groupBy(shard).cogroup(changes.groupBy(shard)).applyInArrow(apply, _FOUND)
+    # only digests that lost a row can have lost the one that stays; ids are taken as partial minima, however large a group is
+    lost = changes.filter("rows < 0").select("digest").distinct()
+    least = lost.join(rows, "digest", "left").groupBy("digest").agg(F.min("row_id").alias("_least"), F.lit(True).alias("_lost"))
+    return live.join(least, "digest", "left").select("digest", F.when(F.col("_lost"), F.col("_least")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text no row with a smaller id has, all columns as they are."""
+    """The rows of ``docs`` whose text no row with a smaller id has, all columns as they are.
+
+    Null text equals empty text. A row without an id goes if its text has a row
+    with one; rows that repeat the id that stays, or share a text and have no id,
+    all stay, since nothing tells them apart. An empty table stays empty.
+    """
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_sl_id"), F.unhex("text_sha256").alias("_sl_digest")).distinct()
     marked = docs.withColumn("_sl_key", digest(F.col(text_col)))
     # hashing the few columns of what goes spares sorting whole texts
