@@ -13,28 +13,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.language import held_out
-from seqloom.llm.text_arrays import mix, runs
+from seqloom.llm.text_arrays import LONG_WORD, mix, runs
 from seqloom.storage import remove, store
 
-#: About so many labelled rows are sampled to learn from, and so many terms are learned at most.
+#: About so many labelled rows are sampled to learn from.
 SAMPLE_ROWS = 20_000
-LEXICON = 1_000
-#: Lengths of stems; words from FUZZY characters on also match one edit away.
+#: Lengths of stems; words from FUZZY characters on also match one edit away, shorter ones only as they are.
 STEMS = (4, 5, 6)
 FUZZY = 5
-LONGEST = 24
 #: A term is learned if it stands in toxic rows at least so far (in standard deviations) beyond chance, in so many
 #: families of texts (those with the same smallest word hash are one, as near copies mostly are), and if so large a part of its rows is toxic.
+#: Nothing else bounds the lexicon than that each term takes that many rows of the sample.
 BEYOND, FAMILIES, PURITY = 4.5, 6, 0.8
 #: Words on each side of a hit that shift its score, and the buckets their hashes go to.
 WINDOW, BUCKETS = 4, 1 << 12
 #: Rows of the average toxic share that are added to a kind of hit's own: few rows prove little, and quoted hits,
 #: a kind of their own, are taken for harmless until seen otherwise. A quoted hit one edit away loses QUOTE_SHIFT.
 DOUBT, QUOTE_SHIFT = 8.0, 2.0
+#: Context words that are added to those seen around toxic and around harmless hits, dealt over buckets like all context: a kind
+#: of hit whose context was hardly seen shifts little.
+CONTEXT_DOUBT = 1_000.0
 #: A hit between quotation marks this many characters apart at most, on each side, is quoted.
 QUOTED = 80
 
@@ -65,12 +68,14 @@ class Words:
     def hashes(self) -> np.ndarray:
         n = self.end - self.start
         h = np.full(len(n), np.uint64(0xCBF29CE484222325))
-        live = np.arange(len(n))
-        for i in range(LONGEST):
+        live = np.flatnonzero(n <= LONG_WORD)
+        for i in range(LONG_WORD):
             live = live[n[live] > i]
             if not len(live):
                 break
             h[live] = (h[live] ^ self.code[self.start[live] + i]) * np.uint64(0x100000001B3)
+        for i in np.flatnonzero(n > LONG_WORD):
+            h[i] = xxhash.xxh64_intdigest(self.code[self.start[i] : self.end[i]].tobytes())
         return mix(h)
 
     def text(self, i: int) -> str:
@@ -181,7 +186,8 @@ class TermAutomaton:
         n = w.end - w.start
         live, state = np.arange(len(n)), np.ones(len(n), np.int32)
         words, kinds = [], []
-        for i in range(LONGEST + 2):
+        i = 0
+        while len(live):  # a word that no term is near to dies within the length of the longest term
             ended = n[live] == i
             kind = np.where(ended, self.accept[state], -1)
             kind = np.where(self.done[state] >= 0, self.done[state], kind)
@@ -189,9 +195,10 @@ class TermAutomaton:
             words.append(live[got]), kinds.append(kind[got])
             go = ~ended & ~got & (state > 0)
             live, state = live[go], state[go]
-            if not len(live):
-                break
             state = self.table[state, letter[w.start[live] + i]]
+            i += 1
+        if not words:
+            return live, np.zeros(0, np.int64)
         words, kinds = np.concatenate(words), np.concatenate(kinds)
         order = np.argsort(words, kind="stable")
         return words[order], kinds[order]
@@ -208,53 +215,57 @@ class ToxicityModel:
 
 
 def _terms_of(w: Words, toxic: np.ndarray) -> dict:
-    """term -> [toxic rows, clean rows, bitmap of the families of its toxic rows]; words are marked by a trailing blank."""
-    found: dict[str, list[int]] = {}
-    h = w.hashes()
+    """(term, family) -> [toxic rows, clean rows], where clean rows have no family; words are marked by a trailing blank."""
+    found: dict[tuple[str, int | None], list[int]] = {}
+    h = w.hashes().view(np.int64)
     lo = np.searchsorted(w.row, np.arange(w.rows))
     hi = np.searchsorted(w.row, np.arange(w.rows), "right")
     for r in range(w.rows):
         seen: set[str] = set()
         for i in range(lo[r], hi[r]):
-            if STEMS[0] <= w.end[i] - w.start[i] <= LONGEST:
-                t = w.text(i)
-                seen.update((t + " ", *(t[:k] for k in STEMS if k < len(t))))
-        family = int(h[lo[r] : hi[r]].min() % np.uint64(63)) if hi[r] > lo[r] else 0
+            t = w.text(i)
+            seen.update((t + " ", *(t[:k] for k in STEMS if k < len(t))))
+        family = int(h[lo[r] : hi[r]].min()) if toxic[r] and hi[r] > lo[r] else None
         for key in seen:
-            e = found.setdefault(key, [0, 0, 0])
-            e[1 - int(toxic[r])] += 1
-            e[2] |= 1 << family if toxic[r] else 0
+            found.setdefault((key, family), [0, 0])[1 - int(toxic[r])] += 1
     return found
 
 
 def learn_lexicon(sample: DataFrame, toxic_share: float) -> list[Term]:
-    """Terms of the sample (text, toxic) that pass BEYOND, FAMILIES and PURITY; LEXICON of them at most, most frequent first."""
+    """Terms of the sample (text, toxic) that pass BEYOND, FAMILIES and PURITY, most frequent first."""
 
     def count(batches):
         for b in batches:
             toxic = b.column("toxic").to_numpy(zero_copy_only=False)
             for lo, hi, buf, offs in runs(b.column("text")):
                 found = _terms_of(Words(buf, offs), toxic[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([e[k] for e in found.values()], pa.int64()) for k in range(3))], names=["term", "toxic", "clean", "families"])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), *(pa.array([e[k] for e in found.values()], pa.int64()) for k in range(2))], names=["term", "family", "toxic", "clean"])
 
-    counts = sample.mapInArrow(count, "term string, toxic long, clean long, families long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("families")).alias("families"))
+    counts = sample.mapInArrow(count, "term string, family long, toxic long, clean long").groupBy("term", "family").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("family").alias("families"))
     rows = F.col("toxic") + F.col("clean")
     expected = rows * float(toxic_share)
     far = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    kept = counts.filter((far >= BEYOND) & (F.col("families") >= FAMILIES) & (F.col("toxic") / rows >= PURITY)).orderBy(F.desc("toxic"), "term").limit(4 * LEXICON).collect()
+    # the sample's size bounds what is collected
+    kept = counts.filter((far >= BEYOND) & (F.col("families") >= FAMILIES) & (F.col("toxic") / rows >= PURITY)).collect()
     toxic = {r.term: r.toxic for r in kept}
-    chosen: list[Term] = []
-    for r in sorted(kept, key=lambda r: (r.term.endswith(" "), len(r.term), r.term)):
-        word = r.term.strip()
-        if any(word.startswith(t.text) if t.stem else word == t.text for t in chosen):
-            continue
-        if r.term.endswith(" "):
-            chosen.append(Term(word, False))
+    words = [t for t in toxic if t.endswith(" ")]
+    best: dict[str, str] = {}  # the most frequent word that begins with each stem
+    for w in sorted(words, key=lambda w: (toxic[w], w)):
+        best |= {w[:k]: w for k in STEMS if k < len(w)}
+    stems: set[str] = set()
+    chosen: set[Term] = set()
+    for stem in sorted((t for t in toxic if not t.endswith(" ")), key=lambda t: (len(t), t)):
+        if any(stem[:k] in stems for k in STEMS):
             continue
         # a stem that stands for one word nearly always is that word
-        one = max((w for w in toxic if w.endswith(" ") and w.startswith(word)), key=toxic.get, default=None)
-        chosen.append(Term(one.strip(), False) if one and toxic[one] >= 0.9 * r.toxic else Term(word, True))
-    return sorted(set(chosen), key=lambda t: (-toxic.get(t.text if t.stem else t.text + " ", 0), t.text))[:LEXICON]
+        if stem in best and toxic[best[stem]] >= 0.9 * toxic[stem]:
+            chosen.add(Term(best[stem].strip(), False))
+        else:
+            stems.add(stem)
+            chosen.add(Term(stem, True))
+    chosen |= {Term(w.strip(), False) for w in words if not any(w.strip()[:k] in stems for k in STEMS)}
+    return sorted(chosen, key=lambda t: (-toxic.get(t.text if t.stem else t.text + " ", 0), t.text))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
@@ -309,10 +320,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     once = n[n.sum(1) == 1].sum(0)
     fresh = (once[1] + share) / (once.sum() + 1)  # a form never seen tells what the forms seen once told
     known = (n[:, 1] + 2 * fresh) / (n.sum(1) + 2)
-    shift = np.zeros(BUCKETS)
-    if context[0].sum() >= 50:  # with hardly a harmless hit, its context can't be learned
-        rate = (context + 1) / (context.sum(1, keepdims=True) + BUCKETS)
-        shift = np.clip(np.log(rate[1] / rate[0]), -2, 2)
+    usual = context.sum(0) / max(context.sum(), 1)
+    rate = (context + CONTEXT_DOUBT * usual) / (context.sum(1, keepdims=True) + CONTEXT_DOUBT)
+    shift = np.clip(np.log(np.where(usual > 0, rate[1], 1) / np.where(usual > 0, rate[0], 1)), -2, 2)
     return ToxicityModel(automaton, _logit(own), forms, _logit(np.append(known, fresh)), shift, (clear[1] + 0.5) / (clear.sum() + 1))
 
 
