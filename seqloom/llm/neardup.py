@@ -40,6 +40,8 @@ BLOCK = 500
 WIDE_ROWS = 500
 #: Rows and sketch values that a comparison holds as a matrix at once.
 ROWS, COLUMNS = 512, 1024
+#: Pairs whose lists are compared at once.
+PAIRS = 4_096
 #: Bits of the filter that keeps texts without a partner out of the shuffle; a full filter only lets more texts through.
 FILTER_BITS = 1 << 23
 
@@ -211,7 +213,11 @@ def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 def _cross(percent: int):
     def compare(table: pa.Table) -> pa.Table:
-        """One list, or two blocks of one: pairs of different components that pass the union sketch."""
+        """One list, or two blocks of one: pairs of different components that pass the union sketch, each in the first list that it shares."""
+        listed = [np.asarray(k, np.int64) for k in table["keys"].to_pylist()]
+        keys = np.full((len(listed), max(map(len, listed))), np.iinfo(np.int64).max)
+        for i, k in enumerate(listed):
+            keys[i, : len(k)] = k
         doc, comp, n, block = (table[c].to_numpy() for c in ("doc", "comp", "n", "block"))
         sketch = [np.frombuffer(s, np.uint32) for s in table["sketch"].to_pylist()]
         a, z = (np.flatnonzero(block == table[c][0].as_py()) for c in ("one", "two"))
@@ -241,6 +247,8 @@ def _cross(percent: int):
             if same:
                 ok &= doc[some][:, None] < doc[z]
             i, j = np.nonzero(ok)
+            first = [np.where((keys[some[i[c]]][:, :, None] == keys[z[j[c]]][:, None, :]).any(2), keys[some[i[c]]], np.iinfo(np.int64).max).min(1) == table["key"][0].as_py() for c in (slice(k, k + PAIRS) for k in range(0, len(i), PAIRS))]
+            i, j = (x[np.concatenate(first)] if first else x for x in (i, j))
             out_a.append(doc[some[i]]), out_b.append(doc[z[j]])
         x, y = np.concatenate(out_a), np.concatenate(out_b)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
@@ -287,9 +295,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     comps = store(connected_components(links), "star-components")
     members = stars.select("key", "doc").join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     members = store(members, "members")
-    crossed = _dealt(members).join(sets.select("doc", "n", "sketch"), "doc").groupBy("key", "one", "two").applyInArrow(_cross(percent), "a long, b long")
+    listed = sets.select("doc", "n", "sketch").join(members.groupBy("doc").agg(F.collect_list("key").alias("keys")), "doc")  # RETAINED keys at most
+    crossed = _dealt(members).join(listed, "doc").groupBy("key", "one", "two").applyInArrow(_cross(percent), "a long, b long")
     with batches_of(docs.sparkSession, WIDE_ROWS):
-        more = store(verified(crossed.distinct()), "cross-links")
+        more = store(verified(crossed), "cross-links")
     comps = store(connected_components(links.unionByName(more)), "components")
     # a component takes the smallest id of its classes; large ones are kept out of the shuffle
     named = comps.join(classes.select("node", "doc"), "node")
