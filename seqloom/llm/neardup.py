@@ -114,7 +114,9 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     first = F.slice("found", F.lit(1), F.greatest(F.size("found") - F.col("spare"), F.lit(0)))
     lists = store(ranked.select(F.col("node").alias("doc"), F.explode(first).alias("value")).select("doc", F.col("value.key").alias("key")), "lists")
     leaders = store(lists.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("size")).filter("size > 1"), "leaders")
-    return attach(lists, leaders, "key", "size", lists.count(), "inner").select("key", "doc", "leader")
+    out = store(attach(lists, leaders, "key", "size", lists.count(), "inner").select("key", "doc", "leader"), "stars")
+    remove(often, lists, leaders)
+    return out
 
 
 def _some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -281,7 +283,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     classes = rows.filter("n > 0").groupBy("sig").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least"), F.count("*").alias("times"), F.any_value("n").alias("n"), F.any_value("kept").alias("kept"))
     classes = classes.filter("least IS NOT NULL").select("sig", F.monotonically_increasing_id().alias("node"), F.col("least.doc_id").alias("doc"), F.col("least.mark").alias("mark"), "times", "n", "kept")
     classes = store(classes, "classes")
-    stars = store(inverted_lists(classes, percent), "stars")
+    stars = inverted_lists(classes, percent)
     listed = stars.select(F.col("doc").alias("node")).distinct()
     sets = store(_full_sets(_some_of(texts, classes.select("node", "doc", "mark").join(listed, "node", "left_semi")), size), "sets")
 
