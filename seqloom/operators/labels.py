@@ -102,3 +102,8 @@ def in_view(annotations: DataFrame, start: int, stop: int) -> DataFrame:
 def page(frames: DataFrame, number: int, size: int, t: str = "t") -> DataFrame:
     """One screen of frames."""
     return frames.filter((F.col(t) >= number * size) & (F.col(t) < (number + 1) * size))
+
+
+def full_views(frames: DataFrame, part: str, least: int) -> DataFrame:
+    """Frames of the parts that have ``least`` of them; a view that runs out earlier is skipped."""
+    return frames.join(frames.groupBy(part).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n"), part)

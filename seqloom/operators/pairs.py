@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,40 @@ def against(queries: DataFrame, corpus: DataFrame, key: str, length: str | None
     return out.filter(F.abs(F.col(f"q_{length}") - F.col(f"s_{length}")) < within) if length else out
 
 
+def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, per_block: int = PER_BLOCK) -> DataFrame:
+    """q_ and s_ columns of pairs among which are each query's k nearest rows by cosine, itself left out.
+
+    Blocks of queries meet slices of rows as in :func:`against`, each as one matrix
+    product, and a slice hands on a query's k best (and what ties with them to nine
+    places), so that slices times k rows a query are ranked. All vectors have one length.
+    """
+    spark = corpus.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // per_block))
+    dealt = lambda df, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q, s = dealt(queries, "_block", blocks, "_slice", slices), dealt(corpus, "_slice", slices, "_block", blocks)
+
+    columns = queries.columns, corpus.columns
+
+    def unit(t: pa.Table) -> np.ndarray:
+        x = t[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            i = j = np.zeros(0, np.int64)
+        else:
+            near = unit(a) @ unit(b).T
+            near[a[key].to_numpy()[:, None] == b[key].to_numpy()] = -np.inf
+            last = np.partition(near, max(0, near.shape[1] - k), 1)[:, max(0, near.shape[1] - k)]
+            i, j = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
+        sides = (("q", a.take(pa.array(i)), columns[0]), ("s", b.take(pa.array(j)), columns[1]))
+        return pa.table({f"{side}_{c}": t[c] for side, t, names in sides for c in names})
+
+    fields = ", ".join(f"{side}_{f.name} {f.dataType.simpleString()}" for side, df in (("q", queries), ("s", corpus)) for f in df.schema)
+    return q.groupBy("_block", "_slice").cogroup(s.groupBy("_block", "_slice")).applyInArrow(best, fields)
+
+
 def in_interval(points: DataFrame, spans: DataFrame, part: str, at: str = "t", start: str = "start", stop: str = "stop", width: int = 64) -> DataFrame:
     """Points with the half-open spans of their part that hold them: an equi-join on stretches of ``width`` that a span touches."""
     stretch = F.explode(F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor((F.col(stop) - 1) / width).cast("long")))

@@ -67,3 +67,32 @@ def running_total_in(df: DataFrame, part: str, order: list[str], value: str, out
 def rank_in(df: DataFrame, part: str, order: list[str], out: str) -> DataFrame:
     """Add ``out``: the rank from 0 among the rows of the same ``part``; ``order`` should leave no ties."""
     return running_total_in(df.withColumn("_sl_one", F.lit(1)), part, order, "_sl_one", out).drop("_sl_one")
+
+
+def at_ranks(df: DataFrame, value: str, ranks: DataFrame) -> DataFrame:
+    """The columns of ``ranks`` (a few rows with ``rank``, from 0) with the value of that rank among all rows, nulls first, as ``at``. ``df`` should be stored."""
+    ranked = running_total(df.select(value).withColumn("_sl_one", F.lit(1)), [value], "_sl_one", "_sl_rank")
+    return ranked.join(F.broadcast(ranks), F.col("_sl_rank") == F.col("rank")).select(*ranks.columns, F.col(value).alias("at"))
+
+
+def percentiles(df: DataFrame, value: str, percents: list[int]) -> DataFrame:
+    """percent and dist: exact percentiles, interpolated between the two nearest ranks, without gathering the values. Nulls count as smallest; an empty table has none."""
+    n = df.count()
+    places = [(p, (n - 1) * p / 100) for p in percents] if n else []
+    ends = [(p, int(x) + k, 1 - (x - int(x)) if k == 0 else x - int(x)) for p, x in places for k in (0, 1) if int(x) + k < n]
+    ranks = df.sparkSession.createDataFrame(ends, "percent long, rank long, share double")
+    return at_ranks(df, value, ranks).groupBy("percent").agg(F.sum(F.when(F.col("share") > 0, F.col("share") * F.col("at")).otherwise(0.0)).alias("dist"))
+
+
+def consecutive(df: DataFrame, order: str, key: str, out: str) -> DataFrame:
+    """Add ``out``, the number from 0 of the run of rows with one ``key`` (null is a key too) that follow each other in ``order``, which must be distinct.
+
+    A row finds its predecessor by rank, so no task orders the whole table.
+    """
+    stored = store(df, "ordered")
+    ranked = store(running_total(stored.withColumn("_sl_one", F.lit(1)), [order], "_sl_one", "_sl_at").drop("_sl_one"), "numbered")
+    before = ranked.select((F.col("_sl_at") + 1).alias("_sl_next"), F.col(key).alias("_sl_key"))
+    fresh = F.when(F.col("_sl_next").isNotNull() & F.col(key).eqNullSafe(F.col("_sl_key")), 0).otherwise(1)
+    turned = ranked.join(before, F.col("_sl_at") == F.col("_sl_next"), "left").withColumn("_sl_new", fresh).drop("_sl_next", "_sl_key")
+    total = running_total(store(turned, "turned"), [order], "_sl_new", "_sl_runs")
+    return total.withColumn(out, F.col("_sl_runs") + F.col("_sl_new") - 1).drop("_sl_runs", "_sl_new", "_sl_at")

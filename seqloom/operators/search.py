@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from seqloom.functions.sequences import ngrams, overlaps
 from seqloom.operators.distance import edit_distance
 from seqloom.operators.pairs import against
-from seqloom.operators.prefix import running_total
+from seqloom.operators.prefix import at_ranks, running_total
 from seqloom.storage import store
 
 
@@ -54,6 +54,15 @@ def discovery(queries: DataFrame, corpus: DataFrame, k: int = 10, n: int = 2) ->
     return nearest(pairs.select("q", "s", edit_distance(F.col("q_symbols"), F.col("s_symbols")).alias("dist")), k)
 
 
+def suppressed(regions: DataFrame, label: str, silent: str, noise: str, likelihood: str, part: float = 0.01, noisy: float = 0.9) -> DataFrame:
+    """Add ``suppressed``: silent, or ``noisy`` noise at least, or no likelier than the region at rank floor(n * part)."""
+    stored = store(regions, "regions")
+    place = stored.sparkSession.createDataFrame([(int(stored.count() * part),)], "rank long")
+    edge = at_ranks(stored, likelihood, place).select(F.col("at").alias("_edge"))  # one row, none for an empty table
+    bad = (F.col(label) == silent) | (F.col(noise) >= noisy) | (F.col(likelihood) <= F.col("_edge"))
+    return stored.crossJoin(F.broadcast(edge)).withColumn("suppressed", bad).drop("_edge")
+
+
 def density(queries: DataFrame, graph: DataFrame, k: int = 10) -> DataFrame:
     """1 / (1 + distance of the k-th neighbour) of each query, a trifle where it has fewer."""
     far = graph.groupBy("q").agg(F.max("dist").alias("far"), F.count("*").alias("n"))

@@ -18,10 +18,11 @@ def gram_counts(sequences: DataFrame, label: str, grams: Column) -> DataFrame:
 
 def frequencies(counts: DataFrame, support: int = 3) -> DataFrame:
     """label, gram, freq over grams with ``support`` occurrences in all labels together; a label's frequencies add to 1."""
-    counts = store(counts, "gram-counts")  # read three times
-    kept = counts.groupBy("gram").agg(F.sum("n").alias("all")).filter(F.col("all") >= support)
-    sums = counts.join(kept, "gram").groupBy("label").agg(F.sum("n").alias("total"))
-    return counts.join(kept, "gram").join(sums, "label").select("label", "gram", (F.col("n") / F.col("total")).alias("freq"))
+    counts = store(counts, "gram-counts")
+    frequent = counts.groupBy("gram").agg(F.sum("n").alias("all")).filter(F.col("all") >= support).select("gram")
+    kept = store(counts.join(frequent, "gram"), "kept-grams")
+    sums = kept.groupBy("label").agg(F.sum("n").alias("total"))  # a row for each label, of which there are few
+    return kept.join(F.broadcast(sums), "label").select("label", "gram", (F.col("n") / F.col("total")).alias("freq"))
 
 
 def paired(freqs: DataFrame) -> DataFrame:
@@ -37,8 +38,14 @@ def paired(freqs: DataFrame) -> DataFrame:
 
 
 def chi_square(pairs: DataFrame) -> DataFrame:
-    """kx, ky, statistic (sum of (fx - fy)^2 / fy where fy > 0) and the number of grams."""
-    return pairs.groupBy("kx", "ky").agg(F.sum(F.when(F.col("fy") > 0, (F.col("fx") - F.col("fy")) ** 2 / F.col("fy"))).alias("statistic"), F.count("*").alias("grams"))
+    """kx, ky, statistic (sum of (fx - fy)^2 / fy where fy > 0), the number of grams and, of those, absent ones that ky lacks."""
+    return pairs.groupBy("kx", "ky").agg(F.sum(F.when(F.col("fy") > 0, (F.col("fx") - F.col("fy")) ** 2 / F.col("fy"))).alias("statistic"), F.count("*").alias("grams"), F.count_if(F.col("fy") == 0).alias("absent"))
+
+
+def differing(pairs: DataFrame, below: float = 0.001) -> DataFrame:
+    """The label pairs (kx, ky) whose distributions differ by chi-square with p < ``below``; a gram that ky lacks makes the statistic infinite and p 0."""
+    p = F.when(F.col("absent") > 0, F.lit(0.0)).otherwise(chi_square_p(F.col("statistic"), F.col("grams") - 1))
+    return chi_square(pairs).withColumn("p", p).filter(F.col("p") < below).select("kx", "ky")
 
 
 def chi_square_p(statistic: Column, freedom: Column) -> Column:

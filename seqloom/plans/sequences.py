@@ -170,8 +170,8 @@ def triangular_smooth(spark, sf):
     return frames(spark, sf).select("rec", "t", F.round(windows.smooth_same(F.col("value"), "rec", ["t"], windows.triangle(8)), 8).alias("smooth"))
 
 
-#: Candidates share three symbols in a row; with five symbols, pairs of them would meet nearly everything.
-GRAM = 3
+#: Candidates share two symbols in a row; the trigram_* queries take three, which loses candidates but spares comparisons.
+GRAM, LONGER = 2, 3
 _CANDIDATES = f"""{SEQUENCES},
 g AS (SELECT seq_id, unnest(list_distinct({_gram_sql(GRAM, '|')})) AS gram FROM sequences),
 c AS (SELECT DISTINCT a.seq_id AS q, b.seq_id AS s FROM g a JOIN g b USING (gram) WHERE a.seq_id % 50 = 0)"""
@@ -192,53 +192,58 @@ def _corpus(spark, sf):
     return queries_of(s, "seq_id"), s
 
 
+def _met(spark, sf, *columns):
+    """With five symbols there are 25 bigrams, too few for join keys: every query meets every row in blocks."""
+    return search.met_in_blocks(*_corpus(spark, sf), GRAM, *columns)
+
+
+def _with_distance(pairs):
+    return pairs.select("q", "s", search.edit_distance(F.col("q_symbols"), F.col("s_symbols")).alias("dist"))
+
+
+_RANKED = "SELECT q, s, dist, row_number() OVER (PARTITION BY q ORDER BY dist, s DESC) AS rank FROM d"
+_GRAPH = f"WITH {_PAIRS}, graph AS (SELECT * FROM ({_RANKED} WHERE {_APART}) WHERE rank <= 10)"
+_DENSITY = f"""{_GRAPH},
+density AS (SELECT x.seq_id AS q, CASE WHEN count(g.s) >= 10 THEN 1 / (1 + max(g.dist)) ELSE 1e-8 END AS density FROM sequences x LEFT JOIN graph g ON g.q = x.seq_id WHERE x.seq_id % 50 = 0 GROUP BY x.seq_id),
+cdf AS (SELECT q, density, sum(density) OVER (ORDER BY q) / sum(density) OVER () AS cdf FROM density)"""
+
+
 @query("ngram_candidates", f"WITH {_CANDIDATES} SELECT q, s FROM c")
 def ngram_candidates(spark, sf):
-    return search.candidates(*_corpus(spark, sf), GRAM)
+    return _met(spark, sf)
 
 
 @query("overlap_reject_pairs", f"WITH {_PAIRS} SELECT q, s FROM p WHERE {_APART}")
 def overlap_reject_pairs(spark, sf):
-    q, s = _corpus(spark, sf)
-    return search.apart(search.with_sequences(search.candidates(q, s, GRAM), q, s, "encounter", "start", "stop")).select("q", "s")
+    return search.apart(_met(spark, sf, "encounter", "start", "stop")).select("q", "s")
 
 
 @query("edit_distance_pairs", f"WITH {_PAIRS} SELECT q, s, round(dist, 6) AS dist FROM d")
 def edit_distance_pairs(spark, sf):
-    q, s = _corpus(spark, sf)
-    pairs = search.with_sequences(search.candidates(q, s, GRAM), q, s, "symbols")
-    return pairs.select("q", "s", F.round(search.edit_distance(F.col("q_symbols"), F.col("s_symbols")), R).alias("dist"))
-
-
-_RANKED = "SELECT q, s, dist, row_number() OVER (PARTITION BY q ORDER BY dist, s DESC) AS rank FROM d"
+    return _with_distance(_met(spark, sf, "symbols")).withColumn("dist", F.round("dist", R))
 
 
 @query("knn_strict", f"WITH {_PAIRS} SELECT q, s, round(dist, 6) AS dist, rank FROM ({_RANKED}) WHERE rank <= 10")
 def knn_strict(spark, sf):
-    return search.strict_search(*_corpus(spark, sf), 10, GRAM).select("q", "s", F.round("dist", R).alias("dist"), "rank")
+    return search.nearest(_with_distance(_met(spark, sf, "symbols")), 10).withColumn("dist", F.round("dist", R))
 
 
-_GRAPH = f"WITH {_PAIRS}, graph AS (SELECT * FROM ({_RANKED} WHERE {_APART}) WHERE rank <= 10)"
+def _graph(spark, sf):
+    return search.nearest(_with_distance(search.apart(_met(spark, sf, "symbols", "encounter", "start", "stop"))), 10)
 
 
 @query("discovery_graph", f"{_GRAPH} SELECT q, s, round(dist, 6) AS dist, rank FROM graph")
 def discovery_graph(spark, sf):
-    return search.discovery(*_corpus(spark, sf), 10, GRAM).select("q", "s", F.round("dist", R).alias("dist"), "rank")
-
-
-_DENSITY = f"""{_GRAPH},
-density AS (SELECT x.seq_id AS q, CASE WHEN count(g.s) >= 10 THEN 1 / (1 + max(g.dist)) ELSE 1e-8 END AS density FROM sequences x LEFT JOIN graph g ON g.q = x.seq_id WHERE x.seq_id % 50 = 0 GROUP BY x.seq_id),
-cdf AS (SELECT q, density, sum(density) OVER (ORDER BY q) / sum(density) OVER () AS cdf FROM density)"""
+    return _graph(spark, sf).withColumn("dist", F.round("dist", R))
 
 
 def _density(spark, sf):
-    q, s = _corpus(spark, sf)
-    return search.density(q, search.discovery(q, s, 10, GRAM))
+    return search.density(_corpus(spark, sf)[0], _graph(spark, sf))
 
 
 @query("density", f"{_DENSITY} SELECT q, round(density, 6) AS density FROM density")
 def density(spark, sf):
-    return _density(spark, sf).select("q", F.round("density", R).alias("density"))
+    return _density(spark, sf).withColumn("density", F.round("density", R))
 
 
 @query("density_cdf", f"{_DENSITY} SELECT q, round(cdf, 6) AS cdf FROM cdf")
@@ -254,65 +259,56 @@ def weighted_sample(spark, sf):
     return search.draw(search.cumulative(_density(spark, sf)), _POINTS)
 
 
-def _bigram(name: str):
-    """The query ``name`` over candidates that share a bigram, as the reference has it; its SQL is the other's with n = 2."""
-    return query(f"bigram_{name}", oracle_sql()[name].replace(_gram_sql(GRAM, "|"), _gram_sql(2, "|")))
-
-
-def _bigram_pairs(spark, sf, *columns):
-    return search.met_in_blocks(*_corpus(spark, sf), 2, *columns)
+def _trigram(name: str):
+    """The query ``name`` over candidates that share a trigram, met by a join on it; its SQL is the other's with n = 3."""
+    return query(f"trigram_{name}", oracle_sql()[name].replace(_gram_sql(GRAM, "|"), _gram_sql(LONGER, "|")))
 
 
-def _with_distance(pairs):
-    return pairs.select("q", "s", search.edit_distance(F.col("q_symbols"), F.col("s_symbols")).alias("dist"))
-
-
-def _bigram_graph(spark, sf):
-    return search.nearest(_with_distance(search.apart(_bigram_pairs(spark, sf, "symbols", "encounter", "start", "stop"))), 10)
-
-
-def _bigram_densities(spark, sf):
-    return search.density(_corpus(spark, sf)[0], _bigram_graph(spark, sf))
+def _trigram_density(spark, sf):
+    q, s = _corpus(spark, sf)
+    return search.density(q, search.discovery(q, s, 10, LONGER))
 
 
-@_bigram("ngram_candidates")
-def bigram_ngram_candidates(spark, sf):
-    return _bigram_pairs(spark, sf)
+@_trigram("ngram_candidates")
+def trigram_ngram_candidates(spark, sf):
+    return search.candidates(*_corpus(spark, sf), LONGER)
 
 
-@_bigram("overlap_reject_pairs")
-def bigram_overlap_reject_pairs(spark, sf):
-    return search.apart(_bigram_pairs(spark, sf, "encounter", "start", "stop")).select("q", "s")
+@_trigram("overlap_reject_pairs")
+def trigram_overlap_reject_pairs(spark, sf):
+    q, s = _corpus(spark, sf)
+    return search.apart(search.with_sequences(search.candidates(q, s, LONGER), q, s, "encounter", "start", "stop")).select("q", "s")
 
 
-@_bigram("edit_distance_pairs")
-def bigram_edit_distance_pairs(spark, sf):
-    return _with_distance(_bigram_pairs(spark, sf, "symbols")).withColumn("dist", F.round("dist", R))
+@_trigram("edit_distance_pairs")
+def trigram_edit_distance_pairs(spark, sf):
+    q, s = _corpus(spark, sf)
+    return _with_distance(search.with_sequences(search.candidates(q, s, LONGER), q, s, "symbols")).withColumn("dist", F.round("dist", R))
 
 
-@_bigram("knn_strict")
-def bigram_knn_strict(spark, sf):
-    return search.nearest(_with_distance(_bigram_pairs(spark, sf, "symbols")), 10).withColumn("dist", F.round("dist", R))
+@_trigram("knn_strict")
+def trigram_knn_strict(spark, sf):
+    return search.strict_search(*_corpus(spark, sf), 10, LONGER).withColumn("dist", F.round("dist", R))
 
 
-@_bigram("discovery_graph")
-def bigram_discovery_graph(spark, sf):
-    return _bigram_graph(spark, sf).withColumn("dist", F.round("dist", R))
+@_trigram("discovery_graph")
+def trigram_discovery_graph(spark, sf):
+    return search.discovery(*_corpus(spark, sf), 10, LONGER).withColumn("dist", F.round("dist", R))
 
 
-@_bigram("density")
-def bigram_density(spark, sf):
-    return _bigram_densities(spark, sf).withColumn("density", F.round("density", R))
+@_trigram("density")
+def trigram_density(spark, sf):
+    return _trigram_density(spark, sf).withColumn("density", F.round("density", R))
 
 
-@_bigram("density_cdf")
-def bigram_density_cdf(spark, sf):
-    return search.cumulative(_bigram_densities(spark, sf)).select("q", F.round("cdf", R).alias("cdf"))
+@_trigram("density_cdf")
+def trigram_density_cdf(spark, sf):
+    return search.cumulative(_trigram_density(spark, sf)).select("q", F.round("cdf", R).alias("cdf"))
 
 
-@_bigram("weighted_sample")
-def bigram_weighted_sample(spark, sf):
-    return search.draw(search.cumulative(_bigram_densities(spark, sf)), _POINTS)
+@_trigram("weighted_sample")
+def trigram_weighted_sample(spark, sf):
+    return search.draw(search.cumulative(_trigram_density(spark, sf)), _POINTS)
 
 
 @query("history_latest", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")

@@ -1,4 +1,4 @@
-"""Queries that compare groups by their word n-grams, and set operations."""
+"""Queries that compare groups by their n-grams, and set operations."""
 
 from __future__ import annotations
 
@@ -7,39 +7,59 @@ from pyspark.sql.window import Window
 
 from seqloom.functions import sequences as fs
 from seqloom.operators import statistics
+from seqloom.operators.prefix import consecutive
 from seqloom.plans import query
-from seqloom.plans.views import GRAMS, queries_of, table
+from seqloom.plans.views import GRAMS, TOKENS, frames, queries_of, table
+from seqloom.plans.views import tokens as token_view
+from seqloom.storage import store
 
 R = 9
-
-_WORDS = r"words AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents WHERE text IS NOT NULL)"
-_GRAMS = f"{_WORDS}, g AS (SELECT doc_id, lang AS label, unnest({GRAMS.format(s='w', n=2, sep=' ')}) AS gram FROM words)"
-_COUNTS = f"WITH {_GRAMS}, c AS (SELECT label, gram, count(*) AS n FROM g GROUP BY ALL)"
+#: n-grams are counted up to this length.
+LONGEST = 9
+
+_STRINGS = f"""{TOKENS},
+l1 AS (SELECT rec, list(cls ORDER BY t) AS w FROM frames GROUP BY rec), l2 AS (SELECT rec, list(cls ORDER BY start) AS w FROM tokens GROUP BY rec),
+strings AS (SELECT rec, left(CAST(rec AS VARCHAR), 1) AS label, 1 AS level, w FROM l1 UNION ALL SELECT rec, left(CAST(rec AS VARCHAR), 1), 2, w FROM l2)"""
+_EACH = ", ".join(GRAMS.format(s="w", n=n, sep=" ") for n in range(1, LONGEST + 1))
+_COUNTS = f"WITH RECURSIVE {_STRINGS}, g AS (SELECT label, unnest(flatten([{_EACH}])) AS gram FROM strings), c AS (SELECT label, gram, count(*) AS n FROM g GROUP BY ALL)"
 _FREQ = f"{_COUNTS}, kept AS (SELECT gram FROM c GROUP BY gram HAVING sum(n) >= 3), f AS (SELECT label, gram, n / sum(n) OVER (PARTITION BY label) AS freq FROM c JOIN kept USING (gram))"
 _PAIRED = f"""{_FREQ}, l AS (SELECT DISTINCT label FROM f), grid AS (SELECT x.label AS kx, y.label AS ky FROM l x JOIN l y ON x.label <> y.label),
 x AS (SELECT kx, ky, gram, freq AS fx FROM f JOIN grid ON kx = label), y AS (SELECT kx, ky, gram, freq AS fy FROM f JOIN grid ON ky = label),
-p AS (SELECT kx, ky, gram, coalesce(fx, 0) AS fx, coalesce(fy, 0) AS fy FROM x FULL JOIN y USING (kx, ky, gram))"""
-_TOP = f"{_PAIRED}, t AS (SELECT kx, ky, gram, fx - fy AS diff, row_number() OVER (PARTITION BY kx, ky ORDER BY round(abs(fx - fy), 12) DESC, gram) AS rank FROM p WHERE kx < ky)"
+p AS (SELECT kx, ky, gram, coalesce(fx, 0) AS fx, coalesce(fy, 0) AS fy FROM x FULL JOIN y USING (kx, ky, gram)),
+chi AS (SELECT kx, ky, sum(CASE WHEN fy > 0 THEN (fx - fy) ** 2 / fy END) AS statistic, count(*) AS grams, count(*) FILTER (fy = 0) AS absent FROM p GROUP BY kx, ky)"""
+# the lower tail of chi-square with grams - 1 degrees of freedom as a series; far above its mean it is 1
+_TAIL = """CASE WHEN absent > 0 OR statistic > 4 * grams + 1000 THEN 0 ELSE 1 - coalesce(exp(-statistic / 2 + (grams - 1) / 2 * ln(statistic / 2) - lgamma((grams - 1) / 2 + 1))
+  * list_sum(list_transform(range(0, 4000), lambda n: exp(n * ln(statistic / 2) + lgamma((grams - 1) / 2 + 1) - lgamma((grams - 1) / 2 + 1 + n)))), 0) END"""
+_TOP = f"{_PAIRED}, differing AS (SELECT kx, ky FROM chi WHERE {_TAIL} < 0.001), t AS (SELECT kx, ky, gram, fx - fy AS diff, row_number() OVER (PARTITION BY kx, ky ORDER BY round(abs(fx - fy), 12) DESC, gram) AS rank FROM p JOIN differing USING (kx, ky))"
+
+
+def strings(spark, sf):
+    """label (first character of the recording's name) and w: each recording's frames and its tokens as two strings of symbols."""
+    f, t = frames(spark, sf), token_view(spark, sf)
+    listed = lambda df, order: df.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct(order, "cls"))).alias("l")).select("rec", F.col("l.cls").alias("w"))
+    both = listed(f, "t").withColumn("level", F.lit(1)).unionByName(listed(t, "start").withColumn("level", F.lit(2)))
+    return both.withColumn("label", F.left(F.col("rec").cast("string"), F.lit(1)))
 
 
-def words(spark, sf):
-    d = table(spark, sf, "documents").filter(F.col("text").isNotNull())
-    return d.select("doc_id", "lang", "source", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1).alias("w"))
+def _counts(spark, sf):
+    """Occurrences of n-grams of 1 to LONGEST symbols by label, both levels together."""
+    return statistics.gram_counts(strings(spark, sf), "label", fs.phrases(F.col("w"), LONGEST))
 
 
 def _frequencies(spark, sf):
-    return statistics.frequencies(statistics.gram_counts(words(spark, sf), "lang", fs.ngrams(F.col("w"), 2, " ")))
+    return statistics.frequencies(_counts(spark, sf))
 
 
 def _top(spark, sf, k=25):
-    p = statistics.paired(_frequencies(spark, sf)).filter("kx < ky")
+    p = store(statistics.paired(_frequencies(spark, sf)), "paired")
     w = Window.partitionBy("kx", "ky").orderBy(F.round(F.abs(F.col("fx") - F.col("fy")), 12).desc(), "gram")
-    return p.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).withColumn("diff", F.col("fx") - F.col("fy"))
+    differ = F.broadcast(statistics.differing(p))  # pairs of labels
+    return p.join(differ, ["kx", "ky"]).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).withColumn("diff", F.col("fx") - F.col("fy"))
 
 
 @query("ngram_counts", f"{_COUNTS} SELECT label, gram, CAST(n AS BIGINT) AS n FROM c")
 def ngram_counts(spark, sf):
-    return statistics.gram_counts(words(spark, sf), "lang", fs.ngrams(F.col("w"), 2, " "))
+    return _counts(spark, sf)
 
 
 @query("ngram_freq_vectors", f"{_FREQ} SELECT label, gram, round(freq, 9) AS freq FROM f")
@@ -47,28 +67,37 @@ def ngram_freq_vectors(spark, sf):
     return _frequencies(spark, sf).select("label", "gram", F.round("freq", R).alias("freq"))
 
 
-@query("chi2_statistic", f"{_PAIRED} SELECT kx, ky, round(sum(CASE WHEN fy > 0 THEN (fx - fy) ** 2 / fy END), 6) AS statistic, CAST(count(*) AS BIGINT) AS grams FROM p GROUP BY kx, ky")
+@query("chi2_statistic", f"{_PAIRED} SELECT kx, ky, round(statistic, 6) AS statistic, CAST(grams AS BIGINT) AS grams, CAST(absent AS BIGINT) AS absent FROM chi")
 def chi2_statistic(spark, sf):
-    return statistics.chi_square(statistics.paired(_frequencies(spark, sf))).select("kx", "ky", F.round("statistic", 6).alias("statistic"), "grams")
+    return statistics.chi_square(statistics.paired(_frequencies(spark, sf))).select("kx", "ky", F.round("statistic", 6).alias("statistic"), "grams", "absent")
 
 
 @query("top_differences", f"{_TOP} SELECT kx, ky, gram, round(diff, 9) AS diff, rank, CASE WHEN diff > 0 THEN kx ELSE ky END AS label FROM t WHERE rank <= 25")
 def top_differences(spark, sf):
-    """The 25 n-grams whose frequencies differ most, with the label that has more: a top-k report."""
+    """For labels that differ significantly, the 25 n-grams whose frequencies differ most, with the label that has more: a top-k report."""
     return _top(spark, sf).select("kx", "ky", "gram", F.round("diff", R).alias("diff"), "rank", F.when(F.col("diff") > 0, F.col("kx")).otherwise(F.col("ky")).alias("label"))
 
 
 @query(
     "pattern_positions",
     f"""{_TOP}, d AS (SELECT DISTINCT gram, CASE WHEN diff > 0 THEN kx ELSE ky END AS label FROM t WHERE rank <= 25),
-o AS (SELECT doc_id, label, unnest(gs) AS gram, generate_subscripts(gs, 1) - 1 AS pos FROM (SELECT doc_id, lang AS label, {GRAMS.format(s='w', n=2, sep=' ')} AS gs FROM words))
-SELECT doc_id, label, gram, CAST(pos AS BIGINT) AS pos FROM o JOIN d USING (label, gram)""",
+o AS (SELECT rec, label, level, unnest(gs) AS gram, generate_subscripts(gs, 1) - 1 AS pos FROM ({" UNION ALL ".join(f"SELECT rec, label, level, {GRAMS.format(s='w', n=n, sep=' ')} AS gs FROM strings" for n in range(1, LONGEST + 1))}))
+SELECT rec, label, level, gram, CAST(pos AS BIGINT) AS pos FROM o JOIN d USING (label, gram)""",
 )
 def pattern_positions(spark, sf):
-    """Where the most different n-grams stand in the texts of the label that has more of them."""
+    """Where the most different n-grams stand in the strings of the label that has more of them."""
     top = _top(spark, sf).select("gram", F.when(F.col("diff") > 0, F.col("kx")).otherwise(F.col("ky")).alias("label")).distinct()  # 25 rows a pair of labels
-    at = words(spark, sf).select("doc_id", F.col("lang").alias("label"), F.posexplode(fs.ngrams(F.col("w"), 2, " ")).alias("pos", "gram"))
-    return at.join(F.broadcast(top), ["label", "gram"]).select("doc_id", "label", "gram", F.col("pos").cast("long").alias("pos"))
+    found = strings(spark, sf)
+    placed = F.flatten(F.array(*[F.transform(fs.ngrams(F.col("w"), n, " "), lambda g, i: F.struct(i.cast("long").alias("pos"), g.alias("gram"))) for n in range(1, LONGEST + 1)]))
+    at = found.select("rec", "label", "level", F.explode(placed).alias("o")).select("rec", "label", "level", "o.pos", "o.gram")
+    return at.join(F.broadcast(top), ["label", "gram"]).select("rec", "label", "level", "gram", "pos")
+
+
+@query("file_groups", "WITH o AS (SELECT doc_id, source, CASE WHEN source IS NOT DISTINCT FROM lag(source) OVER (ORDER BY doc_id) AND row_number() OVER (ORDER BY doc_id) > 1 THEN 0 ELSE 1 END AS fresh FROM documents), g AS (SELECT doc_id, source, sum(fresh) OVER (ORDER BY doc_id) - 1 AS grp FROM o) SELECT CAST(grp AS BIGINT) AS grp, any_value(source) AS source, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM g GROUP BY grp")
+def file_groups(spark, sf):
+    """Neighbouring documents of one source, the last group included."""
+    g = consecutive(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", "source", "grp")
+    return g.groupBy("grp").agg(F.min("source").alias("source"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
 
 
 @query("files_in_both", "SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'de'")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import vectors as fv
 from seqloom.operators import clustering, labels
-from seqloom.operators.distance import dtw
-from seqloom.operators.pairs import against, in_interval, triplets
+from seqloom.operators.distance import dtw, edit_distances, warped_distances
+from seqloom.operators.pairs import against, in_interval, nearest_by_cosine, triplets
+from seqloom.operators.prefix import percentiles, running_total
+from seqloom.operators.search import suppressed
 from seqloom.operators.series_index import SeriesIndex, votes
 from seqloom.operators.statistics import confusion, dampener_sweep
 from seqloom.plans import query
@@ -18,6 +19,7 @@ from seqloom.plans.views import tokens as token_view
 from seqloom.storage import store
 
 R, DIM = 6, 4  # places of rounded doubles; channels of a series, 16 frames long
+STRETCH = 256  # frames of a spectrogram that one task sees together
 
 
 def _dtw_sql(x: str, y: str, norm: bool = False, band: float = 0.1) -> str:
@@ -58,9 +60,8 @@ _PERCENTS = [i / 100 for i in range(1, 99)]
 
 @query("distance_percentiles", f"{_QS}, d AS (SELECT {_dtw_sql('xs', 'ys', True)} AS dist FROM p), a AS (SELECT quantile_cont(dist, {_PERCENTS}) AS v FROM d) SELECT generate_subscripts(v, 1) AS percent, round(unnest(v), 6) AS dist FROM a")
 def distance_percentiles(spark, sf):
-    d = _pairs(spark, sf).select(dtw(F.col("q_ts"), F.col("s_ts"), DIM, squared=False).alias("dist"))
-    v = d.agg(F.percentile("dist", F.array(*map(F.lit, _PERCENTS))).alias("v"))
-    return v.select(F.posexplode("v").alias("i", "dist")).select((F.col("i") + 1).cast("long").alias("percent"), F.round("dist", R).alias("dist"))
+    d = store(_pairs(spark, sf).select(dtw(F.col("q_ts"), F.col("s_ts"), DIM, squared=False).alias("dist")), "distances")
+    return percentiles(d, "dist", list(range(1, 99))).withColumn("dist", F.round("dist", R))
 
 
 @query(
@@ -74,7 +75,8 @@ def neardup_topk(spark, sf):
     s = series(spark, sf).withColumn("frames", F.size("ts") / DIM)
     met = against(queries_of(s, "ts_id"), s, "ts_id", "frames", 5).filter("q_ts_id <> s_ts_id")
     d = store(_ids(met, dtw(F.col("q_ts"), F.col("s_ts"), DIM, squared=False, band=0.01).alias("dist")), "distances")  # read twice
-    near = d.crossJoin(F.broadcast(d.agg(F.percentile("dist", 0.5).alias("edge")))).filter("dist < edge")  # one row
+    edge = percentiles(d, "dist", [50]).select(F.col("dist").alias("edge"))  # one row
+    near = d.crossJoin(F.broadcast(edge)).filter("dist < edge")
     w = Window.partitionBy("q").orderBy("dist", "s")
     return near.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10").select("q", "s", F.round("dist", R).alias("dist"), "rank")
 
@@ -91,8 +93,8 @@ _KNN = f"{_QS}, d AS (SELECT q, s, ql, sl, list_cosine_similarity(xs, ys) AS cos
 
 
 def _cosine_nn(spark, sf):
-    met = _pairs(spark, sf).filter("q_ts_id <> s_ts_id")
-    d = _ids(met, F.col("q_label").alias("ql"), F.col("s_label").alias("sl"), fv.cosine(F.col("q_ts"), F.col("s_ts")).alias("cos"))
+    near = nearest_by_cosine(queries_of(series(spark, sf), "ts_id"), series(spark, sf), "ts_id", "ts", 10)
+    d = _ids(near, F.col("q_label").alias("ql"), F.col("s_label").alias("sl"), fv.cosine(F.col("q_ts"), F.col("s_ts")).alias("cos"))
     w = Window.partitionBy("q").orderBy(F.desc("cos"), "s")
     return d.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
 
@@ -179,26 +181,26 @@ def relaxed_votes(spark, sf):
     return votes(hits.select(F.floor(F.col("q") / 3).alias("q"), F.floor(F.col("ts_id") / 3).alias("sequence")).filter("q <> sequence"))
 
 
-_PROBS = f"WITH {SERIES}, a AS (SELECT ts_id, label, list_transform(ts[1:5], lambda v: abs(v)) AS v FROM series), p AS (SELECT ts_id, label, list_transform(v, lambda e: e / (v[1] + v[2] + v[3] + v[4] + v[5])) AS p FROM a)"
+_PROBS = f"WITH {SERIES}, a AS (SELECT ts_id, label, list_transform(ts, lambda v: abs(v)) AS v FROM series), p AS (SELECT ts_id, label, list_transform(v, lambda e: e / list_sum(v)) AS p FROM a)"
 
 
 def _probabilities(spark, sf):
-    v = F.transform(F.slice("ts", 1, 5), lambda x: F.abs(x))
-    return series(spark, sf).withColumn("v", v).select("ts_id", "label", F.transform("v", lambda e: e / (F.col("v")[0] + F.col("v")[1] + F.col("v")[2] + F.col("v")[3] + F.col("v")[4])).alias("p"))
+    """Every component's share of a series' magnitude: a distribution over 64 classes."""
+    return series(spark, sf).withColumn("v", F.transform("ts", lambda x: F.abs(x))).withColumn("all", fv.total(F.col("v"))).select("ts_id", "label", F.transform("v", lambda e: e / F.col("all")).alias("p"))
 
 
-@query("argmax_reject", f"{_PROBS} SELECT ts_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS cls, CAST(CASE WHEN list_max(p) < 0.25 THEN 0 ELSE list_position(p, list_max(p)) - 1 END AS BIGINT) AS kept, round(list_max(p), 6) AS prob FROM p")
+@query("argmax_reject", f"{_PROBS} SELECT ts_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS cls, CAST(CASE WHEN list_max(p) < 0.05 THEN 0 ELSE list_position(p, list_max(p)) - 1 END AS BIGINT) AS kept, round(list_max(p), 6) AS prob FROM p")
 def argmax_reject(spark, sf):
     cls, top = fv.argmax(F.col("p")), F.array_max("p")
-    return _probabilities(spark, sf).select("ts_id", cls.alias("cls"), F.when(top < 0.25, F.lit(0).cast("long")).otherwise(cls).alias("kept"), F.round(top, R).alias("prob"))
+    return _probabilities(spark, sf).select("ts_id", cls.alias("cls"), F.when(top < 0.05, F.lit(0).cast("long")).otherwise(cls).alias("kept"), F.round(top, R).alias("prob"))
 
 
-_DAMP = [0.5, 1.0, 1.0, 0.0, 1.0]
+_DAMP = [0.5, 1.0, 1.0, 0.0] * 16
 
 
-@query("class_damping", f"{_PROBS}, d AS (SELECT ts_id, list_transform(range(1, 6), lambda i: p[i] * {_DAMP}[i]) AS p FROM p) SELECT ts_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS cls, round(list_max(p), 6) AS prob FROM d")
+@query("class_damping", f"{_PROBS}, d AS (SELECT ts_id, list_transform(range(1, 65), lambda i: p[i] * {_DAMP}[i]) AS p FROM p) SELECT ts_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS cls, round(list_max(p), 6) AS prob FROM d")
 def class_damping(spark, sf):
-    """The noise column halved and one class silenced before the decision."""
+    """Some classes halved and some silenced before the decision."""
     d = _probabilities(spark, sf).withColumn("p", F.zip_with("p", F.array(*map(F.lit, _DAMP)), lambda a, b: a * b))
     return d.select("ts_id", fv.argmax(F.col("p")).alias("cls"), F.round(F.array_max("p"), R).alias("prob"))
 
@@ -264,11 +266,16 @@ SELECT t, f, round(s, 6) AS s FROM w WHERE row >= 3 AND row < n - 3 AND f >= 3 A
 )
 def interest_points(spark, sf):
     """Cells above all neighbours within three frames or channels and above the mean of the quieter direction."""
-    c = series(spark, sf).select(F.col("ts_id").alias("t"), F.posexplode("ts").alias("f", "s"))
-    along_t, along_f = Window.partitionBy("f").orderBy("t"), Window.partitionBy("t").orderBy("f")
+    s = store(series(spark, sf), "series")
+    ranked = running_total(s.withColumn("one", F.lit(1)), ["ts_id"], "one", "row").drop("one")
+    # stretches of frames, each with the three frames before and behind it
+    stretch = lambda r: F.floor(r / STRETCH).cast("long")
+    dealt = ranked.withColumn("part", F.explode(F.array_distinct(F.array(*[stretch(F.col("row") + k) for k in (-3, 0, 3)]))))
+    c = dealt.select("part", "row", F.col("ts_id").alias("t"), F.posexplode("ts").alias("f", "s"))
+    along_t, along_f = Window.partitionBy("part", "f").orderBy("t"), Window.partitionBy("part", "t").orderBy("f")
     peak = lambda w: F.greatest(F.max("s").over(w.rowsBetween(-3, -1)), F.max("s").over(w.rowsBetween(1, 2)))
     near = lambda w: F.sum("s").over(w.rowsBetween(-3, 2)) - F.col("s")
-    inside = F.lag("s", 3).over(along_t).isNotNull() & F.lead("s", 3).over(along_t).isNotNull() & (F.col("f") >= 3) & (F.col("f") < 61)
+    inside = F.lag("s", 3).over(along_t).isNotNull() & F.lead("s", 3).over(along_t).isNotNull() & (F.col("f") >= 3) & (F.col("f") < 61) & (stretch(F.col("row")) == F.col("part"))
     marked = c.select("t", F.col("f").cast("long").alias("f"), "s", inside.alias("inside"), peak(along_t).alias("max_t"), peak(along_f).alias("max_f"), F.least(near(along_t), near(along_f)).alias("low"))
     return marked.filter("inside AND s > max_t AND s > max_f AND s > low / 6 + 0.05").select("t", "f", F.round("s", R).alias("s"))
 
@@ -280,7 +287,7 @@ def label_counts(spark, sf):
 
 @query(
     "cluster_label_vote",
-    f"{_PROBS}, m AS (SELECT label AS cluster, i, avg(p[i + 1]) AS mean FROM p, (SELECT unnest(range(5)) AS i) GROUP BY ALL) SELECT cluster, arg_max(i, (mean, -i)) AS cls, round(max(mean), 6) AS mean FROM m GROUP BY cluster",
+    f"{_PROBS}, m AS (SELECT label AS cluster, i, avg(p[i + 1]) AS mean FROM p, (SELECT unnest(range(64)) AS i) GROUP BY ALL) SELECT cluster, arg_max(i, (mean, -i)) AS cls, round(max(mean), 6) AS mean FROM m GROUP BY cluster",
 )
 def cluster_label_vote(spark, sf):
     """The class with the highest mean probability in each cluster."""
@@ -343,34 +350,93 @@ def kmeans_assign(spark, sf):
 
 @query("bic_curve")
 def bic_curve(spark, sf):
-    return clustering.bic_curve(series(spark, sf), [2, 4, 6, 8, 10])
+    return clustering.bic_curve(series(spark, sf), list(range(2, 26)))
 
 
-#: Centres that stand for all series where an algorithm needs the whole distance matrix.
-CENTRES = 32
-
-
-def _centres(spark, sf):
-    model, out = clustering.kmeans(series(spark, sf), CENTRES)
-    c = np.array(model.clusterCenters())
-    return np.sqrt(((c[:, None] - c) ** 2).sum(2)), out.select("ts_id", F.col("cluster").cast("long").alias("cluster"))
+def _warped(x, y):
+    return warped_distances(x, y, DIM, squared=False)
 
 
 @query("complete_linkage")
 def complete_linkage(spark, sf):
-    """Complete linkage of k-means centres, cut at the median distance; every series goes with its centre."""
-    d, out = _centres(spark, sf)
-    cut = clustering.complete_linkage(d, [float(np.percentile(d, 50))])[0]
-    of = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cut)], "cluster long, linked long")
-    return out.join(F.broadcast(of), "cluster").select("ts_id", "cluster", "linked")
+    """Complete linkage of series by time warping, cut at the percentiles 1 to 98 of their distances."""
+    return clustering.with_matrices(clustering.cells(series(spark, sf), "ts_id", "ts"), "ts_id", "ts", _warped, clustering.linkage_cuts, "cell string, ts_id long, percent long, cluster long")
 
 
 @query("greedy_chain")
 def greedy_chain(spark, sf):
-    """Series in the order of their centres' nearest-neighbour chain."""
-    d, out = _centres(spark, sf)
-    of = spark.createDataFrame([(c, i) for i, c in enumerate(clustering.nearest_chain(d))], "cluster long, place long")
-    return out.join(F.broadcast(of), "cluster").select("ts_id", "cluster", "place")
+    """Series in the order of the chain of nearest neighbours by time warping."""
+    return clustering.with_matrices(clustering.cells(series(spark, sf), "ts_id", "ts"), "ts_id", "ts", _warped, clustering.chain_places, "cell string, ts_id long, place long")
+
+
+def _strings(spark, sf):
+    """Tokens of each recording in order, where there are 2 to 99 of them."""
+    t = token_view(spark, sf).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("start", "cls"))).alias("l"))
+    return t.select("rec", F.col("l.cls").alias("symbols")).filter(F.size("symbols").between(2, 99))
+
+
+@query("sized_sequences", f"WITH {TOKENS}, s AS (SELECT rec, list(cls ORDER BY start) AS symbols FROM tokens GROUP BY rec) SELECT rec, array_to_string(symbols, ' ') AS sequence FROM s WHERE len(symbols) BETWEEN 2 AND 99")
+def sized_sequences(spark, sf):
+    return _strings(spark, sf).select("rec", F.array_join("symbols", " ").alias("sequence"))
+
+
+@query("string_linkage")
+def string_linkage(spark, sf):
+    """Complete linkage of symbol strings by edit distance, cut at the percentiles 1 to 98."""
+    return clustering.with_matrices(clustering.cells(_strings(spark, sf), "rec"), "rec", "symbols", edit_distances, clustering.linkage_cuts, "cell string, rec long, percent long, cluster long")
+
+
+@query("decode_chain")
+def decode_chain(spark, sf):
+    """Decoded recordings in the order of the chain of nearest neighbours by edit distance, with their tokens."""
+    s = _strings(spark, sf)
+    chain = clustering.with_matrices(clustering.cells(s, "rec"), "rec", "symbols", edit_distances, clustering.chain_places, "cell string, rec long, place long")
+    return chain.join(s, "rec").select("cell", "place", "rec", F.array_join("symbols", " ").alias("sequence"))
+
+
+#: Frames of a region, and the part of all regions that counts as unlikely.
+REGION, UNLIKELY = 20, 0.01
+_REGIONS = f"""{FRAMES}, r AS (SELECT rec, t // {REGION} AS region, arg_max(cls, (n, cls)) AS cls, sum(noise) / sum(n) AS noise, sum(total) / sum(n) AS ll
+  FROM (SELECT rec, t // {REGION} * {REGION} AS t, cls, count(*) AS n, count(*) FILTER (cid = 0) AS noise, sum(value) AS total FROM frames GROUP BY ALL) GROUP BY rec, t),
+judged AS (SELECT *, cls = '_' OR noise >= 0.9 OR ll <= (SELECT ll FROM r ORDER BY ll LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * {UNLIKELY}) AS BIGINT) FROM r)) AS suppressed FROM r)"""
+
+
+def _regions(spark, sf):
+    """Regions of REGION frames with their commonest class, part of noise, mean value, and whether they are silent, noisy or unlikely."""
+    f = frames(spark, sf).groupBy("rec", F.floor(F.col("t") / REGION).cast("long").alias("region"), "cls").agg(F.count("*").alias("n"), F.count_if(F.col("cid") == 0).alias("noise"), F.sum("value").alias("total"))
+    r = f.groupBy("rec", "region").agg(F.max_by("cls", F.struct("n", "cls")).alias("cls"), (F.sum("noise") / F.sum("n")).alias("noise"), (F.sum("total") / F.sum("n")).alias("ll"))
+    return suppressed(r, "cls", "_", "noise", "ll", UNLIKELY)
+
+
+@query("suppression", f"WITH {_REGIONS} SELECT rec, region, cls, round(noise, 6) AS noise, suppressed FROM judged")
+def suppression(spark, sf):
+    return _regions(spark, sf).select("rec", "region", "cls", F.round("noise", R).alias("noise"), "suppressed")
+
+
+@query("sequencing", f"WITH {_REGIONS}, s AS (SELECT rec, list(cls ORDER BY region) AS symbols FROM judged WHERE NOT suppressed GROUP BY rec) SELECT rec, array_to_string(symbols, ' ') AS sequence FROM s WHERE len(symbols) BETWEEN 2 AND 99")
+def sequencing(spark, sf):
+    """What suppression leaves of each recording, in order."""
+    return _kept_regions(spark, sf).select("rec", F.array_join("symbols", " ").alias("sequence"))
+
+
+def _kept_regions(spark, sf):
+    s = _regions(spark, sf).filter(~F.col("suppressed")).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("region", "cls"))).alias("l"))
+    return s.select("rec", F.col("l.cls").alias("symbols")).filter(F.size("symbols").between(2, 99))
+
+
+@query("sequencing_chain")
+def sequencing_chain(spark, sf):
+    """The sequences that suppression leaves, in the order of their chain by edit distance."""
+    s = _kept_regions(spark, sf)
+    chain = clustering.with_matrices(clustering.cells(s, "rec"), "rec", "symbols", edit_distances, clustering.chain_places, "cell string, rec long, place long")
+    return chain.join(s, "rec").select("cell", "place", "rec", F.array_join("symbols", " ").alias("sequence"))
+
+
+@query("kept_recordings", f"WITH {FRAMES} SELECT rec, CAST(count(*) FILTER (cid > 0) AS BIGINT) AS n FROM frames WHERE t < 10000 GROUP BY rec HAVING count(*) FILTER (cid > 0) > 3")
+def kept_recordings(spark, sf):
+    """Recordings with more than three frames of signal among their first 10,000; that cap is the feature."""
+    n = frames(spark, sf).filter("t < 10000").groupBy("rec").agg(F.count_if(F.col("cid") > 0).alias("n"))
+    return n.filter("n > 3")
 
 
 @query(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,10 +25,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ship_code(spark: SparkSession) -> SparkSession:
-    """Let this session's Python workers import the package from where the driver did, if nobody told them yet."""
+    """Let this session's Python workers import the package, if nobody told them yet.
+
+    Local workers see the driver's folder; those of a cluster get a copy from the
+    driver, once a context.
+    """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    told = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in told:
-        env["PYTHONPATH"] = os.pathsep.join([*told, root])
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        env = context.environment
+        told = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in told:
+            env["PYTHONPATH"] = os.pathsep.join([*told, root])
+    elif not getattr(context, "_seqloom_shipped", False):
+        name = os.path.join(tempfile.mkdtemp(), "seqloom_code")
+        context.addPyFile(shutil.make_archive(name, "zip", root, "seqloom"))
+        context._seqloom_shipped = True
     return spark

@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,23 @@ def read_wavs(spark: SparkSession, path: str, mix: bool = False, strict: bool =
     return files.select("path", "content").mapInArrow(parse, f"path string, sample_rate int, bits int, n long, samples {kind}")
 
 
+def write_wavs(recordings: DataFrame, folder: str, rate: int = RATE, bits: int = 16, channels: int = 1) -> None:
+    """A WAV file for each row (name, samples) in a folder that all workers can open; channels behind the first are silent. A task that runs again replaces its files."""
+
+    def write(batches):
+        fs, root = pa_fs.FileSystem.from_uri(folder)
+        fs.create_dir(root)
+        for b in batches:
+            for name, x in zip(b.column("name").to_pylist(), b.column("samples").to_pylist(), strict=True):
+                samples = np.zeros((len(x), channels), np.int64)
+                samples[:, 0] = x
+                with fs.open_output_stream(f"{root}/{name}") as out:
+                    out.write(make_wav(samples, rate, bits))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    recordings.select("name", "samples").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def wav_bytes(samples: Column, rate: int = RATE, bits: int = 16) -> Column:
     """The WAV file of a column of sample arrays."""
 

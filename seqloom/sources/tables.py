@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from seqloom.operators.prefix import at_ranks
+from seqloom.storage import store
+
 ANNOTATIONS = "offset long, annotation string, source_file string, source_start long, source_stop long"
 #: Samples of an annotated window.
 RAW = 5_120
@@ -35,6 +38,12 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="starts long, stops long", header=True, ignoreLeadingWhiteSpace=True)
 
 
+def read_tokens(spark: SparkSession, path: str, step: int = 1) -> DataFrame:
+    """CSV of decoded tokens (filename, start, stop, label): file without its ending, start and stop in samples of ``step`` a frame."""
+    t = spark.read.csv(path, schema="filename string, start long, stop long, label string", header=True)
+    return t.select(F.regexp_replace("filename", r"\.wav$", "").alias("file"), (F.col("start") * step).alias("start"), (F.col("stop") * step).alias("stop"), "label")
+
+
 def read_series(spark: SparkSession, path: str) -> DataFrame:
     """TSV of a class and its series on each line: label, ts."""
     cells = F.split("value", "\t")
@@ -66,10 +75,11 @@ def write_label_file(df: DataFrame, path: str) -> None:
 
 
 def likely(df: DataFrame, part: float = 0.01) -> DataFrame:
-    """Annotations whose likelihood is above the one at rank floor(n * part)."""
-    n = df.count()
-    edge = df.orderBy("ll").offset(int(n * part)).limit(1).select("ll").collect()
-    return df.filter(F.col("ll") > edge[0].ll) if edge else df
+    """Annotations whose likelihood is above the one at rank floor(n * part); nulls rank first and are never above."""
+    stored = store(df, "annotations")
+    place = stored.sparkSession.createDataFrame([(int(stored.count() * part),)], "rank long")
+    edge = at_ranks(stored, "ll", place)  # one row
+    return stored.crossJoin(F.broadcast(edge.select(F.col("at").alias("_edge")))).filter(F.col("ll") > F.col("_edge")).drop("_edge")
 
 
 def selections(tokens: DataFrame, part: str = "rec", step: int = 128, rate: int = 44_100) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions.sequences import digits_to_letters
+from seqloom.operators.prefix import running_total
 from seqloom.sources.recordings import joined, wav_bytes
+from seqloom.storage import store
 
 HISTORY = "query_string string, query_file string, date timestamp"
 
@@ -44,10 +46,17 @@ def latest_history(spark: SparkSession, path: str, n: int | None = None) -> Data
     return h.limit(n) if n is not None else h
 
 
-def cluster_recordings(members: DataFrame, least: int = 2, silent: str = "ECHO", gap: int = 1_000) -> DataFrame:
-    """name and wav of each cluster (label, cluster, start, samples) with ``least`` members; smaller ones share ``unmerged``, ``silent`` labels have none."""
+def cluster_recordings(members: DataFrame, least: int = 2, silent: str = "ECHO", gap: int = 1_000, longest: int = 1 << 24) -> DataFrame:
+    """name and wav of each cluster (label, cluster, start, samples) with ``least`` members; ``silent`` labels have none.
+
+    Smaller clusters share ``unmerged``, and ``unmerged_1`` and so on where they
+    have more than ``longest`` samples together.
+    """
     sizes = members.groupBy("label", "cluster").agg(F.count("*").alias("n"))
     kept = members.join(sizes, ["label", "cluster"]).filter(F.col("label") != silent)
-    name = F.when(F.col("n") >= least, F.concat_ws("_", "label", F.col("cluster"))).otherwise("unmerged")
-    laid = joined(kept.withColumn("name", name), "name", "start", gap=gap)
+    merged = kept.filter(F.col("n") >= least).withColumn("name", F.concat_ws("_", "label", F.col("cluster")))
+    rest = store(kept.filter(F.col("n") < least).withColumn("size", F.size("samples")), "unmerged")
+    part = F.floor(F.col("before") / longest).cast("long")
+    dealt = running_total(rest, ["label", "cluster", "start"], "size", "before").withColumn("name", F.when(part > 0, F.concat_ws("_", F.lit("unmerged"), part)).otherwise("unmerged"))
+    laid = joined(merged.unionByName(dealt.select(*merged.columns)), "name", "start", gap=gap)
     return laid.select("name", wav_bytes(F.col("samples")).alias("wav"))

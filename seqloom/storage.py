@@ -2,8 +2,8 @@
 
 Lineage is cut by writing Parquet there and reading it back, so a lost executor
 costs a re-read and never a recomputation of the whole job. The folder is
-``spark.checkpoint.dir``; only where that is unset (local runs, tests) a folder
-of our own is used and set.
+``spark.checkpoint.dir``; only where that is unset in local mode (tests) a folder
+of our own is used and set, since no other machine could read it.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or our own folder where it is unset."""
+    """The session's ``spark.checkpoint.dir``, or our own folder where it is unset in local mode; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{OWN_FOLDER}"
         os.makedirs(OWN_FOLDER, exist_ok=True)
         spark.sparkContext.setCheckpointDir(folder)
