@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.groups import attach
 from seqloom.storage import remove, store
 
 
@@ -16,21 +17,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the number of rounds grows with the logarithm of the number of nodes. Rounds
     are stored, so a lost executor repeats one of them. Null ends and loops are
     ignored. Neighbourhoods are never gathered in one place: a hot node is a sum
-    of partial minima and a join that Spark may split.
+    of partial minima, and its edges meet a broadcast row.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v AND u IS NOT NULL AND v IS NOT NULL").distinct()
     edges = store(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = store(attach(both, least, "u", "n", mark[0], "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = attach(large, least, "u", "n", mark[0], "inner")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         nxt = store(small, "edges")
         now = _mark(nxt)
-        remove(edges)
+        remove(edges, large)
         edges = nxt
         if now == mark:
             break
