@@ -31,7 +31,7 @@ from seqloom.llm.text_arrays import mix, runs, shingles, word_hashes, words
 from seqloom.storage import remove, store
 
 #: Values that a set retains for the inverted lists, and the chance that a pair at the threshold overlaps in fewer than its lists take for granted.
-RETAINED, MISS = 48, 1e-7
+RETAINED, MISS = 32, 1e-7
 #: Hashes in a sketch (their upper 32 bits). Sets that fit are compared exactly, others pass with a margin of 5.9 standard deviations or more.
 SKETCH, MARGIN = 384, 0.12
 #: Classes of a list that are compared with as many others in one task.

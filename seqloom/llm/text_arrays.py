@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 #: Texts are handled in runs of about so many bytes, to bound a worker's memory.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Words longer than this are hashed one at a time.
 LONG_WORD = 48
 
