@@ -200,7 +200,11 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
 
 def ids_at(files: DataFrame, folder: str, places: DataFrame) -> DataFrame:
-    """place (long, over all files) and its id (token) for a table of places, read by random access; places outside are left out."""
+    """place (long, over all files) and its id (token) for a table of places, read by random access.
+
+    Null places and places outside are left out, repeated ones repeat; columns
+    beside ``place`` are ignored; without files or places nothing is found.
+    """
     placed = running_total(files, ["part", "seq"], "n_ids", "first").select("path", "first", (F.col("first") + F.col("n_ids")).alias("end"), "n_ids")
     # places are dealt to files by blocks of FILE_IDS places, which a file covers as whole or part
     block = files.agg(F.max("n_ids")).first()[0] or 1
@@ -226,6 +230,11 @@ def ids_at(files: DataFrame, folder: str, places: DataFrame) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Write token files (to the shared folder where none is given) and return what is read back from them."""
+    """Write token files (to the shared folder where none is given) and return what is read back from them: doc_id, start, n_tokens and ids_crc32 of every row.
+
+    A null or empty text is its end id alone; rows without an id come first, rows
+    that share one follow one another in unspecified order; very long texts are
+    written whole; other columns are ignored; an empty table gives no rows.
+    """
     folder = folder or scratch_path(docs.sparkSession, "tokens")
     return read_token_files(write_token_files(docs, tokenizer, end_id, folder, id_col, text_col), folder)
