@@ -18,7 +18,11 @@ from seqloom.storage import store
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of undetermined language: null texts and texts without a letter. Without any label to learn from, the rest stays."""
+    """Drops documents of undetermined language: null texts and texts without a letter.
+
+    Whatever is in a learned language or like one stays, repeated rows and rows
+    without an id too. Without any label to learn from, all that have a letter stay.
+    """
     for_texts(spark)
     model = language.fit(docs.filter(~language.held_out("doc_id")))
     if not model.langs:
@@ -28,25 +32,40 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose normalised texts are equal, the one with the smallest id stays."""
+    """Of documents whose normalised texts are equal, the one with the smallest id stays.
+
+    Null text equals empty text. Rows that repeat the id that stays all stay; rows
+    without an id stay only where none of their copies has one.
+    """
     for_texts(spark)
     return exact.drop_copies(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays.
+
+    Texts without words stay; rows that share an id are judged each by its own text.
+    """
     for_texts(spark)
     return neardup.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the mix's proportions: a document stands once for each copy taken, or not at all."""
+    """Sources in the mix's proportions: a document stands once for each copy taken, or not at all.
+
+    A null source is a source of its own; texts without words go in as often as
+    whole copies say; rows that share an id are drawn each for itself.
+    """
     for_texts(spark)
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 ids at most."""
+    """Pieces of documents in sequences of 1024 ids at most.
+
+    A null or empty text is its end id alone; repeated rows are packed each for
+    itself; very long texts are cut into as many pieces as they need.
+    """
     for_texts(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
 
