@@ -6,11 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from seqloom.operators.prefix import rank_in
 
-#: Queries that meet a row in one block.
-PER_BLOCK = 256
+#: Queries that meet a row in one block, and rows that meet a query in one slice.
+PER_BLOCK, PER_SLICE = 256, 4_096
 
 
 def against(queries: DataFrame, corpus: DataFrame, key: str, length: str | None = None, within: int = 5, per_block: int = PER_BLOCK) -> DataFrame:
@@ -39,19 +41,33 @@ def against(queries: DataFrame, corpus: DataFrame, key: str, length: str | None
     return out.filter(F.abs(F.col(f"q_{length}") - F.col(f"s_{length}")) < within) if length else out
 
 
-def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, per_block: int = PER_BLOCK) -> DataFrame:
-    """q_ and s_ columns of pairs among which are each query's k nearest rows by cosine, itself left out.
+def in_blocks(queries: DataFrame, corpus: DataFrame, key: str, meet, schema: str, per_block: int = PER_BLOCK, per_slice: int = PER_SLICE) -> DataFrame:
+    """What ``meet`` makes of two Arrow tables with rows, for every block of queries with every slice of rows: as :func:`against`, but whole blocks at once.
 
-    Blocks of queries meet slices of rows as in :func:`against`, each as one matrix
-    product, and a slice hands on a query's k best (and what ties with them to nine
-    places), so that slices times k rows a query are ranked. All vectors have one length.
+    Blocks and slices hold about ``per_block`` and ``per_slice`` rows, whatever the size of the tables.
     """
-    spark = corpus.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-queries.count() // per_block))
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, slices = max(1, -(-queries.count() // per_block)), max(parts, -(-corpus.count() // per_slice))
     dealt = lambda df, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     q, s = dealt(queries, "_block", blocks, "_slice", slices), dealt(corpus, "_slice", slices, "_block", blocks)
+    nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    # new names, since a query set made of the corpus has its attributes, and column pruning would take one side's for the other's
+    s = s.select(*[F.col(c).alias(f"s_{c}") for c in s.columns])
+
+    def both(a: pa.Table, b: pa.Table) -> pa.Table:
+        return meet(a, b.rename_columns([c[2:] for c in b.column_names])) if a.num_rows and b.num_rows else nothing
 
+    return q.groupBy("_block", "_slice").cogroup(s.groupBy("s__block", "s__slice")).applyInArrow(both, schema)
+
+
+def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """q_ and s_ columns of pairs among which are each query's k nearest rows by cosine, itself left out.
+
+    A block meets a slice as one matrix product, which hands on a query's k best
+    (and what ties with them to nine places), so that slices times k rows a query
+    are ranked. All vectors have one length.
+    """
     columns = queries.columns, corpus.columns
 
     def unit(t: pa.Table) -> np.ndarray:
@@ -59,18 +75,15 @@ def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, key: str, vector: s
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            i = j = np.zeros(0, np.int64)
-        else:
-            near = unit(a) @ unit(b).T
-            near[a[key].to_numpy()[:, None] == b[key].to_numpy()] = -np.inf
-            last = np.partition(near, max(0, near.shape[1] - k), 1)[:, max(0, near.shape[1] - k)]
-            i, j = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
+        near = unit(a) @ unit(b).T
+        near[a[key].to_numpy()[:, None] == b[key].to_numpy()] = -np.inf
+        last = np.partition(near, max(0, near.shape[1] - k), 1)[:, max(0, near.shape[1] - k)]
+        i, j = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
         sides = (("q", a.take(pa.array(i)), columns[0]), ("s", b.take(pa.array(j)), columns[1]))
         return pa.table({f"{side}_{c}": t[c] for side, t, names in sides for c in names})
 
     fields = ", ".join(f"{side}_{f.name} {f.dataType.simpleString()}" for side, df in (("q", queries), ("s", corpus)) for f in df.schema)
-    return q.groupBy("_block", "_slice").cogroup(s.groupBy("_block", "_slice")).applyInArrow(best, fields)
+    return in_blocks(queries, corpus, key, best, fields)
 
 
 def in_interval(points: DataFrame, spans: DataFrame, part: str, at: str = "t", start: str = "start", stop: str = "stop", width: int = 64) -> DataFrame:

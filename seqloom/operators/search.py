@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions.sequences import ngrams, overlaps
-from seqloom.operators.distance import edit_distance
-from seqloom.operators.pairs import against
+from seqloom.operators.distance import edit_distance, edit_distances
+from seqloom.operators.pairs import in_blocks
 from seqloom.operators.prefix import at_ranks, running_total
 from seqloom.storage import store
 
@@ -19,11 +22,64 @@ def candidates(queries: DataFrame, corpus: DataFrame, n: int = 2, include_tail:
     return grams(queries, "q").join(grams(corpus, "s"), "gram").select("q", "s").distinct()
 
 
-def met_in_blocks(queries: DataFrame, corpus: DataFrame, n: int, *columns: str) -> DataFrame:
-    """q, s and the q_/s_ ``columns`` of pairs that share an n-gram, for n-grams so few that keys of :func:`candidates` are hot: every query against every row, in blocks. Ids must be distinct."""
-    grams = lambda df: df.select("seq_id", *columns, F.array_distinct(ngrams(F.col("symbols"), n, "|")).alias("grams"))
-    met = against(grams(queries), grams(corpus), "seq_id").filter(F.arrays_overlap("q_grams", "s_grams"))
-    return met.select(F.col("q_seq_id").alias("q"), F.col("s_seq_id").alias("s"), *[f"{side}_{c}" for c in columns for side in ("q", "s")])
+#: Pairs whose distances are computed at once.
+PAIRS = 1 << 15
+
+
+def _gram_numbers(symbols: pa.Array, codes: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row of each n-gram, its n columns of symbol codes); the last symbol of a row is in none."""
+    size = pc.fill_null(pc.list_value_length(symbols), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    grams = np.maximum(size - n, 0)
+    row = np.repeat(np.arange(len(size)), grams)
+    at = (np.cumsum(size) - size)[row] + np.arange(len(row)) - np.repeat(np.cumsum(grams) - grams, grams)
+    return row, [codes[at + j] for j in range(n)]
+
+
+def _sharing(x: pa.Array, y: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two columns of symbol arrays that share an n-gram."""
+    fx, fy = x.flatten(), y.flatten()
+    codes = pa.concat_arrays([fx, fy]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    (qr, qg), (sr, sg) = _gram_numbers(x, codes[: len(fx)], n), _gram_numbers(y, codes[len(fx) :], n)
+    _, of = np.unique(np.stack([np.concatenate([a, b]) for a, b in zip(qg, sg, strict=True)], 1), axis=0, return_inverse=True)
+    of = of.ravel()
+    both = np.intersect1d(of[: len(qr)], of[len(qr) :])
+    has = [np.zeros((len(c), len(both)), np.float32) for c in (x, y)]
+    for h, row, gram in ((has[0], qr, of[: len(qr)]), (has[1], sr, of[len(qr) :])):
+        known = np.isin(gram, both)
+        h[row[known], np.searchsorted(both, gram[known])] = 1
+    return np.nonzero(has[0] @ has[1].T > 0) if len(both) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def searched(queries: DataFrame, corpus: DataFrame, n: int = 2, k: int | None = None, elsewhere: bool = False, distance: bool = True) -> DataFrame:
+    """q, s and dist of pairs that share an n-gram, for n-grams so few that keys of :func:`candidates` are hot.
+
+    Every query meets every row, in blocks; with ``k`` a block hands on a query's k
+    nearest only (of equal distances the larger id first), and with ``elsewhere``
+    pairs that overlap inside one encounter are left out first. Both tables hold
+    seq_id and symbols, encounter, start and stop if needed; ids must be distinct.
+    """
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (t["symbols"].combine_chunks() for t in (a, b))
+        i, j = _sharing(x, y, n)
+        if elsewhere:
+            of = lambda c: (a[c].to_numpy()[i], b[c].to_numpy()[j])
+            (ea, eb), (a0, b0), (a1, b1) = of("encounter"), of("start"), of("stop")
+            keep = ~((ea == eb) & (np.maximum(a0, b0) <= np.minimum(a1, b1)))
+            i, j = i[keep], j[keep]
+        dist = np.full(len(i), np.nan)
+        for at in range(0, len(i) if distance else 0, PAIRS):
+            dist[at : at + PAIRS] = edit_distances(x.take(pa.array(i[at : at + PAIRS])), y.take(pa.array(j[at : at + PAIRS])))
+        q, s = a["seq_id"].to_numpy()[i], b["seq_id"].to_numpy()[j]
+        if k is not None:
+            order = np.lexsort((-s, dist, i))
+            rank = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+            order = order[rank < k]
+            q, s, dist = q[order], s[order], dist[order]
+        return pa.table({"q": q, "s": s, "dist": pa.array(dist, from_pandas=True)})
+
+    columns = ["seq_id", "symbols", *(["encounter", "start", "stop"] if elsewhere else [])]
+    return in_blocks(queries.select(*columns), corpus.select(*columns), "seq_id", meet, "q long, s long, dist double")
 
 
 def with_sequences(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, *columns: str) -> DataFrame:

@@ -192,13 +192,9 @@ def _corpus(spark, sf):
     return queries_of(s, "seq_id"), s
 
 
-def _met(spark, sf, *columns):
+def _searched(spark, sf, k=None, **how):
     """With five symbols there are 25 bigrams, too few for join keys: every query meets every row in blocks."""
-    return search.met_in_blocks(*_corpus(spark, sf), GRAM, *columns)
-
-
-def _with_distance(pairs):
-    return pairs.select("q", "s", search.edit_distance(F.col("q_symbols"), F.col("s_symbols")).alias("dist"))
+    return search.searched(*_corpus(spark, sf), GRAM, k, **how)
 
 
 _RANKED = "SELECT q, s, dist, row_number() OVER (PARTITION BY q ORDER BY dist, s DESC) AS rank FROM d"
@@ -210,26 +206,26 @@ cdf AS (SELECT q, density, sum(density) OVER (ORDER BY q) / sum(density) OVER ()
 
 @query("ngram_candidates", f"WITH {_CANDIDATES} SELECT q, s FROM c")
 def ngram_candidates(spark, sf):
-    return _met(spark, sf)
+    return _searched(spark, sf, distance=False).select("q", "s")
 
 
 @query("overlap_reject_pairs", f"WITH {_PAIRS} SELECT q, s FROM p WHERE {_APART}")
 def overlap_reject_pairs(spark, sf):
-    return search.apart(_met(spark, sf, "encounter", "start", "stop")).select("q", "s")
+    return _searched(spark, sf, elsewhere=True, distance=False).select("q", "s")
 
 
 @query("edit_distance_pairs", f"WITH {_PAIRS} SELECT q, s, round(dist, 6) AS dist FROM d")
 def edit_distance_pairs(spark, sf):
-    return _with_distance(_met(spark, sf, "symbols")).withColumn("dist", F.round("dist", R))
+    return _searched(spark, sf).withColumn("dist", F.round("dist", R))
 
 
 @query("knn_strict", f"WITH {_PAIRS} SELECT q, s, round(dist, 6) AS dist, rank FROM ({_RANKED}) WHERE rank <= 10")
 def knn_strict(spark, sf):
-    return search.nearest(_with_distance(_met(spark, sf, "symbols")), 10).withColumn("dist", F.round("dist", R))
+    return search.nearest(_searched(spark, sf, 10), 10).withColumn("dist", F.round("dist", R))
 
 
 def _graph(spark, sf):
-    return search.nearest(_with_distance(search.apart(_met(spark, sf, "symbols", "encounter", "start", "stop"))), 10)
+    return search.nearest(_searched(spark, sf, 10, elsewhere=True), 10)
 
 
 @query("discovery_graph", f"{_GRAPH} SELECT q, s, round(dist, 6) AS dist, rank FROM graph")
@@ -283,7 +279,8 @@ def trigram_overlap_reject_pairs(spark, sf):
 @_trigram("edit_distance_pairs")
 def trigram_edit_distance_pairs(spark, sf):
     q, s = _corpus(spark, sf)
-    return _with_distance(search.with_sequences(search.candidates(q, s, LONGER), q, s, "symbols")).withColumn("dist", F.round("dist", R))
+    pairs = search.with_sequences(search.candidates(q, s, LONGER), q, s, "symbols")
+    return pairs.select("q", "s", F.round(search.edit_distance(F.col("q_symbols"), F.col("s_symbols")), R).alias("dist"))
 
 
 @_trigram("knn_strict")
