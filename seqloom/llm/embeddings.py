@@ -22,12 +22,14 @@ from seqloom.storage import remove, store
 
 #: Pivots grow with the root of the number of vectors between these bounds. The index is fitted on a sample of SAMPLE vectors
 #: for each pivot, so on 16,384 at most.
-FEWEST, MOST, SAMPLE = 64, 4_096, 4
+FEWEST, MOST, SAMPLE = 64, 8_192, 2
 #: A vector stands in the lists of FRONT pivots, or of as many as the pivots' number has binary digits; its description is DEPTH
 #: times as long, and pairs share so many pivots of it at least.
 FRONT, DEPTH, SHARED = 8, 3, 3
 #: Lists with more vectors are compared block by block.
 BLOCK = 1_500
+#: Vectors whose distances from all pivots are held at once.
+ROWS = 256
 #: Groups of so many vectors at most are compared together with others, larger ones each as a matrix.
 SMALL = 24
 
@@ -40,8 +42,8 @@ def usable(vector: str):
 
 
 def pivot_count(vectors: int) -> int:
-    """Twice the root of the number of vectors as a power of two, so that lists grow with the root too."""
-    return min(MOST, max(FEWEST, 1 << round(math.log2(2 * math.sqrt(max(vectors, 1))))))
+    """Eight times the root of the number of vectors as a power of two, so that lists grow with the root too."""
+    return min(MOST, max(FEWEST, 1 << round(math.log2(8 * math.sqrt(max(vectors, 1))))))
 
 
 class Pivots:
@@ -58,8 +60,10 @@ class Pivots:
         out = np.zeros((len(column), self.depth), np.int16)
         for at, x in _vectors(column):
             k = min(x.shape[1], self.rows.shape[1])
-            far = self.bias - unit(x)[:, :k] @ self.rows[:, :k].T
-            out[at] = np.argsort(far, 1, kind="stable")[:, : self.depth]
+            for lo in range(0, len(at), ROWS):
+                far = self.bias - unit(x[lo : lo + ROWS])[:, :k] @ self.rows[:, :k].T
+                near = np.argpartition(far, self.depth - 1, 1)[:, : self.depth]
+                out[at[lo : lo + ROWS]] = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), 1, kind="stable"), 1)
         return out
 
 
@@ -105,8 +109,10 @@ def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def described(classes: DataFrame, pivots: Pivots) -> DataFrame:
     """vec, times, embedding, perm (nearest pivots in order, two bytes each) and lists of every class."""
+    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # MOST vectors at most
 
     def index(batches):
+        pivots = shared.value
         for b in batches:
             perm = pivots.describe(b.column("embedding"))
             packed = pa.array([p.tobytes() for p in perm.astype("<i2")], pa.binary())
@@ -278,7 +284,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     links, comps = (spark.createDataFrame([], s) for s in ("vec long, links long", "node long, component long"))
     if n:
         rowed = store(described(classes, pivots), "described")
-        # as many lists as pivots, 16 times as many at most
+        # as many lists as pivots, 16 times as many at most: 131,072 rows
         sizes = rowed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("size")).filter("size > 1")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         met = rowed.select("vec", "times", "embedding", "perm", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.hash("vec"), blocks).cast("int"))
