@@ -19,9 +19,9 @@ import pyarrow as pa
 from seqloom.llm.text_arrays import runs, word_hashes
 
 #: Distinct words a worker remembers before it starts anew. It never changes a result.
-KNOWN_WORDS = 2_000_000
-#: Bytes of text handled at once.
-RUN_BYTES = 2 << 20
+KNOWN_WORDS = 1_000_000
+#: Bytes of text handled at once, and new items that go to the library at once.
+RUN_BYTES, NEW_ITEMS = 1 << 20, 4_096
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -162,7 +162,9 @@ class WordEncoder:
             if self.start.n > KNOWN_WORDS:
                 self._reset()
                 miss = np.arange(len(new))
-            self._learn(new[miss], [buf[first[i] : end[i]].tobytes() for i in one[miss]])
+            for k in range(0, len(miss), NEW_ITEMS):
+                some = miss[k : k + NEW_ITEMS]
+                self._learn(new[some], [buf[first[i] : end[i]].tobytes() for i in one[some]])
             at, known = self.table.find(new)
         at = at[back]
         begin = self.start.a[at]
