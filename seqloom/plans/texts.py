@@ -33,17 +33,26 @@ _TAIL = """CASE WHEN absent > 0 OR statistic > 4 * grams + 1000 THEN 0 ELSE 1 -
 _TOP = f"{_PAIRED}, differing AS (SELECT kx, ky FROM chi WHERE {_TAIL} < 0.001), t AS (SELECT kx, ky, gram, fx - fy AS diff, row_number() OVER (PARTITION BY kx, ky ORDER BY round(abs(fx - fy), 12) DESC, gram) AS rank FROM p JOIN differing USING (kx, ky))"
 
 
-def strings(spark, sf):
-    """label (first character of the recording's name) and w: each recording's frames and its tokens as two strings of symbols."""
-    f, t = frames(spark, sf), token_view(spark, sf)
-    listed = lambda df, order: df.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct(order, "cls"))).alias("l")).select("rec", F.col("l.cls").alias("w"))
-    both = listed(f, "t").withColumn("level", F.lit(1)).unionByName(listed(t, "start").withColumn("level", F.lit(2)))
+def placed_grams(spark, sf):
+    """rec, label (first character of the recording's name), level, pos and the n-grams of 1 to LONGEST symbols that begin there, over frames (level 1) and tokens (2).
+
+    Symbols come from the rows ahead, so that no recording is gathered as an array;
+    its last symbol is in no n-gram.
+    """
+
+    def level(df, order, n):
+        w = Window.partitionBy("rec").orderBy(order)
+        rows = df.select("rec", F.col(order).alias("pos"), "cls", *[F.lead("cls", k).over(w).alias(f"_{k}") for k in range(1, LONGEST + 1)])
+        grams = [F.when(F.col(f"_{k}").isNotNull(), F.concat_ws(" ", "cls", *[f"_{j}" for j in range(1, k)])) for k in range(1, LONGEST + 1)]
+        return rows.select("rec", F.lit(n).alias("level"), "pos", F.array_compact(F.array(*grams)).alias("grams"))
+
+    both = level(frames(spark, sf), "t", 1).unionByName(level(token_view(spark, sf), "run", 2))
     return both.withColumn("label", F.left(F.col("rec").cast("string"), F.lit(1)))
 
 
 def _counts(spark, sf):
-    """Occurrences of n-grams of 1 to LONGEST symbols by label, both levels together."""
-    return statistics.gram_counts(strings(spark, sf), "label", fs.phrases(F.col("w"), LONGEST))
+    """Occurrences of n-grams by label, both levels together."""
+    return statistics.gram_counts(placed_grams(spark, sf), "label", F.col("grams"))
 
 
 def _frequencies(spark, sf):
@@ -87,9 +96,7 @@ SELECT rec, label, level, gram, CAST(pos AS BIGINT) AS pos FROM o JOIN d USING (
 def pattern_positions(spark, sf):
     """Where the most different n-grams stand in the strings of the label that has more of them."""
     top = _top(spark, sf).select("gram", F.when(F.col("diff") > 0, F.col("kx")).otherwise(F.col("ky")).alias("label")).distinct()  # 25 rows a pair of labels
-    found = strings(spark, sf)
-    placed = F.flatten(F.array(*[F.transform(fs.ngrams(F.col("w"), n, " "), lambda g, i: F.struct(i.cast("long").alias("pos"), g.alias("gram"))) for n in range(1, LONGEST + 1)]))
-    at = found.select("rec", "label", "level", F.explode(placed).alias("o")).select("rec", "label", "level", "o.pos", "o.gram")
+    at = placed_grams(spark, sf).select("rec", "label", "level", F.col("pos").cast("long").alias("pos"), F.explode("grams").alias("gram"))
     return at.join(F.broadcast(top), ["label", "gram"]).select("rec", "label", "level", "gram", "pos")
 
 
