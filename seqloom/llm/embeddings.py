@@ -161,23 +161,15 @@ def _few(r: _Rows, start: np.ndarray, size: np.ndarray, threshold: float, shared
     return out
 
 
-def _bits(perm: np.ndarray, below: int) -> np.ndarray:
-    """A column for each pivot below a number, 1 where a description holds it."""
-    out = np.zeros((len(perm), below), np.float32)
-    row, col = np.nonzero(perm < below)
-    out[row, perm[row, col]] = 1
-    return out
-
-
-def _linked(r: _Rows, a: np.ndarray, z: np.ndarray, bits: np.ndarray, pivot: int, threshold: float, shared: int) -> np.ndarray:
-    """Links between rows a and z of one list (places in bits too): enough shared pivots, none of an earlier list, near by cosine."""
-    linked = bits[a] @ bits[z].T >= shared
-    linked &= r.x[a] @ r.x[z].T >= threshold
-    linked &= r.vec[a][:, None] != r.vec[z]
-    i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-    if pivot and len(i):
-        linked[np.ix_(i, j)] &= _bits(r.front[a[i]], pivot) @ _bits(r.front[z[j]], pivot).T == 0
-    return linked
+def _in_common(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """How many pivots each two rows have in common; a row holds none twice, and -1 is none."""
+    both = np.intersect1d(a[a >= 0], z[z >= 0])
+    place = np.full(MOST + 1, len(both))  # the last column is for pivots that only one side has
+    place[both] = np.arange(len(both))
+    bits = [np.zeros((len(p), len(both) + 1), np.float32) for p in (a, z)]
+    for b, p in zip(bits, (a, z), strict=True):
+        b[np.arange(len(p))[:, None], place[p]] = 1
+    return bits[0][:, :-1] @ bits[1][:, :-1].T
 
 
 def _many(r: _Rows, lo: int, hi: int, threshold: float, shared: int):
@@ -189,25 +181,24 @@ def _many(r: _Rows, lo: int, hi: int, threshold: float, shared: int):
     at, pivot = np.arange(lo, hi), int(r.pivot[lo])
     one, two = r.one[lo], r.two[lo]
     a, z = at[r.block[lo:hi] == one], at[r.block[lo:hi] == two]
-    used = np.unique(r.perm[lo:hi])
-    place = np.zeros(MOST, np.int64)
-    place[used] = np.arange(len(used))
-    bits = np.zeros((hi - lo, len(used)), np.float32)
-    bits[(at - lo)[:, None], place[r.perm[lo:hi]]] = 1
     kinds, n = np.unique(r.least[a], return_counts=True)
     crowds = kinds[(n > SMALL) & (kinds != pivot)]
     parts = [(a[r.least[a] == k], z[r.least[z] != k]) for k in crowds] + [(a[~np.isin(r.least[a], crowds)], z)]
     found = []
+    shares = lambda i, j: _in_common(r.perm[i], r.perm[j]) >= shared
+    near = lambda i, j: r.x[i] @ r.x[j].T >= threshold
+    # a link passes both; the wider product is left for the rows and columns that the narrower one leaves
+    first, second = (near, shares) if 2 * r.x.shape[1] < len(np.unique(r.perm[lo:hi])) else (shares, near)
     for rows, columns in parts:
-        linked = bits[rows - lo] @ bits[columns - lo].T >= shared
-        linked &= r.x[rows] @ r.x[columns].T >= threshold
+        linked = first(rows, columns)
         linked &= r.vec[rows][:, None] != r.vec[columns]
         i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
         if not len(i):
             continue
         rows, columns, linked = rows[i], columns[j], linked[np.ix_(i, j)]
-        if pivot:  # no pivot before this one is at the front of both
-            linked &= _bits(r.front[rows], pivot) @ _bits(r.front[columns], pivot).T == 0
+        linked &= second(rows, columns)
+        before = [np.where(r.front[i] < pivot, r.front[i], -1) for i in (rows, columns)]
+        linked &= _in_common(*before) == 0  # no pivot before this one is at the front of both
         found.append((rows, columns, linked))
     vec, links = r.vec[lo:hi], np.zeros(hi - lo, np.int64)
     root, big = vec.copy(), np.iinfo(np.int64).max
