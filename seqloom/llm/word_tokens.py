@@ -21,7 +21,7 @@ from seqloom.llm.text_arrays import runs, word_hashes
 #: Distinct words a worker remembers before it starts anew. It never changes a result.
 KNOWN_WORDS = 1_000_000
 #: Bytes of text handled at once, and new items that go to the library at once.
-RUN_BYTES, NEW_ITEMS = 1 << 20, 4_096
+RUN_BYTES, NEW_ITEMS = 2 << 20, 8_192
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -113,7 +113,7 @@ class WordEncoder:
         self.table, self.ids, self.start = WordTable(), Grown(np.uint32), Grown(np.int64)
         self.start.extend(np.zeros(1, np.int64))
 
-    def _learn(self, h: np.ndarray, items: list[bytes]) -> None:
+    def _learn(self, items: list[bytes]) -> None:
         """Ids of new items. They go to the library as lines of one text: a line feed in front of a word or a
         space is a token of its own, so it ends each item. An item of another white-space character alone goes by itself."""
         lines, alone = [], {}
@@ -135,10 +135,9 @@ class WordEncoder:
             flat, sizes = np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
         else:
             flat = np.delete(flat, ends)
-        first, used = self.start.n - 1, self.ids.n
+        used = self.ids.n
         self.ids.extend(flat)
         self.start.extend(used + np.cumsum(sizes))
-        self.table.add(h, np.arange(first, first + len(items)))
 
     def _run(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offs) - 1
@@ -162,9 +161,10 @@ class WordEncoder:
             if self.start.n > KNOWN_WORDS:
                 self._reset()
                 miss = np.arange(len(new))
+            known_before = self.start.n - 1
             for k in range(0, len(miss), NEW_ITEMS):
-                some = miss[k : k + NEW_ITEMS]
-                self._learn(new[some], [buf[first[i] : end[i]].tobytes() for i in one[some]])
+                self._learn([buf[first[i] : end[i]].tobytes() for i in one[miss[k : k + NEW_ITEMS]]])
+            self.table.add(new[miss], np.arange(known_before, known_before + len(miss)))
             at, known = self.table.find(new)
         at = at[back]
         begin = self.start.a[at]
