@@ -113,31 +113,25 @@ class WordEncoder:
         self.table, self.ids, self.start = WordTable(), Grown(np.uint32), Grown(np.int64)
         self.start.extend(np.zeros(1, np.int64))
 
-    def _learn(self, items: list[bytes]) -> None:
-        """Ids of new items. They go to the library as lines of one text: a line feed in front of a word or a
+    def _learn(self, items: list[bytes]) -> np.ndarray:
+        """Row numbers of new items, whose ids are kept. They go to the library as lines of one text: a line feed in front of a word or a
         space is a token of its own, so it ends each item. An item of another white-space character alone goes by itself."""
-        lines, alone = [], {}
-        for i, w in enumerate(items):
-            if w[:1] == b"\n" or len(w) == 1 and w in b" \t\r" or w[:1] in (b"\t", b"\r"):
-                alone[i] = self.library.encode(w.decode(), add_special_tokens=False).ids if w[:1] != b"\n" or len(w) == 1 else None
-                lines.append(w[1:] if alone[i] is None else b"x")
-            else:
-                lines.append(w)
-        flat = np.array(self.library.encode_batch_fast([b"\n".join([*lines, b""]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        alone = np.fromiter((w[:1] in (b"\t", b"\r") or w in (b"\n", b" ") for w in items), bool, len(items))
+        fed = np.fromiter((w[:1] == b"\n" for w in items), bool, len(items))[~alone]
+        lines = [w[1:] if w[:1] == b"\n" else w for w, x in zip(items, alone, strict=True) if not x]
+        flat = np.array(self.library.encode_batch_fast([b"\n".join([*lines, b""]).decode()], add_special_tokens=False)[0].ids if lines else [], np.uint32)
         ends = np.flatnonzero(flat == self.feed[0])
-        assert len(ends) == len(items), "a line feed is part of another token"
+        assert len(ends) == len(lines), "a line feed is part of another token"
         sizes = np.diff(ends, prepend=-1) - 1
-        if alone:
-            parts = np.split(flat, ends + 1)
-            own = [p[:-1] for p in parts[: len(items)]]
-            for i, ids in alone.items():
-                own[i] = np.concatenate([self.feed, own[i]]).astype(np.uint32) if ids is None else np.array(ids, np.uint32)
-            flat, sizes = np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
-        else:
-            flat = np.delete(flat, ends)
-        used = self.ids.n
-        self.ids.extend(flat)
+        flat = np.delete(flat, ends)
+        flat = np.insert(flat, (np.cumsum(sizes) - sizes)[fed], np.uint32(self.feed[0]))  # the feed that a line began with
+        sizes[fed] += 1
+        own = [np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, np.uint32) for w, x in zip(items, alone, strict=True) if x]
+        sizes = np.concatenate([sizes, np.fromiter(map(len, own), np.int64, len(own))])
+        first, used = self.start.n - 1, self.ids.n
+        self.ids.extend(np.concatenate([flat, *own]))
         self.start.extend(used + np.cumsum(sizes))
+        return first + np.where(alone, len(lines) + np.cumsum(alone) - 1, np.cumsum(~alone) - 1)
 
     def _run(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offs) - 1
@@ -161,10 +155,8 @@ class WordEncoder:
             if self.start.n > KNOWN_WORDS:
                 self._reset()
                 miss = np.arange(len(new))
-            known_before = self.start.n - 1
-            for k in range(0, len(miss), NEW_ITEMS):
-                self._learn([buf[first[i] : end[i]].tobytes() for i in one[miss[k : k + NEW_ITEMS]]])
-            self.table.add(new[miss], np.arange(known_before, known_before + len(miss)))
+            rows_of = [self._learn([buf[first[i] : end[i]].tobytes() for i in one[miss[k : k + NEW_ITEMS]]]) for k in range(0, len(miss), NEW_ITEMS)]
+            self.table.add(new[miss], np.concatenate(rows_of))
             at, known = self.table.find(new)
         at = at[back]
         begin = self.start.a[at]
