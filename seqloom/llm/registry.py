@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import embeddings, exact, language, mixing, neardup, packing, token_counts, token_files, toxicity, urls
+from seqloom.llm import embeddings, exact, language, mixing, neardup, packing, periodic, token_counts, token_files, top_k, toxicity, urls, whitening
 from seqloom.llm.groups import for_texts
 
 #: The rules of the URL query.
@@ -57,8 +57,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.with_digests(periodic.periodic_runs(periodic.with_planted_periods(_table(spark, sf_dir, "documents"))))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), count=4)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_embedding_neardup, op4_token_files, op5_toxicity, op6_packing, op7_url_filters, op8_token_counts, op9_language_id, op10_exact_dedup)}
+    all_of_them = (
+        op1_mixing, op2_minhash_neardup, op3_embedding_neardup, op4_token_files, op5_toxicity, op6_packing, op7_url_filters, op8_token_counts, op9_language_id, op10_exact_dedup,
+        op11_exact_top_k, op12_periodic_runs, op13_whitening,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 _OP7_SQL = r"""
@@ -111,5 +127,16 @@ SELECT r.vec_id, (SELECT count(*) FROM e WHERE e.a = r.vec_id) AS n_links, min(r
 FROM r GROUP BY r.vec_id"""
 
 
+_OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda e: floor(256 * e)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x))
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM p
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_neardup": _OP2_SQL, "op3_embedding_neardup": _OP3_SQL, "op7_url_filters": _OP7_SQL, "op10_exact_dedup": _OP10_SQL}
+    return {"op2_minhash_neardup": _OP2_SQL, "op3_embedding_neardup": _OP3_SQL, "op7_url_filters": _OP7_SQL, "op10_exact_dedup": _OP10_SQL, "op11_exact_top_k": _OP11_SQL}
