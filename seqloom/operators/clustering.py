@@ -1,22 +1,15 @@
-"""k-means scores, complete linkage and nearest-neighbour chains."""
+"""k-means and its scores."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.storage import store
-
-#: Items whose whole distance matrix one task may hold, and the rows and columns of it that are computed at once.
-CELL, SIDE = 2_048, 256
-
 
 def kmeans(df: DataFrame, k: int, vector: str = "ts", seed: int = 1):
     """(model, df with ``cluster``)."""
@@ -48,121 +41,3 @@ def knee(points: list[tuple[float, float]]) -> float:
         return points[0][0]
     above = (y - y[0]) / (y[-1] - y[0]) - (x - x[0]) / (x[-1] - x[0])
     return points[int(above.argmax())][0]
-
-
-def complete_linkage(distances: np.ndarray, thresholds: list[float]) -> np.ndarray:
-    """Cluster of each item at each threshold, by merging the two clusters whose farthest members are nearest; numbered by smallest item.
-
-    Every cluster keeps its nearest other one, so that a merge looks at one number
-    a cluster and again at the rows that lost their nearest.
-    """
-    n = len(distances)
-    d = distances.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    near = d.argmin(1) if n else np.zeros(0, int)
-    least = d[np.arange(n), near]
-    merges = []
-    for _ in range(n - 1):
-        i = int(least.argmin())
-        j = int(near[i])
-        i, j = min(i, j), max(i, j)
-        merges.append((d[i, j], i, j))
-        d[i] = d[:, i] = np.maximum(d[i], d[j])
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
-        least[j] = np.inf
-        for r in np.flatnonzero(((near == i) | (near == j)) & (least < np.inf)).tolist() + [i]:
-            near[r] = d[r].argmin()
-            least[r] = d[r, near[r]]
-    out = np.zeros((len(thresholds), n), np.int64)
-    for t, limit in enumerate(thresholds):
-        label = np.arange(n)
-        for height, i, j in merges:
-            if height > limit:
-                break  # heights never fall
-            label[label == label[j]] = label[i]
-        out[t] = np.unique(label, return_inverse=True)[1]
-    return out
-
-
-def nearest_chain(distances: np.ndarray) -> list[int]:
-    """Items from 0 on, each followed by its nearest unvisited one (the first of equals)."""
-    order, d = [0] if len(distances) else [], distances.astype(float)
-    left = np.ones(len(d), bool)
-    left[:1] = False
-    while left.any():
-        order.append(int(np.where(left, d[order[-1]], np.inf).argmin()))
-        left[order[-1]] = False
-    return order
-
-
-def cells(df: DataFrame, key: str, vector: str | None = None, cell: int = CELL, seed: int = 1) -> DataFrame:
-    """df with ``_cell``, of ``cell`` rows at most: 0 for a table that fits in one.
-
-    A larger one is cut into k-means cells of half that size on average (1,024 at
-    most), or by a hash of the key where there is no vector, and what is still too
-    large by the key's hash; items of different cells are then never compared.
-    """
-    stored = store(df, "items")
-    n = stored.count()
-    if n <= cell:
-        return stored.withColumn("_cell", F.lit("0"))
-    k = min(1_024, -(-2 * n // cell))
-    placed = kmeans(stored, k, vector, seed)[1].withColumnRenamed("cluster", "_at") if vector else stored.withColumn("_at", F.pmod(F.xxhash64(key), F.lit(k)))
-    sizes = placed.groupBy("_at").agg(F.count("*").alias("_n"))  # k rows
-    parts = F.ceil(F.col("_n") * 1.5 / cell).cast("int")
-    part = F.when(F.col("_n") <= cell, F.lit(0)).otherwise(F.pmod(F.hash(key), parts))
-    return placed.join(F.broadcast(sizes), "_at").withColumn("_cell", F.concat_ws("-", "_at", part)).drop("_at", "_n")
-
-
-def with_matrices(placed: DataFrame, key: str, item: str, distances: Callable, then: Callable[[np.ndarray], Iterable[tuple[str, np.ndarray]]], schema: str) -> DataFrame:
-    """What ``then`` makes of each cell's matrix of distances between its items in order of key.
-
-    ``distances`` takes two Arrow arrays of items. Squares of SIDE rows and columns
-    are computed by tasks of their own, and one task for each cell puts them
-    together; ``then`` returns columns of one length, of which ``row`` is replaced
-    by the key of that row, and ``schema`` begins with cell and key.
-    """
-    kind = placed.schema[item].dataType.simpleString()
-    rows = placed.select(F.col("_cell").alias("cell"), F.col(key).cast("long").alias("id"), F.col(item).alias("item"))
-    block = F.pmod(F.hash("id"), F.lit(-(-CELL // SIDE)))
-    both = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(-(-CELL // SIDE) - 1))))
-    both = both.select("cell", "id", "item", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-
-    def square(t: pa.Table) -> pa.Table:
-        at = t["block"].to_numpy()
-        a, z = np.flatnonzero(at == t["one"][0].as_py()), np.flatnonzero(at == t["two"][0].as_py())
-        i, j = np.repeat(a, len(z)), np.tile(z, len(a))
-        if t["one"][0].as_py() == t["two"][0].as_py():
-            i, j = i[i < j], j[i < j]
-        items, ids = t["item"].combine_chunks(), t["id"].to_numpy()
-        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)  # bands aren't symmetric: the smaller key comes first
-        d = np.asarray(distances(items.take(pa.array(i)), items.take(pa.array(j))), float) if len(i) else np.zeros(0)
-        pack = lambda x, kind: pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary())
-        return pa.table({"cell": t["cell"][:1], "own": pack(ids[a if t["one"][0].as_py() == t["two"][0].as_py() else a[:0]], np.int64), "a": pack(ids[i], np.int64), "b": pack(ids[j], np.int64), "d": pack(d, float)})
-
-    def whole(t: pa.Table) -> pa.Table:
-        get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t[c].to_pylist()])
-        ids = np.sort(get("own", np.int64))
-        m = np.zeros((len(ids), len(ids)))
-        a, b = np.searchsorted(ids, get("a", np.int64)), np.searchsorted(ids, get("b", np.int64))
-        m[a, b] = m[b, a] = get("d", float)
-        cols = dict(then(m))
-        row = cols.pop("row")
-        return pa.table({"cell": pa.array([t["cell"][0].as_py()] * len(row)), key: ids[row], **cols})
-
-    squares = both.groupBy("cell", "one", "two").applyInArrow(square, "cell string, own binary, a binary, b binary, d binary")
-    return squares.groupBy("cell").applyInArrow(whole, schema)
-
-
-def linkage_cuts(m: np.ndarray):
-    """row, percent and cluster: complete linkage cut at the percentiles 1 to 98 of the whole matrix, diagonal and both halves included."""
-    percents = np.arange(1, 99)
-    cut = complete_linkage(m, list(np.percentile(m, percents))) if len(m) else np.zeros((98, 0), np.int64)
-    return {"row": np.tile(np.arange(len(m)), 98), "percent": np.repeat(percents, len(m)), "cluster": cut.ravel()}
-
-
-def chain_places(m: np.ndarray):
-    """row and place in the nearest-neighbour chain."""
-    order = np.array(nearest_chain(m), np.int64)
-    return {"row": order, "place": np.arange(len(order))}

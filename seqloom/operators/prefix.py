@@ -69,19 +69,115 @@ def rank_in(df: DataFrame, part: str, order: list[str], out: str) -> DataFrame:
     return running_total_in(df.withColumn("_sl_one", F.lit(1)), part, order, "_sl_one", out).drop("_sl_one")
 
 
+#: Bits that each pass of :func:`values_at` adds to what is known of a value.
+DIGITS = (16, 12, 12, 12, 12)
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Longs or doubles as unsigned numbers of the same order; NaN comes last, and -0 is 0."""
+    if values.dtype == np.int64:
+        return values.view(np.uint64) ^ np.uint64(1 << 63)
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _value(number: int, whole: bool):
+    if whole:
+        return number - (1 << 63)
+    bits = number ^ (1 << 63) if number >> 63 else number ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def values_at(df: DataFrame, value: str, ranks: list[int]) -> list:
+    """The values at some ranks (from 0) among all values of a column of longs, doubles, or arrays of them; nulls, which come first, are None.
+
+    Every pass counts how often the next bits occur behind those known so far, so
+    that equal values, however many, are one count, and nothing is sorted. ``df``
+    is read five times and should be stored; ranks are few and must exist.
+    """
+    kind = df.schema[value].dataType
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    whole = isinstance(kind, (T.LongType, T.IntegerType))
+    arrow = pa.int64() if whole else pa.float64()
+
+    def counts(known: np.ndarray, done: int, width: int):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, nulls = np.zeros(max(len(known), 1) << width, np.int64), 0
+            for b in batches:
+                v = b.column(0)
+                v = v.flatten() if pa.types.is_list(v.type) else v
+                nulls += v.null_count
+                x = _ordered(v.drop_null().cast(arrow).to_numpy(zero_copy_only=False))
+                at = np.zeros(len(x), np.int64)
+                if done:
+                    head = x >> np.uint64(64 - done)
+                    at = np.minimum(np.searchsorted(known, head), len(known) - 1)
+                    x, at = x[known[at] == head], at[known[at] == head]
+                digit = (x >> np.uint64(64 - done - width)) & np.uint64((1 << width) - 1)
+                total += np.bincount((at << width) + digit.astype(np.int64), minlength=len(total))
+            codes = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(total[codes], nulls))], names=["code", "n"])
+
+        return count
+
+    heads, left, done = [0] * len(ranks), list(ranks), 0
+    out: list = [None] * len(ranks)
+    for width in DIGITS:
+        known = np.unique(np.array(heads, np.uint64))
+        # a row for each of the next bits that occur: 2 ** 16, or 2 ** 12 for each rank, at most
+        found = df.select(value).mapInArrow(counts(known, done, width), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+        codes, n = found["code"].to_numpy(), found["n"].to_numpy()
+        nulls, codes, n = (int(n[0]) if len(n) else 0), codes[1:], n[1:]
+        if not done:
+            left = [r - nulls for r in left]
+        for i, r in enumerate(left):
+            if r < 0:
+                continue
+            here = (codes >> width) == int(np.searchsorted(known, np.uint64(heads[i])))
+            ends = np.cumsum(n[here])
+            at = int(np.searchsorted(ends, r, "right"))
+            left[i] = r - (int(ends[at - 1]) if at else 0)
+            heads[i] = (heads[i] << width) | (int(codes[here][at]) & ((1 << width) - 1))
+        done += width
+    for i, r in enumerate(left):
+        out[i] = None if r < 0 else _value(heads[i], whole)
+    return out
+
+
 def at_ranks(df: DataFrame, value: str, ranks: DataFrame) -> DataFrame:
     """The columns of ``ranks`` (a few rows with ``rank``, from 0) with the value of that rank among all rows, nulls first, as ``at``. ``df`` should be stored."""
-    ranked = running_total(df.select(value).withColumn("_sl_one", F.lit(1)), [value], "_sl_one", "_sl_rank")
-    return ranked.join(F.broadcast(ranks), F.col("_sl_rank") == F.col("rank")).select(*ranks.columns, F.col(value).alias("at"))
+    n = df.count()
+    asked = [r for r in ranks.collect() if r["rank"] < n]
+    values = values_at(df, value, [r["rank"] for r in asked]) if asked else []
+    schema = T.StructType([*ranks.schema.fields, T.StructField("at", df.schema[value].dataType)])
+    return df.sparkSession.createDataFrame([(*r, v) for r, v in zip(asked, values, strict=True)], schema)
+
+
+def percentile_values(df: DataFrame, value: str, percents: list[int]) -> list[float]:
+    """Exact percentiles of a column of doubles, or of the elements of its arrays, interpolated between the two nearest ranks. Nulls have none."""
+    column = F.explode(value) if isinstance(df.schema[value].dataType, T.ArrayType) else F.col(value)
+    n = df.agg(F.sum(F.size(value)).alias("n") if isinstance(df.schema[value].dataType, T.ArrayType) else F.count(column).alias("n")).first().n or 0
+    if not n:
+        return []
+    places = [(n - 1) * p / 100 for p in percents]
+    ranks = sorted({int(x) for x in places} | {min(int(x) + 1, n - 1) for x in places})
+    at = dict(zip(ranks, values_at(df, value, ranks), strict=True))
+
+    def between(x: float) -> float:
+        a, b, t = at[int(x)], at[min(int(x) + 1, n - 1)], x - int(x)
+        if a == b or t == 0:
+            return a
+        if np.isinf(b):
+            return b
+        return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
+
+    return [between(x) for x in places]
 
 
 def percentiles(df: DataFrame, value: str, percents: list[int]) -> DataFrame:
-    """percent and dist: exact percentiles, interpolated between the two nearest ranks, without gathering the values. Nulls count as smallest; an empty table has none."""
-    n = df.count()
-    places = [(p, (n - 1) * p / 100) for p in percents] if n else []
-    ends = [(p, int(x) + k, 1 - (x - int(x)) if k == 0 else x - int(x)) for p, x in places for k in (0, 1) if int(x) + k < n]
-    ranks = df.sparkSession.createDataFrame(ends, "percent long, rank long, share double")
-    return at_ranks(df, value, ranks).groupBy("percent").agg(F.sum(F.when(F.col("share") > 0, F.col("share") * F.col("at")).otherwise(0.0)).alias("dist"))
+    """percent and dist: exact percentiles, interpolated between the two nearest ranks, without sorting or gathering the values. Nulls don't count; an empty table has none."""
+    values = percentile_values(df.filter(F.col(value).isNotNull()), value, percents)
+    return df.sparkSession.createDataFrame(list(zip(percents, values, strict=False)), "percent long, dist double")
 
 
 def consecutive(df: DataFrame, order: str, key: str, out: str) -> DataFrame:

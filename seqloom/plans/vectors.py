@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import vectors as fv
-from seqloom.operators import clustering, labels
+from seqloom.operators import clustering, labels, linkage
+from seqloom.operators.chain import nearest_chain
 from seqloom.operators.distance import dtw, edit_distances, warped_distances
 from seqloom.operators.pairs import against, in_interval, nearest_by_cosine, triplets
 from seqloom.operators.prefix import percentiles, running_total
@@ -360,13 +361,13 @@ def _warped(x, y):
 @query("complete_linkage")
 def complete_linkage(spark, sf):
     """Complete linkage of series by time warping, cut at the percentiles 1 to 98 of their distances."""
-    return clustering.with_matrices(clustering.cells(series(spark, sf), "ts_id", "ts"), "ts_id", "ts", _warped, clustering.linkage_cuts, "cell string, ts_id long, percent long, cluster long")
+    return linkage.complete_linkage(series(spark, sf), "ts_id", "ts", _warped)
 
 
 @query("greedy_chain")
 def greedy_chain(spark, sf):
     """Series in the order of the chain of nearest neighbours by time warping."""
-    return clustering.with_matrices(clustering.cells(series(spark, sf), "ts_id", "ts"), "ts_id", "ts", _warped, clustering.chain_places, "cell string, ts_id long, place long")
+    return nearest_chain(series(spark, sf), "ts_id", "ts", _warped)
 
 
 def _strings(spark, sf):
@@ -383,15 +384,14 @@ def sized_sequences(spark, sf):
 @query("string_linkage")
 def string_linkage(spark, sf):
     """Complete linkage of symbol strings by edit distance, cut at the percentiles 1 to 98."""
-    return clustering.with_matrices(clustering.cells(_strings(spark, sf), "rec"), "rec", "symbols", edit_distances, clustering.linkage_cuts, "cell string, rec long, percent long, cluster long")
+    return linkage.complete_linkage(_strings(spark, sf), "rec", "symbols", edit_distances)
 
 
 @query("decode_chain")
 def decode_chain(spark, sf):
     """Decoded recordings in the order of the chain of nearest neighbours by edit distance, with their tokens."""
     s = _strings(spark, sf)
-    chain = clustering.with_matrices(clustering.cells(s, "rec"), "rec", "symbols", edit_distances, clustering.chain_places, "cell string, rec long, place long")
-    return chain.join(s, "rec").select("cell", "place", "rec", F.array_join("symbols", " ").alias("sequence"))
+    return nearest_chain(s, "rec", "symbols", edit_distances).join(s, "rec").select("place", "rec", F.array_join("symbols", " ").alias("sequence"))
 
 
 #: Frames of a region, and the part of all regions that counts as unlikely.
@@ -428,8 +428,7 @@ def _kept_regions(spark, sf):
 def sequencing_chain(spark, sf):
     """The sequences that suppression leaves, in the order of their chain by edit distance."""
     s = _kept_regions(spark, sf)
-    chain = clustering.with_matrices(clustering.cells(s, "rec"), "rec", "symbols", edit_distances, clustering.chain_places, "cell string, rec long, place long")
-    return chain.join(s, "rec").select("cell", "place", "rec", F.array_join("symbols", " ").alias("sequence"))
+    return nearest_chain(s, "rec", "symbols", edit_distances).join(s, "rec").select("place", "rec", F.array_join("symbols", " ").alias("sequence"))
 
 
 @query("kept_recordings", f"WITH {FRAMES} SELECT rec, CAST(count(*) FILTER (cid > 0) AS BIGINT) AS n FROM frames WHERE t < 10000 GROUP BY rec HAVING count(*) FILTER (cid > 0) > 3")
