@@ -14,7 +14,7 @@ from seqloom.plans import query
 from seqloom.plans.vectors import DIM
 from seqloom.plans.views import CLASSES, FRAMES, SEQUENCES, SERIES, TOKENS, event_sequences, frames, queries_of, series, table
 from seqloom.plans.views import tokens as token_view
-from seqloom.sources import recordings, tables, texts
+from seqloom.sources import recordings, tables, texts, wav_source
 from seqloom.storage import scratch_path, store
 from seqloom.streaming import ingest
 
@@ -150,11 +150,11 @@ def grown_index(spark, sf):
 
 
 def _recorded(spark, sf, name="recordings"):
-    """Each user's values in hundredths as a recording of two channels, the second silent, written as WAV files and read back."""
+    """Each user's values in hundredths as a recording of 24 bits and two channels, the second silent, written as WAV files."""
     path = scratch_path(spark, name)
     f = frames(spark, sf).withColumn("x", F.round(F.col("value") * 100).cast("long"))
     s = f.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("l")).select(F.format_string("r%d.wav", "rec").alias("name"), F.col("l.x").alias("samples"))
-    recordings.write_wavs(s, path, channels=2)
+    recordings.write_wavs(s, path, bits=24, channels=2)
     return path
 
 
@@ -172,7 +172,32 @@ def wav_files(spark, sf):
     return d.select(_name().alias("name"), F.posexplode("samples").alias("t", "x"), F.col("sample_rate").cast("long").alias("rate")).withColumn("t", F.col("t").cast("long"))
 
 
-@query("wav_mixdown", f"WITH {_SAMPLES} SELECT name, CAST(count(*) AS BIGINT) AS n, round(sum(x / 2.0 / 32768), 6) AS total FROM samples GROUP BY name")
+@query("wav_splits", f"WITH {_SAMPLES} SELECT name, t, x, count(*) OVER (PARTITION BY name) AS frames FROM samples")
+def wav_splits(spark, sf):
+    """The same by the data source, in rows of sixteen frames and splits of 300 bytes, so that many tasks share a file."""
+    rows = wav_source.read_recordings(spark, _recorded(spark, sf), frames=16, split=300)
+    sizes = rows.filter("start = 0").select("path", "frames")
+    return wav_source.samples_of(rows).join(sizes, "path").select(_name().alias("name"), "t", "x", "frames")
+
+
+_VIEW = f"WITH {_SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY t) AS r FROM samples WHERE t >= {{lo}} AND t < {{hi}}) SELECT name, list(x ORDER BY t) AS samples FROM n GROUP BY name"
+
+
+@query("wav_forward", f"SELECT name, array_to_string(samples, ' ') AS samples FROM ({_VIEW.format(lo=25, hi=45)})")
+def wav_forward(spark, sf):
+    """Twenty frames of every recording from frame 25 on; only rows that overlap them are read."""
+    v = wav_source.view(spark, _recorded(spark, sf), 25, 20, frames=8)
+    return v.select(_name().alias("name"), F.array_join(F.col("samples").cast("array<string>"), " ").alias("samples"))
+
+
+@query("wav_backward", f"SELECT name, array_to_string(samples, ' ') AS samples FROM ({_VIEW.format(lo=5, hi=25)})")
+def wav_backward(spark, sf):
+    """The twenty frames before frame 25."""
+    v = wav_source.view(spark, _recorded(spark, sf), 25, 20, backward=True, frames=8)
+    return v.select(_name().alias("name"), F.array_join(F.col("samples").cast("array<string>"), " ").alias("samples"))
+
+
+@query("wav_mixdown", f"WITH {_SAMPLES} SELECT name, CAST(count(*) AS BIGINT) AS n, round(sum(x / 2.0 / 8388608), 6) AS total FROM samples GROUP BY name")
 def wav_mixdown(spark, sf):
     """Mean of both channels, scaled to -1..1."""
     d = recordings.read_wavs(spark, _recorded(spark, sf), mix=True)
@@ -211,7 +236,7 @@ def _through(spark, column, make, kind):
     return there_and_back(column)
 
 
-@query("feature_file", f"WITH {SERIES}, f AS (SELECT ts_id, i, unnest(range(4)) AS k, ts[i * 4 + 1:i * 4 + 4] AS w FROM (SELECT ts_id, ts, unnest(range(16)) AS i FROM series)) SELECT ts_id, i * 4 + k AS i, round((w[k + 1] - list_avg(w)) / (list_stddev_pop(w) + 1e-8), 3) + 0.0 AS v FROM f")
+@query("feature_file", f"WITH {SERIES}, f AS (SELECT ts_id, i, unnest(range(4)) AS k, ts[i * 4 + 1:i * 4 + 4] AS w FROM (SELECT ts_id, ts, unnest(range(16)) AS i FROM series)) SELECT ts_id, i * 4 + k AS i, round(CAST(CAST((w[k + 1] - list_avg(w)) / (list_stddev_pop(w) + 1e-8) AS FLOAT) AS DOUBLE), 3) + 0.0 AS v FROM f")
 def feature_file(spark, sf):
     """Frames of four channels as a big-endian feature file, z-normed one by one."""
     back = _through(spark, F.col("ts"), lambda x: recordings.parse_features(recordings.feature_bytes(x.reshape(-1, DIM))).ravel().tolist(), "array<float>")

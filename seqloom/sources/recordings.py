@@ -15,6 +15,27 @@ WINDOW, STEP, LOW, HIGH = 512, 128, 100, 230
 RATE = 44_100
 
 
+def wav_format(body: bytes) -> tuple[int, int, int, int]:
+    """(channels, rate, bits, bytes a sample) of a format chunk."""
+    if len(body) < 16:
+        raise ValueError("the format is cut short")
+    kind, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", body)
+    if kind not in (1, 0xFFFE) or not 2 <= bits <= 64 or channels < 1 or align != channels * -(-bits // 8):
+        raise ValueError("not linear PCM of 2 to 64 bits")
+    return channels, rate, bits, align // channels
+
+
+def unpack_samples(body: bytes, wide: int, bits: int) -> np.ndarray:
+    """Samples of ``wide`` bytes as longs; one byte is unsigned."""
+    cells = np.frombuffer(body, np.uint8, len(body) // wide * wide).reshape(-1, wide)
+    full = np.zeros((len(cells), 8), np.uint8)
+    full[:, :wide] = cells
+    if wide > 1:
+        full[:, wide:] = np.where(cells[:, -1:] & 0x80, 0xFF, 0)
+    values = full.view("<i8").ravel()
+    return values - (1 << (bits - 1)) if wide == 1 else values
+
+
 def parse_wav(raw: bytes) -> tuple[int, int, np.ndarray]:
     """(sample rate, valid bits, samples [frames, channels]) of PCM data; chunks that aren't known are skipped. 8 bits and fewer are unsigned."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
@@ -24,31 +45,26 @@ def parse_wav(raw: bytes) -> tuple[int, int, np.ndarray]:
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
         body = raw[at + 8 : at + 8 + size]
         if name == b"fmt ":
-            kind, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", body)
-            if kind not in (1, 0xFFFE) or not 2 <= bits <= 64 or channels < 1 or align != channels * -(-bits // 8):
-                raise ValueError("not linear PCM of 2 to 64 bits")
-            form = channels, rate, bits, align // channels
+            form = wav_format(body)
         elif name == b"data":
             if form is None:
                 raise ValueError("data before format")
             channels, rate, bits, wide = form
             n = len(body) // (wide * channels)
-            cells = np.frombuffer(body, np.uint8, n * channels * wide).reshape(-1, wide)
-            full = np.zeros((len(cells), 8), np.uint8)
-            full[:, :wide] = cells
-            if wide > 1:
-                full[:, wide:] = np.where(cells[:, -1:] & 0x80, 0xFF, 0)
-            values = full.view("<i8").ravel()
-            return rate, bits, (values - (1 << (bits - 1)) if wide == 1 else values).reshape(n, channels)
+            return rate, bits, unpack_samples(body[: n * channels * wide], wide, bits).reshape(n, channels)
         at += 8 + size + size % 2
     raise ValueError("no data")
 
 
 def make_wav(samples: np.ndarray, rate: int = RATE, bits: int = 16) -> bytes:
-    """RIFF bytes of [frames, channels] integer samples, little-endian and padded to whole words."""
-    samples = np.asarray(samples, np.int64).reshape(len(samples), -1)
+    """RIFF bytes of [frames, channels] integer samples, little-endian and padded to whole words. A sample that ``bits`` can't hold is an error."""
+    samples = np.asarray(samples, np.int64)
+    samples = samples[:, None] if samples.ndim == 1 else samples
+    top = 1 << (bits - 1)
+    if samples.size and not (samples.min() >= -top and samples.max() < top):
+        raise ValueError(f"samples from {samples.min()} to {samples.max()} don't fit {bits} bits")
     wide = -(-bits // 8)
-    stored = samples + (1 << (bits - 1)) if wide == 1 else samples
+    stored = samples + top if wide == 1 else samples
     body = np.ascontiguousarray(stored.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
     channels = samples.shape[1]
     head = struct.pack("<HHIIHH", 1, channels, rate, rate * channels * wide, channels * wide, bits)
@@ -71,7 +87,7 @@ def read_wavs(spark: SparkSession, path: str, mix: bool = False, strict: bool =
                 try:
                     rate, bits, x = parse_wav(raw)
                     x = (x.mean(1) / (1 << (bits - 1))) if mix else x[:, 0]
-                except ValueError:
+                except (ValueError, struct.error):
                     if strict:
                         raise
                     rate, bits, x = None, None, np.zeros(0, np.int64)
@@ -84,15 +100,15 @@ def read_wavs(spark: SparkSession, path: str, mix: bool = False, strict: bool =
 
 
 def write_wavs(recordings: DataFrame, folder: str, rate: int = RATE, bits: int = 16, channels: int = 1) -> None:
-    """A WAV file for each row (name, samples) in a folder that all workers can open; channels behind the first are silent. A task that runs again replaces its files."""
+    """A WAV file for each row (name, samples) in a folder that all workers can open; channels behind the first are silent; null samples are an empty recording. A task that runs again replaces its files."""
 
     def write(batches):
         fs, root = pa_fs.FileSystem.from_uri(folder)
         fs.create_dir(root)
         for b in batches:
             for name, x in zip(b.column("name").to_pylist(), b.column("samples").to_pylist(), strict=True):
-                samples = np.zeros((len(x), channels), np.int64)
-                samples[:, 0] = x
+                samples = np.zeros((len(x or []), channels), np.int64)
+                samples[:, 0] = x or []
                 with fs.open_output_stream(f"{root}/{name}") as out:
                     out.write(make_wav(samples, rate, bits))
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
