@@ -167,8 +167,9 @@ def bucket_query(spark, sf):
 @query("tree_stats")
 def tree_stats(spark, sf):
     index = SeriesIndex.build(series(spark, sf), dim=DIM)
-    n = index.nodes.agg(F.count("*").alias("nodes"), F.sum(F.col("left_id").isNull().cast("long")).alias("leaves"))
-    return n.join(index.buckets.agg(F.count("*").alias("series"))).withColumn("depth", F.lit(index.tree.depth()).cast("long"))
+    leaf = F.col("left_ts").isNull()
+    n = index.nodes.agg(F.count("*").alias("nodes"), F.count_if(leaf).alias("leaves"), F.max(F.when(leaf, F.col("span"))).alias("widest"), F.max(F.length("node")).cast("long").alias("depth"))
+    return n.join(index.buckets.agg(F.count("*").alias("series")))
 
 
 @query("relaxed_votes")
