@@ -53,3 +53,8 @@ def sample_to_frame(sample: Column, window: int = 512, step: int = 128) -> Colum
 
 def frame_to_sample(frame: Column, window: int = 512, step: int = 128) -> Column:
     return (frame * step + window).cast("long")
+
+
+def bin_to_hz(place: Column, window: int, rate: int = 44_100) -> Column:
+    """Frequency of a bin of a transform of ``window`` samples."""
+    return place * rate / float(window)

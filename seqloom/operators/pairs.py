@@ -66,12 +66,18 @@ def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, key: str, vector: s
 
     A block meets a slice as one matrix product, which hands on a query's k best
     (and what ties with them to nine places), so that slices times k rows a query
-    are ranked. All vectors have one length.
+    are ranked. All vectors have one length, but null ones and those that have no
+    cosine (all zero, or with null or non-finite components) are left out.
     """
     columns = queries.columns, corpus.columns
+    v = F.col(vector)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+    queries, corpus = queries.filter(usable), corpus.filter(usable)
 
     def unit(t: pa.Table) -> np.ndarray:
         x = t[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+        x = x / np.abs(x).max(1, keepdims=True)  # else squares of small numbers vanish
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:

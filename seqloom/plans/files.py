@@ -111,12 +111,15 @@ def label_result_pairs(spark, sf):
     return texts.result_pairs(spark, path)
 
 
-@query("label_grammar", "SELECT '$unit = b | c | d | e;' || chr(10) || '( < $unit | sil > )' AS value")
+_WORDS = f"WITH {_LABELLED}, w AS (SELECT DISTINCT translate(label, '0123456789', 'abcdefghij') AS w FROM lab WHERE label <> 'sil')"
+
+
+@query("label_grammar", f"{_WORDS} SELECT '$unit = ' || string_agg(w, ' | ' ORDER BY w) || ';' || chr(10) || '( < $unit | sil > )' AS value FROM w")
 def label_grammar(spark, sf):
     return texts.grammar(_label_file(spark, sf), continuous=True)
 
 
-@query("label_words", "SELECT unnest(['b b', 'c c', 'd d', 'e e', 'sil sil']) AS value")
+@query("label_words", f"{_WORDS} SELECT w || ' ' || w AS value FROM (SELECT w FROM w UNION SELECT 'sil')")
 def label_words(spark, sf):
     return texts.word_list(_label_file(spark, sf))
 
@@ -142,11 +145,13 @@ def saved_index(spark, sf):
     return index.buckets.join(now, "ts_id").select("ts_id", (F.col("leaf_id") == F.col("now")).alias("same_leaf"))
 
 
-@query("grown_index", f"WITH {SERIES} SELECT ts_id FROM series")
+@query("grown_index", f"WITH {SERIES} SELECT ts_id, true AS found FROM series")
 def grown_index(spark, sf):
-    """An index of the even series into which the odd ones are inserted under the same tree holds all."""
+    """An index of the even series into which the odd ones are inserted under the same tree holds all, each where a search for it ends."""
     s = series(spark, sf)
-    return SeriesIndex.build(s.filter("ts_id % 2 = 0"), dim=DIM).insert(s.filter("ts_id % 2 = 1")).buckets.select("ts_id")
+    index = SeriesIndex.build(s.filter("ts_id % 2 = 0"), dim=DIM).insert(s.filter("ts_id % 2 = 1"))
+    hits = index.query(s).filter("q = ts_id").select("ts_id", F.lit(True).alias("hit"))
+    return index.buckets.join(hits, "ts_id", "left").select("ts_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
 def _recorded(spark, sf, name="recordings"):

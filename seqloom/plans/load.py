@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from seqloom.plans import files, sequences, texts, vectors  # noqa: F401
+from seqloom.plans import exports, files, sequences, texts, vectors  # noqa: F401

@@ -149,13 +149,35 @@ def spectrogram(samples: np.ndarray, window: int = WINDOW, step: int = STEP, low
     return full[:, window // 2 :][:, low:high]
 
 
-def frames_of(recordings: DataFrame, **how) -> DataFrame:
+def falling_spectrogram(samples: np.ndarray, window: int = WINDOW, step: int = STEP) -> np.ndarray:
+    """[frames, window / 2] magnitudes from the highest frequency down, of windows whose first half is weighed by 0.54 + 0.46 cos and whose second half is silent.
+
+    The last magnitude is that of the mean and of the frequency beyond the highest together.
+    """
+    x, half = np.asarray(samples, float), window // 2
+    frames = [x[i : i + window] for i in range(0, len(x) - window, step)]
+    if not frames:
+        return np.zeros((0, half))
+    weight = np.where(np.arange(window) < half, 0.54 + 0.46 * np.cos(2 * np.pi * np.arange(window) / window), 0)
+    full = np.fft.rfft(np.array(frames) * weight)
+    return np.concatenate([np.abs(full[:, half - 1 : 0 : -1]), np.hypot(full[:, :1].real, full[:, half : half + 1].real)], 1)
+
+
+def slices(recordings: DataFrame, regions: DataFrame) -> DataFrame:
+    """path, starts, stops and samples of every region (path, starts, stops) of recordings (path, samples); regions that reach over the end are cut, empty ones left out."""
+    size = F.col("stops") - F.col("starts")
+    cut = F.slice("samples", (F.col("starts") + 1).cast("int"), size.cast("int"))
+    return regions.filter("starts >= 0 AND stops > starts").join(recordings.select("path", "samples"), "path").select("path", "starts", "stops", cut.alias("samples")).filter(F.size("samples") > 0)
+
+
+def frames_of(recordings: DataFrame, falling: bool = False, **how) -> DataFrame:
     """path, t and bins of every frame of recordings (path, samples)."""
+    make = falling_spectrogram if falling else spectrogram
 
     def expand(batches):
         for b in batches:
             for p, x in zip(b.column("path").to_pylist(), b.column("samples").to_pylist(), strict=True):
-                s = spectrogram(np.array(x or []), **how).astype(np.float32)
+                s = make(np.array(x or []), **how).astype(np.float32)
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array([p] * len(s)), pa.array(np.arange(len(s))), pa.FixedSizeListArray.from_arrays(pa.array(s.ravel()), s.shape[1]).cast(pa.list_(pa.float32()))], names=["path", "t", "bins"])
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions.sequences import digits_to_letters
-from seqloom.operators.prefix import running_total
+from seqloom.operators.prefix import running_total_in
 from seqloom.sources.recordings import joined, wav_bytes
-from seqloom.storage import store
 
 HISTORY = "query_string string, query_file string, date timestamp"
 
@@ -46,17 +45,36 @@ def latest_history(spark: SparkSession, path: str, n: int | None = None) -> Data
     return h.limit(n) if n is not None else h
 
 
-def cluster_recordings(members: DataFrame, least: int = 2, silent: str = "ECHO", gap: int = 1_000, longest: int = 1 << 24) -> DataFrame:
-    """name and wav of each cluster (label, cluster, start, samples) with ``least`` members; ``silent`` labels have none.
+def _in_parts(members: DataFrame, order: list[str], gap: int, longest: int) -> DataFrame:
+    """name and samples: the members of each name laid end to end, in numbered parts (``name``, ``name_part_1`` and so on; ``unmerged_1`` and so on) of about ``longest`` samples, so that no row grows with the table."""
+    sized = members.withColumn("size", F.size("samples") + gap)
+    total = running_total_in(sized, "name", order, "size", "before")
+    part = F.floor(F.col("before") / longest).cast("long")
+    numbered = F.when(F.col("name") == "unmerged", F.concat_ws("_", "name", part)).otherwise(F.concat_ws("_part_", "name", part))
+    named = total.withColumn("name", F.when(part > 0, numbered).otherwise(F.col("name")))
+    return joined(named.withColumn("order", F.struct(*order)), "name", "order", gap=gap).select("name", "samples")
 
-    Smaller clusters share ``unmerged``, and ``unmerged_1`` and so on where they
-    have more than ``longest`` samples together.
-    """
+
+def cluster_parts(members: DataFrame, least: int = 2, silent: str = "ECHO", gap: int = 1_000, longest: int = 1 << 24) -> DataFrame:
+    """name and samples of each cluster (label, cluster, start, samples) with ``least`` members; smaller ones share ``unmerged``, ``silent`` labels have none."""
     sizes = members.groupBy("label", "cluster").agg(F.count("*").alias("n"))
     kept = members.join(sizes, ["label", "cluster"]).filter(F.col("label") != silent)
-    merged = kept.filter(F.col("n") >= least).withColumn("name", F.concat_ws("_", "label", F.col("cluster")))
-    rest = store(kept.filter(F.col("n") < least).withColumn("size", F.size("samples")), "unmerged")
-    part = F.floor(F.col("before") / longest).cast("long")
-    dealt = running_total(rest, ["label", "cluster", "start"], "size", "before").withColumn("name", F.when(part > 0, F.concat_ws("_", F.lit("unmerged"), part)).otherwise("unmerged"))
-    laid = joined(merged.unionByName(dealt.select(*merged.columns)), "name", "start", gap=gap)
-    return laid.select("name", wav_bytes(F.col("samples")).alias("wav"))
+    name = F.when(F.col("n") >= least, F.concat_ws("_", "label", F.col("cluster"))).otherwise("unmerged")
+    return _in_parts(kept.withColumn("name", name), ["start", "label", "cluster"], gap, longest)
+
+
+def cluster_recordings(members: DataFrame, least: int = 2, silent: str = "ECHO", gap: int = 1_000, longest: int = 1 << 24) -> DataFrame:
+    """:func:`cluster_parts` as WAV files: name and wav."""
+    return cluster_parts(members, least, silent, gap, longest).select("name", wav_bytes(F.col("samples")).alias("wav"))
+
+
+def label_recordings(members: DataFrame, silent: str = "NOISE", longest: int = 1 << 24) -> DataFrame:
+    """name and samples of each label and cluster (label, cluster, truth, start, samples), end to end.
+
+    Members whose truth is another label go into ``label_truth`` too, so that what was
+    taken for a label can be heard apart. ``silent`` labels have none.
+    """
+    kept = members.filter(F.col("label") != silent)
+    own = kept.withColumn("name", F.concat_ws("_", "label", F.col("cluster")))
+    wrong = kept.filter(F.col("truth") != F.col("label")).withColumn("name", F.concat_ws("_", "label", "truth"))
+    return _in_parts(own.unionByName(wrong), ["start"], 0, longest)
