@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as fs
-from seqloom.operators import labels, windows
+from seqloom.operators import labels, tokens, windows
 from seqloom.plans import query
 from seqloom.plans.files import _SAMPLES, _name, _recorded
 from seqloom.plans.sequences import _GRAPH, _graph
 from seqloom.plans.views import FRAMES, SERIES, TOKENS, frames, series, table
 from seqloom.plans.views import tokens as token_view
-from seqloom.sources import recordings, texts
+from seqloom.sources import recordings, texts, versions
 from seqloom.storage import scratch_path
-from seqloom.streaming import ingest
+from seqloom.streaming import ingest, queue
 
 R = 6
 #: Samples of a region, and frames of a window of its spectrogram.
@@ -183,3 +184,49 @@ def stream_windows(spark, sf):
     counted = ingest.event_windows(events, "6 hours", "3 hours", late="400 days")  # events lie in no order, so none is late
     counted.writeStream.outputMode("complete").foreachBatch(lambda d, _: d.write.mode("overwrite").parquet(target)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).select(F.unix_seconds("window.start").alias("start"), "event_type", "n")
+
+
+@query("queue_decoded", f"WITH {TOKENS} SELECT rec, start, stop, cid AS id, CAST(rec % 3 AS BIGINT) AS batch, CAST(CASE WHEN rec % 3 = 0 THEN 0 ELSE 2 END AS BIGINT) AS indexed FROM tokens")
+def queue_decoded(spark, sf):
+    """Recordings enqueued in three sets, the first and third with a rebuild behind them, decoded by a worker that dies once: each token once, with the batch of its set and of the rebuild that first held it."""
+    todo, target, index, state = (scratch_path(spark, n) for n in ("queue", "decoded", "indexed", "stream"))
+    f = frames(spark, sf).select("rec", "t", "cid", "cls")
+    for part in range(3):
+        queue.enqueue(spark, todo, f.filter(F.col("rec") % 3 == part).select(F.col("rec").alias("item")).distinct(), reindex=part != 1)
+    died = []
+
+    def work(items, number):
+        decoded = tokens.run_tokens(f.join(items.select(F.col("item").cast("long").alias("rec")), "rec")).select("rec", "start", "stop", F.col("cid").alias("id"))
+        decoded.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if number == 1 and not died:
+            died.append(number)
+            raise RuntimeError("the worker dies behind its data")
+
+    def reindex(number):
+        spark.read.parquet(f"{target}/batch=*").select("rec").distinct().write.mode("overwrite").parquet(f"{index}/version={number}")
+
+    with contextlib.suppress(Exception):  # the death above
+        queue.drain(spark, todo, state, work, reindex).awaitTermination()
+    queue.drain(spark, todo, state, work, reindex).awaitTermination()
+    first = spark.read.option("basePath", index).parquet(f"{index}/version=*").groupBy("rec").agg(F.min("version").cast("long").alias("indexed"))
+    return spark.read.option("basePath", target).parquet(f"{target}/batch=*").withColumn("batch", F.col("batch").cast("long")).join(first, "rec")
+
+
+@query(
+    "versioned_annotations",
+    f"WITH {TOKENS}, v AS (SELECT rec, start, stop, cls FROM tokens WHERE NOT (rec % 2 = 0 AND cid = 1) UNION ALL SELECT rec, start, stop, 'new' FROM tokens WHERE rec % 2 = 0 AND cid = 1 AND start % 2 = 0) SELECT rec, start, stop, cls, (SELECT count(*) FROM tokens) AS before, true AS refused FROM v",
+)
+def versioned_annotations(spark, sf):
+    """Annotations renamed and deleted in a second version, read beside the first, which stays; a writer that began with the first is refused."""
+    v = versions.Versions(spark, scratch_path(spark, "annotations"))
+    one = v.commit(token_view(spark, sf).select("rec", "start", "stop", "cls", "cid"), 0)
+    old = v.read(one)
+    changed = (F.col("rec") % 2 == 0) & (F.col("cid") == 1)
+    renamed = old.filter(changed & (F.col("start") % 2 == 0)).withColumn("cls", F.lit("new"))
+    v.commit(old.filter(~changed).unionByName(renamed), one)
+    try:
+        v.commit(old.limit(0), one)
+        refused = False
+    except versions.Conflict:
+        refused = True
+    return v.read().select("rec", "start", "stop", "cls", F.lit(v.read(one).count()).cast("long").alias("before"), F.lit(refused).alias("refused"))
