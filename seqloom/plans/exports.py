@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as fs
 from seqloom.operators import labels, tokens, windows
+from seqloom.operators.neighbour_graph import neighbour_graph
 from seqloom.plans import query
 from seqloom.plans.files import _SAMPLES, _name, _recorded
 from seqloom.plans.sequences import _GRAPH, _graph
-from seqloom.plans.views import FRAMES, SERIES, TOKENS, frames, series, table
+from seqloom.plans.views import QUERIES, SERIES, TOKENS, frames, series, table
 from seqloom.plans.views import tokens as token_view
 from seqloom.sources import recordings, texts, versions
 from seqloom.storage import scratch_path
@@ -230,3 +231,11 @@ def versioned_annotations(spark, sf):
     except versions.Conflict:
         refused = True
     return v.read().select("rec", "start", "stop", "cls", F.lit(v.read(one).count()).cast("long").alias("before"), F.lit(refused).alias("refused"))
+
+
+@query("cosine_graph")
+def cosine_graph(spark, sf):
+    """The ten nearest series of each query by cosine, from the neighbour graph of all series; approximate."""
+    s = series(spark, sf)
+    near = neighbour_graph(s, "ts_id", "ts").filter(F.col("id") % QUERIES == 0)
+    return near.select(F.col("id").alias("q"), F.posexplode(F.slice("near", 1, 10)).alias("rank", "n")).select("q", F.col("n.id").alias("s"), F.round(1 - F.col("n.far"), R).alias("cos"), (F.col("rank") + 1).cast("long").alias("rank"))
