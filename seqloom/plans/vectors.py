@@ -268,18 +268,24 @@ SELECT t, f, round(s, 6) AS s FROM w WHERE row >= 3 AND row < n - 3 AND f >= 3 A
 )
 def interest_points(spark, sf):
     """Cells above all neighbours within three frames or channels and above the mean of the quieter direction."""
-    s = store(series(spark, sf), "series")
-    ranked = running_total(s.withColumn("one", F.lit(1)), ["ts_id"], "one", "row").drop("one")
-    # stretches of frames, each with the three frames before and behind it
+    s = series(spark, sf).select("ts_id", "ts")
+    ids = store(s.select("ts_id", F.lit(1).alias("one")), "ids")
+    ranked = s.join(running_total(ids, ["ts_id"], "one", "row").select("ts_id", "row"), "ts_id")
+    # stretches of frames, each with the three frames before and behind it; frames stay whole, so that they are dealt once
     stretch = lambda r: F.floor(r / STRETCH).cast("long")
     dealt = ranked.withColumn("part", F.explode(F.array_distinct(F.array(*[stretch(F.col("row") + k) for k in (-3, 0, 3)]))))
-    c = dealt.select("part", "row", F.col("ts_id").alias("t"), F.posexplode("ts").alias("f", "s"))
-    along_t, along_f = Window.partitionBy("part", "f").orderBy("t"), Window.partitionBy("part", "t").orderBy("f")
-    peak = lambda w: F.greatest(F.max("s").over(w.rowsBetween(-3, -1)), F.max("s").over(w.rowsBetween(1, 2)))
-    near = lambda w: F.sum("s").over(w.rowsBetween(-3, 2)) - F.col("s")
-    inside = F.lag("s", 3).over(along_t).isNotNull() & F.lead("s", 3).over(along_t).isNotNull() & (F.col("f") >= 3) & (F.col("f") < 61) & (stretch(F.col("row")) == F.col("part"))
-    marked = c.select("t", F.col("f").cast("long").alias("f"), "s", inside.alias("inside"), peak(along_t).alias("max_t"), peak(along_f).alias("max_f"), F.least(near(along_t), near(along_f)).alias("low"))
-    return marked.filter("inside AND s > max_t AND s > max_f AND s > low / 6 + 0.05").select("t", "f", F.round("s", R).alias("s"))
+    w = Window.partitionBy("part").orderBy("row")
+    around = dealt.select("part", "row", F.col("ts_id").alias("t"), "ts", *[F.lag("ts", k).over(w).alias(f"before{k}") for k in (1, 2, 3)], *[F.lead("ts", k).over(w).alias(f"after{k}") for k in (1, 2, 3)])
+    inside = around.filter((stretch(F.col("row")) == F.col("part")) & F.col("before3").isNotNull() & F.col("after3").isNotNull())
+
+    def cell(f):
+        s, along_t = F.get("ts", f), [F.get(c, f) for c in ("before3", "before2", "before1", "after1", "after2")]
+        along_f = [F.get("ts", f + k) for k in (-3, -2, -1, 1, 2)]
+        low = F.least(sum(along_t[1:], along_t[0]), sum(along_f[1:], along_f[0]))
+        return F.when((s > F.greatest(*along_t, *along_f)) & (s > low / 6 + 0.05), F.struct(f.cast("long").alias("f"), s.alias("s")))
+
+    found = inside.select("t", F.explode(F.filter(F.transform(F.sequence(F.lit(3), F.lit(60)), cell), lambda x: x.isNotNull())).alias("x"))
+    return found.select("t", "x.f", F.round("x.s", R).alias("s"))
 
 
 @query("label_counts", f"WITH {SERIES} SELECT label, CAST(count(*) AS BIGINT) AS n FROM series GROUP BY label")
