@@ -24,6 +24,8 @@ def candidates(queries: DataFrame, corpus: DataFrame, n: int = 2, include_tail:
 
 #: Pairs whose distances are computed at once.
 PAIRS = 1 << 15
+#: Kinds of symbols whose numbers bound a distance.
+BAG = 64
 
 
 def _gram_numbers(symbols: pa.Array, codes: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -50,11 +52,61 @@ def _sharing(x: pa.Array, y: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(has[0] @ has[1].T > 0) if len(both) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def bag_bounds(x: pa.Array, y: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of pairs of rows: what either bag of symbols has beyond the other, over the product of lengths.
+
+    Symbols beyond BAG kinds share places by their number, which only lowers the bound.
+    """
+    n, m = (pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (x, y))
+    fx, fy = x.flatten(), y.flatten()
+    codes = pa.concat_arrays([fx, fy]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) % BAG
+    bags = [np.zeros((len(size), BAG), np.int32) for size in (n, m)]
+    for bag, size, mine in ((bags[0], n, codes[: len(fx)]), (bags[1], m, codes[len(fx) :])):
+        np.add.at(bag, (np.repeat(np.arange(len(size)), size), mine), 1)
+    used = np.flatnonzero(bags[0].any(0) & bags[1].any(0))
+    common = np.zeros(len(i), np.int64)
+    for c in used:
+        common += np.minimum(bags[0][i, c], bags[1][j, c])
+    return (np.maximum(n[i], m[j]) - common) / np.maximum(n[i] * m[j], 1)
+
+
+def k_nearest(x: pa.Array, y: pa.Array, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the pairs among which are each row i's ``k`` nearest rows j, with all that tie with the last.
+
+    Pairs come in the order of their bound, in waves that grow fourfold; those
+    whose bound is beyond the k-th distance found so far are never computed.
+    """
+    bound = bag_bounds(x, y, i, j)
+    order = np.lexsort((bound, i))
+    i_of = i[order]
+    place = np.arange(len(order)) - np.searchsorted(i_of, i_of)
+    dist = np.full(len(order), np.nan)
+    reach = np.full(len(x), np.inf)
+    done, lo, hi = np.zeros(len(order), bool), 0, k
+    while True:
+        wave = np.flatnonzero((place >= lo) & (place < hi) & (bound[order] <= reach[i_of]))
+        for at in range(0, len(wave), PAIRS):
+            some = order[wave[at : at + PAIRS]]
+            dist[wave[at : at + PAIRS]] = edit_distances(x.take(pa.array(i[some])), y.take(pa.array(j[some])))
+        done[wave] = True
+        if not (place >= hi).any():
+            break
+        known = np.flatnonzero(done)
+        by = known[np.lexsort((dist[known], i_of[known]))]
+        nth = np.arange(len(by)) - np.searchsorted(i_of[by], i_of[by])
+        last = by[nth == k - 1]
+        reach[i_of[last]] = np.nan_to_num(dist[last], nan=np.inf)
+        lo, hi = hi, hi * 4
+    known = np.flatnonzero(done)
+    return order[known], dist[known]
+
+
 def searched(queries: DataFrame, corpus: DataFrame, n: int = 2, k: int | None = None, elsewhere: bool = False, distance: bool = True) -> DataFrame:
     """q, s and dist of pairs that share an n-gram, for n-grams so few that keys of :func:`candidates` are hot.
 
     Every query meets every row, in blocks; with ``k`` a block hands on a query's k
-    nearest only (of equal distances the larger id first), and with ``elsewhere``
+    nearest only (of equal distances the larger id first), and computes no distance
+    whose lower bound is beyond them; and with ``elsewhere``
     pairs that overlap inside one encounter are left out first. Both tables hold
     seq_id and symbols, encounter, start and stop if needed; ids must be distinct.
     """
@@ -67,8 +119,12 @@ def searched(queries: DataFrame, corpus: DataFrame, n: int = 2, k: int | None =
             (ea, eb), (a0, b0), (a1, b1) = of("encounter"), of("start"), of("stop")
             keep = ~((ea == eb) & (np.maximum(a0, b0) <= np.minimum(a1, b1)))
             i, j = i[keep], j[keep]
-        dist = np.full(len(i), np.nan)
-        for at in range(0, len(i) if distance else 0, PAIRS):
+        if k is not None and distance:
+            some, dist = k_nearest(x, y, i, j, k)
+            i, j = i[some], j[some]
+        else:
+            dist = np.full(len(i), np.nan)
+        for at in range(0, len(i) if distance and k is None else 0, PAIRS):
             dist[at : at + PAIRS] = edit_distances(x.take(pa.array(i[at : at + PAIRS])), y.take(pa.array(j[at : at + PAIRS])))
         q, s = a["seq_id"].to_numpy()[i], b["seq_id"].to_numpy()[j]
         if k is not None:

@@ -10,6 +10,7 @@ from seqloom.operators import labels, search, tokens, windows
 from seqloom.plans import oracle_sql, query
 from seqloom.plans.views import FRAMES, GRAMS, SEQUENCES, TOKENS, event_sequences, frames, queries_of, table
 from seqloom.plans.views import tokens as token_view
+from seqloom.storage import store
 
 R = 6  # places to which doubles are rounded
 
@@ -187,7 +188,7 @@ _APART = "NOT (xe = ye AND greatest(x0, y0) <= least(x1, y1))"
 
 
 def _corpus(spark, sf):
-    s = event_sequences(spark, sf)
+    s = store(event_sequences(spark, sf), "sequences")  # counted, dealt and joined, so read several times
     return queries_of(s, "seq_id"), s
 
 
