@@ -14,13 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.operators.prefix import running_total
+from seqloom.llm.groups import attach
+from seqloom.operators.prefix import running_total, running_total_in
 from seqloom.storage import store
 
 #: The weights of sources in order of name, repeating.
 WEIGHTS = (1, 2, 3)
 #: No source's target and no document's copies go beyond so many times its size.
 MOST_COPIES = 3
+#: A sample that misses its words by more than this part of its source's target is mended further down the order.
+NEAR = 0.01
+#: A null source is a key of its own.
+KEY = ["_no_source", "_source"]
 
 
 def words_in(text: Column) -> Column:
@@ -59,10 +64,18 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at MOST_COPIES. Whole copies are certain, the fraction that is left is the
     document's inclusion probability in the sample of fixed size.
 
-    Documents are taken whole, so a source's words differ from its target by half
-    a document at most; its last document goes in if that comes closer. The order
-    depends on the id and the seed alone, so reruns agree; rows that share an id
-    and a size are interchangeable. A null or empty text has size 0 and is taken
+    Documents are taken whole: the sample ends with the document that brings its
+    words closest. Where that misses by more than NEAR of the target, because a long
+    document lies at the end of a small source's sample, the sample ends before it and
+    goes on down the order with documents of half the missing words at most, and then
+    with the first one that ends within NEAR, else with the one that ends closest; a
+    sample of most of its source does the same, from the other end, with what it omits.
+    So long documents at the end of a small source's sample are taken less often than
+    stated; samples whose documents are short beside the target aren't touched. Where
+    no document is left that helps, the miss stays.
+
+    The order depends on the id and the seed alone, so reruns agree; rows that share
+    an id and a size are interchangeable. A null or empty text has size 0 and is taken
     as often as the whole copies say, which adds no word. A null source is a
     source of its own, the last; a null or negative weight counts as 0. ``row_col``,
     a distinct number of each row, is handed on and orders rows that tie. Other
@@ -71,27 +84,65 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = [row_col] if row_col else []
     unit = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    sizes = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), unit.alias("_u"), weight.alias("_w"), *row), "sizes")
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_weighted"))
-    of = targets(sums.select("source", "source_size"), weights).withColumnRenamed("source", "_s")
-    of = store(sums.select("source", "_weighted").join(of, F.col("source").eqNullSafe(F.col("_s"))).select("source", "source_size", "_weighted", "target"), "targets")
-    # one row a source; joined by hash like any table
-    rows = sizes.join(of, sizes["source"].eqNullSafe(of["source"])).drop(of["source"])
+    keys = [F.col(source_col).isNull().alias("_no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source")]
+    sizes = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *keys, words_in(F.col(text_col)).alias("size"), unit.alias("_u"), weight.alias("_w"), *row), "sizes")
+    sums = store(sizes.groupBy("source", *KEY).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_weighted"), F.count("*").alias("_rows")), "sources")
+    n = sums.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    of = targets(sums.select("source", "source_size"), weights).select(F.col("source").alias("_s"), "target")
+    # where a source starts in the running total over all sources
+    start = F.coalesce(F.sum("source_size").over(Window.orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of = store(sums.withColumn("_start", start).join(of, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source"), "targets")
+    rows = attach(sizes, of, KEY, "_rows", n, "inner")
     expected = F.when(F.col("_weighted") > 0, F.least(F.col("target") * F.col("_w") / F.col("_weighted"), F.lit(float(MOST_COPIES)))).otherwise(F.lit(0.0))
     rows = rows.withColumn("expected", expected).withColumn("_certain", F.floor(F.col("expected") + 1e-12).cast("long"))
     rows = rows.withColumn("_chance", F.greatest(F.col("expected") - F.col("_certain"), F.lit(0.0)))
     odds = F.when(F.col("_chance") > 1e-12, F.col("_chance") / (1 - F.col("_chance"))).otherwise(F.lit(1e-12))
-    rows = store(rows.select("doc_id", "source", "size", "source_size", "target", "expected", "_certain", "_chance", ((F.col("_u") / (1 - F.col("_u"))) / odds).alias("_rank"), *row), "ranked")
+    rows = rows.select("doc_id", "source", *KEY, "size", "source_size", "target", "expected", "_certain", "_chance", "_start", ((F.col("_u") / (1 - F.col("_u"))) / odds).alias("_rank"), *row)
+    rows = store(rows, "ranked")
     # the words that the sample of each source is to have
-    rest = rows.groupBy(F.col("source").alias("_of")).agg(F.sum(F.col("_chance") * F.col("size")).alias("_rest"))
-    ranked = running_total(rows, ["source", "_rank", "doc_id", "size", *row], "size", "_before")
-    # the running total spans all sources; a source starts where those before it end
-    start = of.select(F.col("source").alias("_s"), F.coalesce(F.sum("source_size").over(Window.orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    start = start.join(rest, F.col("_s").eqNullSafe(F.col("_of"))).drop("_of")
-    ranked = ranked.join(start, F.col("source").eqNullSafe(F.col("_s")))
-    sampled = (F.col("size") > 0) & (F.col("_chance") > 1e-12) & (F.col("_before") - F.col("_start") + F.col("size") / 2.0 <= F.col("_rest")) & (F.col("_rest") > 1e-6)
-    copies = F.col("_certain") + sampled.cast("long")
-    return ranked.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "expected", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *row)
+    rest = rows.groupBy(*KEY).agg(F.sum(F.col("_chance") * F.col("size")).alias("_rest"), F.count("*").alias("_rows"))
+    ranked = attach(running_total(rows, ["source", "_rank", "doc_id", "size", *row], "size", "_before"), store(rest, "rests"), KEY, "_rows", n, "inner")
+    before, can = F.col("_before") - F.col("_start"), (F.col("size") > 0) & (F.col("_chance") > 1e-12) & (F.col("_rest") > 1e-6)
+    ranked = ranked.withColumn("_can", can).withColumn("_fits", can & (before + F.col("size") <= F.col("_rest"))).withColumn("_in", can & (before + F.col("size") / 2.0 <= F.col("_rest"))).withColumn("_beyond", can & (before >= F.col("_rest")))
+    drawn = _mended(store(ranked.withColumn("_at", F.monotonically_increasing_id()), "drawn"), n)
+    copies = F.col("_certain") + F.col("_in").cast("long")
+    return drawn.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "expected", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *row)
+
+
+def _mended(drawn: DataFrame, n: int) -> DataFrame:
+    """Change ``_in`` of the last documents of samples that miss by more than NEAR of the target.
+
+    A sample of more than half of its source's words is mended by what it leaves
+    out, from the other end of the order. What is read again are the documents of
+    such sources alone, which are those whose targets are short beside a document.
+    """
+    words = lambda taken: F.sum(F.when(F.col(taken), F.col("size")).otherwise(0))
+    heads = drawn.groupBy(*KEY).agg(words("_in").alias("_got"), words("_fits").alias("_fit"), words("_beyond").alias("_past"), words("_can").alias("_all"), F.first("_rest").alias("_of"), F.first("target").alias("_goal"), F.count("*").alias("_rows"))
+    far = heads.filter(F.abs(F.col("_got") - F.col("_of")) > NEAR * F.col("_goal"))
+    out = F.col("_of") > F.col("_all") / 2
+    gap = F.when(out, F.col("_all") - F.col("_of") - F.col("_past")).otherwise(F.col("_of") - F.col("_fit"))
+    far = store(far.select(*KEY, out.alias("_out"), gap.alias("_gap"), (NEAR * F.col("_goal")).alias("_near"), "_rows"), "far")
+    if far.isEmpty():
+        return drawn
+    # _member: in the sample, or in what it leaves out
+    further = attach(drawn.filter("_can"), far.withColumnRenamed("_rows", "_far_rows"), KEY, "_far_rows", n, "inner").filter(F.when(F.col("_out"), ~F.col("_beyond")).otherwise(~F.col("_fits")))
+    along, member = F.when(F.col("_out"), -F.col("_rank")).otherwise(F.col("_rank")), F.col("_in") != F.col("_out")
+    further = store(further.select("_at", "source", *KEY, along.alias("_rank"), "doc_id", "size", member.alias("_member"), "_gap", "_near"), "further")
+    order = ["_rank", "doc_id", "size", "_at"]
+    short = running_total_in(further.filter(F.col("size") <= F.col("_gap") / 2), "source", order, "size", "_sofar")
+    short = store(short.filter(F.col("_sofar") + F.col("size") <= F.col("_gap")).select("_at", *KEY, "size", "_member"), "short")
+    left = far.join(short.groupBy(*KEY).agg(F.sum("size").alias("_filled")), KEY, "left")
+    left = left.select(*KEY, "_rows", (F.col("_gap") - F.coalesce("_filled", F.lit(0))).alias("_left"))
+    last = attach(further.join(short.select("_at"), "_at", "left_anti"), left, KEY, "_rows", n, "inner")
+    # the document that ends the sample: the first within NEAR, else the closest
+    miss = F.abs(F.col("size") - F.col("_left"))
+    last = last.filter((miss < F.col("_left")) & (F.col("_left") > F.col("_near")))
+    last = last.groupBy(*KEY).agg(F.min(F.struct(F.when(miss > F.col("_near"), miss).otherwise(-1.0).alias("miss"), *order, "_member")).alias("end"))
+    added = store(short.select("_at", "_member").unionByName(last.select("end._at", "end._member")), "added")
+    # what was a member and isn't added goes, what is added and wasn't one comes
+    gone = further.filter("_member").select("_at").join(added.select("_at"), "_at", "left_anti")
+    flips = store(gone.unionByName(added.filter("NOT _member").select("_at")).withColumn("_flip", F.lit(True)), "flips")
+    return drawn.join(flips, "_at", "left").withColumn("_in", F.col("_in") != F.coalesce("_flip", F.lit(False)))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
