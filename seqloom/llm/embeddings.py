@@ -288,8 +288,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         comps = connected_components(found.filter("vec <> root"), "vec", "root")
     nodes = classes.select("times", "least", "vec").join(links, "vec", "left").join(comps, F.col("vec") == F.col("node"), "left")
     nodes = store(nodes.select("vec", "least", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "vec").alias("of")), "nodes")
-    smallest = nodes.groupBy("of").agg(F.min("least").alias("component"))
-    named = classes.select("vec", "times", "embedding").join(nodes.join(smallest, "of").select("vec", "n_links", "component"), "vec").drop("vec")
+    smallest = store(nodes.groupBy("of").agg(F.min("least").alias("component"), F.count("*").alias("_nodes")), "components")
+    named = classes.select("vec", "times", "embedding").join(attach(nodes, smallest, "of", "_nodes", n, "inner").select("vec", "n_links", "component"), "vec").drop("vec")
     # rows without a usable vector have no class; each is alone
     alone = known.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     # the hash comes first, so that sorting seldom compares whole vectors
