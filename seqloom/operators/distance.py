@@ -108,6 +108,59 @@ def warped_distances(x, y, dim: int = 1, squared: bool = True, band: float = 0.1
     return out
 
 
+def _side_bounds(a, n, c, m, i, j, back: int, ahead: int, squared: bool) -> np.ndarray:
+    """Least cost of the inner places of a row's series, each against the box of what it may meet: places from ``back`` before it to ``ahead`` behind it."""
+    rows, cols, dim = int(n[i].max()), c.shape[1], a.shape[2]
+    out = np.zeros(len(i))
+    inside = np.arange(cols)[None, :, None] < m[:, None, None]
+    least = max(1, CELLS // max(1, rows * dim))
+    some = np.unique(j)
+    for at in range(0, len(some), least):
+        part = some[at : at + least]
+        low, high = np.where(inside[part], c[part], np.inf), np.where(inside[part], c[part], -np.inf)
+        box = [np.stack([f(v[:, max(0, p - back) : max(1, p + ahead + 1)], axis=1) for p in range(rows)], 1) for f, v in ((np.min, low), (np.max, high))]
+        mine = np.flatnonzero((j >= part[0]) & (j <= part[-1]))
+        for lo in range(0, len(mine), least):
+            pair = mine[lo : lo + least]
+            of = np.searchsorted(part, j[pair])
+            x = a[i[pair], :rows]
+            place = np.arange(rows)
+            inner = (place > 0) & (place < n[i[pair], None] - 1)
+            beyond = np.where(inner[:, :, None], np.maximum(np.maximum(box[0][of] - x, x - box[1][of]), 0), 0)
+            cost = (beyond * beyond).sum(2)
+            out[pair] = (cost if squared else np.sqrt(cost)).sum(1)
+    return out
+
+
+def warp_bounds(x: pa.Array, y: pa.Array, i: np.ndarray, j: np.ndarray, dim: int = 1, squared: bool = True, band: float = 0.1) -> np.ndarray:
+    """A lower bound of :func:`warped_distances` of pairs of rows, for any ``gap`` that isn't negative.
+
+    A path meets every place of either series inside the band, so a place costs at
+    least its distance from the box around what it may meet; the first and the last
+    places meet each other. The larger of both sides' sums. Pairs with an empty
+    series have the bound 0.
+    """
+    a, n = _matrix(x, x.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), 0.0, dim)
+    c, m = _matrix(y, y.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), 0.0, dim)
+    out = np.zeros(len(i))
+    full = np.flatnonzero((n[i] > 0) & (m[j] > 0))
+    if not len(full):
+        return out
+    width = np.full(len(full), max(a.shape[1], c.shape[1])) if squared else _band(n[i[full]], m[j[full]], band)
+    for w in np.unique(width).tolist():
+        at = full[width == w]
+        ia, jc = i[at], j[at]
+        sides = (_side_bounds(a, n, c, m, ia, jc, w, w - 1, squared), _side_bounds(c, m, a, n, jc, ia, w - 1, w, squared))
+        ends = []
+        for p, q in ((0 * ia, 0 * jc), (n[ia] - 1, m[jc] - 1)):
+            d = a[ia, p] - c[jc, q]
+            d = (d * d).sum(1)
+            ends.append(d if squared else np.sqrt(d))
+        whole = np.maximum(*sides) + ends[0] + np.where((n[ia] > 1) | (m[jc] > 1), ends[1], 0)
+        out[at] = whole if squared else whole / (n[ia] * m[jc])
+    return out
+
+
 def edit_distance(x: Column, y: Column, band: float = 0.1) -> Column:
     """:func:`edit_distances` of two columns of symbol arrays."""
 

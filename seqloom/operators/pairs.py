@@ -11,8 +11,10 @@ from pyspark.sql.types import StructType
 
 from seqloom.operators.prefix import rank_in
 
-#: Queries that meet a row in one block, and rows that meet a query in one slice.
-PER_BLOCK, PER_SLICE = 256, 4_096
+#: Queries that meet a row in one block of an equi-join.
+PER_BLOCK = 256
+#: Queries and rows that meet as whole tables: n * m / 4,096 rows of either side are moved.
+PER_TABLE = 4_096
 
 
 def against(queries: DataFrame, corpus: DataFrame, key: str, length: str | None = None, within: int = 5, per_block: int = PER_BLOCK) -> DataFrame:
@@ -41,13 +43,19 @@ def against(queries: DataFrame, corpus: DataFrame, key: str, length: str | None
     return out.filter(F.abs(F.col(f"q_{length}") - F.col(f"s_{length}")) < within) if length else out
 
 
-def in_blocks(queries: DataFrame, corpus: DataFrame, key: str, meet, schema: str, per_block: int = PER_BLOCK, per_slice: int = PER_SLICE) -> DataFrame:
+def pieces(table: pa.Table, rows: int):
+    """The table in parts of ``rows`` rows at most, so that what a part makes with a slice is bounded."""
+    return (table.slice(at, rows) for at in range(0, table.num_rows, rows))
+
+
+def in_blocks(queries: DataFrame, corpus: DataFrame, key: str, meet, schema: str, per_block: int = PER_TABLE, per_slice: int = PER_TABLE) -> DataFrame:
     """What ``meet`` makes of two Arrow tables with rows, for every block of queries with every slice of rows: as :func:`against`, but whole blocks at once.
 
-    Blocks and slices hold about ``per_block`` and ``per_slice`` rows, whatever the size of the tables.
+    Blocks and slices hold about ``per_block`` and ``per_slice`` rows, whatever the
+    size of the tables; ``meet`` takes the queries in :func:`pieces` where the product of both would be too much.
     """
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks, slices = max(1, -(-queries.count() // per_block)), max(parts, -(-corpus.count() // per_slice))
+    blocks, slices = max(1, -(-queries.count() // per_block)), max(2 * parts, -(-corpus.count() // per_slice))
     dealt = lambda df, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     q, s = dealt(queries, "_block", blocks, "_slice", slices), dealt(corpus, "_slice", slices, "_block", blocks)
     nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
@@ -81,12 +89,15 @@ def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, key: str, vector: s
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        near = unit(a) @ unit(b).T
-        near[a[key].to_numpy()[:, None] == b[key].to_numpy()] = -np.inf
-        last = np.partition(near, max(0, near.shape[1] - k), 1)[:, max(0, near.shape[1] - k)]
-        i, j = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
-        sides = (("q", a.take(pa.array(i)), columns[0]), ("s", b.take(pa.array(j)), columns[1]))
-        return pa.table({f"{side}_{c}": t[c] for side, t, names in sides for c in names})
+        rows, found = unit(b), []
+        for piece in pieces(a, PER_BLOCK):
+            near = unit(piece) @ rows.T
+            near[piece[key].to_numpy()[:, None] == b[key].to_numpy()] = -np.inf
+            last = np.partition(near, max(0, near.shape[1] - k), 1)[:, max(0, near.shape[1] - k)]
+            i, j = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
+            sides = (("q", piece.take(pa.array(i)), columns[0]), ("s", b.take(pa.array(j)), columns[1]))
+            found.append(pa.table({f"{side}_{c}": t[c] for side, t, names in sides for c in names}))
+        return pa.concat_tables(found)
 
     fields = ", ".join(f"{side}_{f.name} {f.dataType.simpleString()}" for side, df in (("q", queries), ("s", corpus)) for f in df.schema)
     return in_blocks(queries, corpus, key, best, fields)

@@ -69,6 +69,21 @@ def rank_in(df: DataFrame, part: str, order: list[str], out: str) -> DataFrame:
     return running_total_in(df.withColumn("_sl_one", F.lit(1)), part, order, "_sl_one", out).drop("_sl_one")
 
 
+def number_in(df: DataFrame, part: str, cell, order: list[str], out: str) -> DataFrame:
+    """As :func:`rank_in`, where a part's rows lie in cells (a day of a time, say) that follow each other in ``order`` and hold few rows each.
+
+    Rows are ordered inside cells; of a whole part only the cells' counts are. So
+    nothing is stored, at the price of a guess about the cells.
+    """
+    named = df.withColumn("_sl_cell", cell)
+    counts = named.groupBy(F.col(part).alias("_sl_of"), F.col("_sl_cell").alias("_sl_at")).agg(F.count("*").alias("_sl_n"))
+    before = Window.partitionBy("_sl_of").orderBy("_sl_at").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_sl_of", "_sl_at", F.coalesce(F.sum("_sl_n").over(before), F.lit(0)).alias("_sl_first"))
+    placed = named.withColumn("_sl_row", F.row_number().over(Window.partitionBy(part, "_sl_cell").orderBy(*order)) - 1)
+    joined = placed.join(first, F.col(part).eqNullSafe(F.col("_sl_of")) & F.col("_sl_cell").eqNullSafe(F.col("_sl_at")))
+    return joined.withColumn(out, F.col("_sl_first") + F.col("_sl_row")).drop("_sl_cell", "_sl_of", "_sl_at", "_sl_first", "_sl_row")
+
+
 #: Bits that each pass of :func:`values_at` adds to what is known of a value.
 DIGITS = (16, 12, 12, 12, 12)
 

@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from seqloom.functions.sequences import ngrams, overlaps
 from seqloom.operators.distance import edit_distance, edit_distances
-from seqloom.operators.pairs import in_blocks
+from seqloom.operators.pairs import PER_BLOCK, in_blocks
 from seqloom.operators.prefix import at_ranks, running_total
+from seqloom.operators.refine import PAIRS, best, nearest_bounded
 from seqloom.storage import store
 
 
@@ -22,8 +23,8 @@ def candidates(queries: DataFrame, corpus: DataFrame, n: int = 2, include_tail:
     return grams(queries, "q").join(grams(corpus, "s"), "gram").select("q", "s").distinct()
 
 
-#: Pairs whose distances are computed at once.
-PAIRS = 1 << 15
+#: n-grams of queries whose posting lists are bitmaps at once.
+ENTRIES = 1 << 13
 #: Kinds of symbols whose numbers bound a distance.
 BAG = 64
 
@@ -37,19 +38,66 @@ def _gram_numbers(symbols: pa.Array, codes: np.ndarray, n: int) -> tuple[np.ndar
     return row, [codes[at + j] for j in range(n)]
 
 
-def _sharing(x: pa.Array, y: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two columns of symbol arrays that share an n-gram."""
-    fx, fy = x.flatten(), y.flatten()
-    codes = pa.concat_arrays([fx, fy]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    (qr, qg), (sr, sg) = _gram_numbers(x, codes[: len(fx)], n), _gram_numbers(y, codes[len(fx) :], n)
-    _, of = np.unique(np.stack([np.concatenate([a, b]) for a, b in zip(qg, sg, strict=True)], 1), axis=0, return_inverse=True)
-    of = of.ravel()
-    both = np.intersect1d(of[: len(qr)], of[len(qr) :])
-    has = [np.zeros((len(c), len(both)), np.float32) for c in (x, y)]
-    for h, row, gram in ((has[0], qr, of[: len(qr)]), (has[1], sr, of[len(qr) :])):
+def _kinds(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the kind of each row, first row of each kind)."""
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(r, len(number)) for r in rows], np.int64)
+    return of, np.unique(of, return_index=True)[1]
+
+
+class Postings:
+    """Which rows of two columns of symbol arrays share an n-gram, from posting lists as bitmaps over the second column's kinds of rows.
+
+    Rows that have the same n-grams are one kind, and only kinds meet. Bitmaps are
+    made for a range of n-grams at a time, so memory doesn't grow with their number.
+    """
+
+    def __init__(self, x: pa.Array, y: pa.Array, n: int):
+        fx, fy = x.flatten(), y.flatten()
+        codes = pa.concat_arrays([fx, fy]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        (qr, qg), (sr, sg) = _gram_numbers(x, codes[: len(fx)], n), _gram_numbers(y, codes[len(fx) :], n)
+        _, of = np.unique(np.stack([np.concatenate([a, b]) for a, b in zip(qg, sg, strict=True)], 1), axis=0, return_inverse=True)
+        of = of.ravel()
+        both = np.intersect1d(of[: len(qr)], of[len(qr) :])
+        (self.kind, grams), (self.of, listed) = (self._side(len(c), row, gram, both) for c, row, gram in ((x, qr, of[: len(qr)]), (y, sr, of[len(qr) :])))
+        self.grams, first = grams, np.unique(self.of, return_index=True)[1]
+        self.kinds = len(first)
+        self.posted = self._listed([listed[r] for r in first])
+        self.touched = 0
+
+    @staticmethod
+    def _side(rows: int, row: np.ndarray, gram: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(kind of each row, sorted n-grams of each row that both columns have)."""
         known = np.isin(gram, both)
-        h[row[known], np.searchsorted(both, gram[known])] = 1
-    return np.nonzero(has[0] @ has[1].T > 0) if len(both) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        once = np.unique(np.stack([row[known], np.searchsorted(both, gram[known])], 1), axis=0) if known.any() else np.zeros((0, 2), np.int64)
+        grams = np.split(once[:, 1], np.searchsorted(once[:, 0], np.arange(1, rows)))
+        return _kinds([g.tobytes() for g in grams])[0], grams
+
+    @staticmethod
+    def _listed(grams: list[np.ndarray]) -> np.ndarray:
+        """(place in the list, n-gram) in the order of n-grams."""
+        out = np.stack([np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate([np.zeros(0, np.int64), *grams])], 1).astype(np.int64)
+        return out[np.argsort(out[:, 1], kind="stable")]
+
+    def pairs(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of the first column from ``lo`` to ``hi``, row of the second) that share an n-gram."""
+        mine, first = np.unique(self.kind[lo:hi], return_index=True)
+        entry, post = self._listed([self.grams[lo + r] for r in first]), self.posted
+        shares = np.zeros((len(mine), -(-self.kinds // 8)), np.uint8)
+        for at in range(0, len(entry), ENTRIES):
+            some = entry[at : at + ENTRIES]
+            used = np.unique(some[:, 1])
+            rows = post[np.searchsorted(post[:, 1], used[0]) : np.searchsorted(post[:, 1], used[-1], "right")]
+            rows = rows[np.isin(rows[:, 1], used)]
+            bits = np.zeros((len(used), self.kinds), bool)
+            bits[np.searchsorted(used, rows[:, 1]), rows[:, 0]] = True
+            some = some[np.argsort(some[:, 0], kind="stable")]
+            whose, start = np.unique(some[:, 0], return_index=True)
+            shares[whose] |= np.bitwise_or.reduceat(np.packbits(bits, axis=1)[np.searchsorted(used, some[:, 1])], start, axis=0)
+        meets = np.unpackbits(shares, axis=1, count=self.kinds).astype(bool)
+        self.touched += int(meets.sum())
+        i, j = np.nonzero(meets[np.searchsorted(mine, self.kind[lo:hi])][:, self.of])
+        return i + lo, j
 
 
 def bag_bounds(x: pa.Array, y: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -70,35 +118,30 @@ def bag_bounds(x: pa.Array, y: pa.Array, i: np.ndarray, j: np.ndarray) -> np.nda
     return (np.maximum(n[i], m[j]) - common) / np.maximum(n[i] * m[j], 1)
 
 
-def k_nearest(x: pa.Array, y: pa.Array, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, distances) of the pairs among which are each row i's ``k`` nearest rows j, with all that tie with the last.
+def _once(x: pa.Array, y: pa.Array):
+    """A function of places of pairs (i, j) that computes edit distances once for all pairs of like sequences."""
+    fx, fy = x.flatten(), y.flatten()
+    codes = pa.concat_arrays([fx, fy]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    kinds = []
+    for column, mine in ((x, codes[: len(fx)]), (y, codes[len(fx) :])):
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        kinds.append(_kinds([part.tobytes() for part in np.split(mine, np.cumsum(size)[:-1])]))
+    (xkind, xfirst), (ykind, yfirst) = kinds
 
-    Pairs come in the order of their bound, in waves that grow fourfold; those
-    whose bound is beyond the k-th distance found so far are never computed.
-    """
-    bound = bag_bounds(x, y, i, j)
-    order = np.lexsort((bound, i))
-    i_of = i[order]
-    place = np.arange(len(order)) - np.searchsorted(i_of, i_of)
-    dist = np.full(len(order), np.nan)
-    reach = np.full(len(x), np.inf)
-    done, lo, hi = np.zeros(len(order), bool), 0, k
-    while True:
-        wave = np.flatnonzero((place >= lo) & (place < hi) & (bound[order] <= reach[i_of]))
-        for at in range(0, len(wave), PAIRS):
-            some = order[wave[at : at + PAIRS]]
-            dist[wave[at : at + PAIRS]] = edit_distances(x.take(pa.array(i[some])), y.take(pa.array(j[some])))
-        done[wave] = True
-        if not (place >= hi).any():
-            break
-        known = np.flatnonzero(done)
-        by = known[np.lexsort((dist[known], i_of[known]))]
-        nth = np.arange(len(by)) - np.searchsorted(i_of[by], i_of[by])
-        last = by[nth == k - 1]
-        reach[i_of[last]] = np.nan_to_num(dist[last], nan=np.inf)
-        lo, hi = hi, hi * 4
-    known = np.flatnonzero(done)
-    return order[known], dist[known]
+    def distances(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        pair, of = np.unique(xkind[i] * len(yfirst) + ykind[j], return_inverse=True)
+        a, b = np.divmod(pair, len(yfirst))
+        return edit_distances(x.take(pa.array(xfirst[a])), y.take(pa.array(yfirst[b])))[of]
+
+    return distances
+
+
+def k_nearest(x: pa.Array, y: pa.Array, i: np.ndarray, j: np.ndarray, k: int, distances=None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the pairs among which are each row i's ``k`` nearest rows j, with all that tie with the last; see :func:`nearest_bounded`."""
+    if not len(i):
+        return np.zeros(0, np.int64), np.zeros(0)
+    distances = distances or _once(x, y)
+    return nearest_bounded(i, bag_bounds(x, y, i, j), lambda at: distances(i[at], j[at]), k)
 
 
 def searched(queries: DataFrame, corpus: DataFrame, n: int = 2, k: int | None = None, elsewhere: bool = False, distance: bool = True) -> DataFrame:
@@ -113,25 +156,27 @@ def searched(queries: DataFrame, corpus: DataFrame, n: int = 2, k: int | None =
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = (t["symbols"].combine_chunks() for t in (a, b))
-        i, j = _sharing(x, y, n)
-        if elsewhere:
-            of = lambda c: (a[c].to_numpy()[i], b[c].to_numpy()[j])
-            (ea, eb), (a0, b0), (a1, b1) = of("encounter"), of("start"), of("stop")
-            keep = ~((ea == eb) & (np.maximum(a0, b0) <= np.minimum(a1, b1)))
-            i, j = i[keep], j[keep]
-        if k is not None and distance:
-            some, dist = k_nearest(x, y, i, j, k)
-            i, j = i[some], j[some]
-        else:
-            dist = np.full(len(i), np.nan)
-        for at in range(0, len(i) if distance and k is None else 0, PAIRS):
-            dist[at : at + PAIRS] = edit_distances(x.take(pa.array(i[at : at + PAIRS])), y.take(pa.array(j[at : at + PAIRS])))
-        q, s = a["seq_id"].to_numpy()[i], b["seq_id"].to_numpy()[j]
-        if k is not None:
-            order = np.lexsort((-s, dist, i))
-            rank = np.arange(len(order)) - np.searchsorted(i[order], i[order])
-            order = order[rank < k]
-            q, s, dist = q[order], s[order], dist[order]
+        postings, distances = Postings(x, y, n), _once(x, y)
+        found = []
+        for lo in range(0, a.num_rows, PER_BLOCK):
+            i, j = postings.pairs(lo, min(lo + PER_BLOCK, a.num_rows))
+            if elsewhere:
+                of = lambda c, i=i, j=j: (a[c].to_numpy()[i], b[c].to_numpy()[j])
+                (ea, eb), (a0, b0), (a1, b1) = of("encounter"), of("start"), of("stop")
+                keep = ~((ea == eb) & (np.maximum(a0, b0) <= np.minimum(a1, b1)))
+                i, j = i[keep], j[keep]
+            if k is not None and distance:
+                some, dist = k_nearest(x, y, i, j, k, distances)
+                i, j = i[some], j[some]
+            else:
+                dist = np.full(len(i), np.nan)
+            for at in range(0, len(i) if distance and k is None else 0, PAIRS):
+                dist[at : at + PAIRS] = distances(i[at : at + PAIRS], j[at : at + PAIRS])
+            if k is not None:
+                kept = best(i, dist, -b["seq_id"].to_numpy()[j], k)
+                i, j, dist = i[kept], j[kept], dist[kept]
+            found.append((a["seq_id"].to_numpy()[i], b["seq_id"].to_numpy()[j], dist))
+        q, s, dist = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"q": q, "s": s, "dist": pa.array(dist, from_pandas=True)})
 
     columns = ["seq_id", "symbols", *(["encounter", "start", "stop"] if elsewhere else [])]

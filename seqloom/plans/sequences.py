@@ -56,7 +56,7 @@ pairs AS (SELECT prev, lead(prev) OVER (PARTITION BY rec ORDER BY start) AS next
 
 @query("transition_counts", f"{_FOLDED} SELECT prev, next, CAST(count(*) AS BIGINT) AS n FROM pairs WHERE next IS NOT NULL GROUP BY prev, next")
 def transition_counts(spark, sf):
-    return tokens.transitions(token_view(spark, sf))
+    return tokens.transitions(token_view(spark, sf), number="run")
 
 
 _SYMBOLS = ["_", "Bb", "Da", "Ea", "Ua"]
@@ -64,7 +64,7 @@ _SYMBOLS = ["_", "Bb", "Da", "Ea", "Ua"]
 
 @query("transition_pivot", f"{_FOLDED} SELECT prev, " + ", ".join(f"CAST(count(*) FILTER (next = '{s}') AS BIGINT) AS \"{'sil' if s == '_' else s}\"" for s in _SYMBOLS) + " FROM pairs WHERE next IS NOT NULL GROUP BY prev")
 def transition_pivot(spark, sf):
-    wide = tokens.transitions(token_view(spark, sf)).groupBy("prev").pivot("next", _SYMBOLS).agg(F.sum("n"))
+    wide = tokens.transitions(token_view(spark, sf), number="run").groupBy("prev").pivot("next", _SYMBOLS).agg(F.sum("n"))
     return wide.select("prev", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).cast("long").alias("sil" if s == "_" else s) for s in _SYMBOLS])
 
 
@@ -137,10 +137,10 @@ SELECT rec, gram, start, stop FROM w WHERE stop IS NOT NULL""",
 )
 def positional_ngrams(spark, sf):
     """Trigrams with the start of their first token and the stop of their last."""
-    p = Window.partitionBy("rec").orderBy("start")
-    t = token_view(spark, sf)
-    out = t.select("rec", F.concat_ws("|", "cls", F.lead("cls").over(p), F.lead("cls", 2).over(p)).alias("gram"), "start", F.lead("stop", 2).over(p).alias("stop"))
-    return out.filter(F.col("stop").isNotNull())
+    p = Window.partitionBy("rec", "_stretch").orderBy("run")
+    t = windows.with_halo(token_view(spark, sf), "run", 0, 2)
+    out = t.select("rec", F.concat_ws("|", "cls", F.lead("cls").over(p), F.lead("cls", 2).over(p)).alias("gram"), "start", F.lead("stop", 2).over(p).alias("stop"), "_stretch", "_own")
+    return windows.own(out).filter(F.col("stop").isNotNull())
 
 
 @query(
@@ -159,7 +159,7 @@ def moving_average_valid(spark, sf):
 
 @query("box_smooth_same", f"WITH {FRAMES} SELECT rec, t, round(sum(value) OVER (PARTITION BY rec ORDER BY t ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) / 8, 6) AS smooth FROM frames")
 def box_smooth_same(spark, sf):
-    return frames(spark, sf).select("rec", "t", F.round(windows.smooth_same(F.col("value"), "rec", ["t"], windows.box(8)), R).alias("smooth"))
+    return windows.smoothed(frames(spark, sf), "value", "rec", "t", windows.box(8), "smooth").select("rec", "t", F.round("smooth", R).alias("smooth"))
 
 
 _TRIANGLE = " + ".join(f"coalesce({'lag' if 4 - j >= 0 else 'lead'}(value, {abs(4 - j)}) OVER w, 0) * {w!r}" for j, w in enumerate(windows.triangle(8)))
@@ -167,7 +167,7 @@ _TRIANGLE = " + ".join(f"coalesce({'lag' if 4 - j >= 0 else 'lead'}(value, {abs(
 
 @query("triangular_smooth", f"WITH {FRAMES} SELECT rec, t, round({_TRIANGLE}, 8) AS smooth FROM frames WINDOW w AS (PARTITION BY rec ORDER BY t)")
 def triangular_smooth(spark, sf):
-    return frames(spark, sf).select("rec", "t", F.round(windows.smooth_same(F.col("value"), "rec", ["t"], windows.triangle(8)), 8).alias("smooth"))
+    return windows.smoothed(frames(spark, sf), "value", "rec", "t", windows.triangle(8), "smooth").select("rec", "t", F.round("smooth", 8).alias("smooth"))
 
 
 #: Candidates share two symbols in a row; the trigram_* queries take three, which loses candidates but spares comparisons.

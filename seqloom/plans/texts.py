@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import sequences as fs
-from seqloom.operators import statistics
+from seqloom.operators import statistics, windows
 from seqloom.operators.prefix import consecutive
 from seqloom.plans import query
 from seqloom.plans.views import GRAMS, TOKENS, frames, queries_of, table
@@ -36,13 +36,14 @@ _TOP = f"{_PAIRED}, differing AS (SELECT kx, ky FROM chi WHERE {_TAIL} < 0.001),
 def placed_grams(spark, sf):
     """rec, label (first character of the recording's name), level, pos and the n-grams of 1 to LONGEST symbols that begin there, over frames (level 1) and tokens (2).
 
-    Symbols come from the rows ahead, so that no recording is gathered as an array;
-    its last symbol is in no n-gram.
+    Symbols come from the rows ahead, stretch by stretch, so that no recording is
+    gathered as an array or ordered whole; its last symbol is in no n-gram.
     """
 
     def level(df, order, n):
-        w = Window.partitionBy("rec").orderBy(order)
-        rows = df.select("rec", F.col(order).alias("pos"), "cls", *[F.lead("cls", k).over(w).alias(f"_{k}") for k in range(1, LONGEST + 1)])
+        w = Window.partitionBy("rec", "_stretch").orderBy(order)
+        dealt = windows.with_halo(df.select("rec", order, "cls"), order, 0, LONGEST)
+        rows = windows.own(dealt.select("rec", order, F.col(order).alias("pos"), "cls", "_stretch", "_own", *[F.lead("cls", k).over(w).alias(f"_{k}") for k in range(1, LONGEST + 1)]))
         grams = [F.when(F.col(f"_{k}").isNotNull(), F.concat_ws(" ", "cls", *[f"_{j}" for j in range(1, k)])) for k in range(1, LONGEST + 1)]
         return rows.select("rec", F.lit(n).alias("level"), "pos", F.array_compact(F.array(*grams)).alias("grams"))
 

@@ -11,6 +11,7 @@ from seqloom.operators.chain import nearest_chain
 from seqloom.operators.distance import dtw, edit_distances, warped_distances
 from seqloom.operators.pairs import against, in_interval, nearest_by_cosine, triplets
 from seqloom.operators.prefix import percentiles, running_total
+from seqloom.operators.refine import nearest_series
 from seqloom.operators.search import suppressed
 from seqloom.operators.series_index import SeriesIndex, votes
 from seqloom.operators.statistics import confusion, dampener_sweep
@@ -131,9 +132,12 @@ def accuracy(spark, sf):
 
 @query("dtw_baseline", f"{_QS}, d AS (SELECT q, s, ql, sl, {_dtw_sql('xs', 'ys', True)} AS dist FROM p WHERE s % 50 <> 0), nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, s) AS rank FROM d) WHERE rank <= 3){_VOTE} SELECT q, truth, predicted FROM w")
 def dtw_baseline(spark, sf):
-    """Labels of the held-out series by their three nearest others under time warping."""
-    d = _ids(_pairs(spark, sf).filter("s_ts_id % 50 <> 0"), F.col("q_label").alias("ql"), F.col("s_label").alias("sl"), dtw(F.col("q_ts"), F.col("s_ts"), DIM, squared=False).alias("dist"))
-    return _majority(d.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "s"))).filter("rank <= 3"))
+    """Labels of the held-out series by their three nearest others under time warping, of which blocks compute only those within reach of a bound."""
+    s = series(spark, sf)
+    near = nearest_series(queries_of(s, "ts_id"), s.filter("ts_id % 50 <> 0"), "ts_id", "ts", 3, DIM)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "s"))).filter("rank <= 3")
+    label = lambda key, name: s.select(F.col("ts_id").alias(key), F.col("label").alias(name))
+    return _majority(ranked.join(label("q", "ql"), "q").join(label("s", "sl"), "s"))
 
 
 @query(

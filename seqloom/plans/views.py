@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from seqloom.operators.prefix import number_in
 from seqloom.operators.tokens import run_tokens
 
 #: Frames that a silence may have to be short or of middle length; runs of events are short.
@@ -31,10 +31,9 @@ def _case(column, values: dict, kind: str):
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec (user), t (frame from 0), cid, cls, value."""
-    w = Window.partitionBy("rec").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "rec")
+    e = number_in(table(spark, sf_dir, "events").withColumnRenamed("user_id", "rec"), "rec", F.to_date("ts"), ["ts", "event_id"], "t")
     kind = F.col("event_type")
-    return e.select("rec", (F.row_number().over(w) - 1).cast("long").alias("t"), _case(kind, {k: v[0] for k, v in CLASSES.items()}, "long").alias("cid"), _case(kind, {k: v[1] for k, v in CLASSES.items()}, "string").alias("cls"), "value")
+    return e.select("rec", F.col("t").cast("long").alias("t"), _case(kind, {k: v[0] for k, v in CLASSES.items()}, "long").alias("cid"), _case(kind, {k: v[1] for k, v in CLASSES.items()}, "string").alias("cls"), "value")
 
 
 FRAMES = """frames AS (
