@@ -55,13 +55,15 @@ def in_blocks(queries: DataFrame, corpus: DataFrame, key: str, meet, schema: str
     size of the tables; ``meet`` takes the queries in :func:`pieces` where the product of both would be too much.
     """
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks, slices = max(1, -(-queries.count() // per_block)), max(2 * parts, -(-corpus.count() // per_slice))
+    blocks, slices = max(1, -(-queries.count() // per_block)), max(4 * parts, -(-corpus.count() // per_slice))
     dealt = lambda df, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     q, s = dealt(queries, "_block", blocks, "_slice", slices), dealt(corpus, "_slice", slices, "_block", blocks)
     nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
     # new names, since a query set made of the corpus has its attributes, and column pruning would take one side's for the other's
     s = s.select(*[F.col(c).alias(f"s_{c}") for c in s.columns])
+    # a pair of tables is little data and much work, so partitions must not be put together by size
+    q, s = q.repartition(parts, "_block", "_slice"), s.repartition(parts, "s__block", "s__slice")
 
     def both(a: pa.Table, b: pa.Table) -> pa.Table:
         return meet(a, b.rename_columns([c[2:] for c in b.column_names])) if a.num_rows and b.num_rows else nothing
