@@ -13,7 +13,9 @@ pass by exact Jaccard similarity on full sets.
 No list is expanded into all its pairs. First every class is compared with the
 smallest class of its lists only (a star). Lists whose members then lie in one
 component are done; in the others, classes of different components are compared
-block by block, and the largest component of a list never with itself.
+block by block, and the largest component of a list never with itself. What a
+comparison passes is confirmed in one task too, as its pairs can be as many as
+the square of a group's size: only links that join components leave it.
 """
 
 from __future__ import annotations
@@ -215,7 +217,10 @@ def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 def _cross(percent: int):
     def compare(table: pa.Table) -> pa.Table:
-        """One list, or two blocks of one: pairs of different components that pass the union sketch, each in the first list that it shares."""
+        """One list, or two blocks of one: the docs of pairs of different components that pass the union sketch, each with its partners in ``others``.
+
+        A pair passes in the first list that it shares, and stands with one of its docs.
+        """
         listed = [np.asarray(k, np.int64) for k in table["keys"].to_pylist()]
         keys = np.full((len(listed), max(map(len, listed))), np.iinfo(np.int64).max)
         for i, k in enumerate(listed):
@@ -234,7 +239,7 @@ def _cross(percent: int):
         by_column = np.argsort(column, kind="stable")
         row, column = row[by_column], column[by_column]
         width = int(column[-1]) + 1 if len(column) else 0
-        out_a, out_b = [], []
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(a), ROWS):
             some = a[lo : lo + ROWS]
             shared = np.zeros((len(some), len(z)), np.float32)
@@ -251,13 +256,46 @@ def _cross(percent: int):
             i, j = np.nonzero(ok)
             first = [np.where((keys[some[i[c]]][:, :, None] == keys[z[j[c]]][:, None, :]).any(2), keys[some[i[c]]], np.iinfo(np.int64).max).min(1) == table["key"][0].as_py() for c in (slice(k, k + PAIRS) for k in range(0, len(i), PAIRS))]
             i, j = (x[np.concatenate(first)] if first else x for x in (i, j))
-            out_a.append(doc[some[i]]), out_b.append(doc[z[j]])
+            out_a.append(some[i]), out_b.append(z[j])
         x, y = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        y = y[np.argsort(x, kind="stable")]
+        met = np.union1d(x, y)
+        ends = np.searchsorted(np.sort(x), np.append(met, len(doc))).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(ends), pa.array(doc[y]))
+        return pa.table({**{c: table[c].take(pa.array(met)) for c in ("key", "one", "two", "doc", "comp")}, "others": others})
 
     return compare
 
 
+def _confirm(percent: int):
+    def confirm(table: pa.Table) -> pa.Table:
+        """Links, on full sets, of what one comparison passed: of those between two components, however many, as few as join them."""
+        doc, comp = table["doc"].to_pylist(), table["comp"].to_pylist()
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["full"]]
+        place, above, out = {d: i for i, d in enumerate(doc)}, {}, []
+
+        def top(c: int) -> int:
+            while c in above:
+                above[c] = c = above.get(above[c], above[c])
+            return c
+
+        for i, others in enumerate(table["others"]):
+            for d in others.as_py():
+                j = place[d]
+                one, two = top(comp[i]), top(comp[j])
+                if one == two:
+                    continue
+                x, y = full[i], full[j]
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    above[one] = two
+                    out.append((min(doc[i], d), max(doc[i], d)))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return confirm
+
+
 def _dealt(members: DataFrame) -> DataFrame:
     """key, doc, comp, block, one and two: members (key, doc, comp) of lists of several components, once for each pair of blocks to be compared.
 
@@ -298,9 +336,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     members = stars.select("key", "doc").join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     members = store(members, "members")
     listed = sets.select("doc", "n", "sketch").join(members.groupBy("doc").agg(F.collect_list("key").alias("keys")), "doc")  # RETAINED keys at most
-    crossed = _dealt(members).join(listed, "doc").groupBy("key", "one", "two").applyInArrow(_cross(percent), "a long, b long")
-    with batches_of(docs.sparkSession, WIDE_ROWS):
-        more = store(verified(crossed), "cross-links")
+    crossed = _dealt(members).join(listed, "doc").groupBy("key", "one", "two").applyInArrow(_cross(percent), "key long, one int, two int, doc long, comp long, others array<long>")
+    # pairs stay inside their comparison: a row is a doc there, and its full set comes once for all its pairs
+    crossed = store(crossed, "crossed")
+    more = store(crossed.join(sets.select("doc", "full"), "doc").groupBy("key", "one", "two").applyInArrow(_confirm(percent), "a long, b long"), "cross-links")
+    remove(crossed)
     comps = store(connected_components(links.unionByName(more)), "components")
     # a component takes the smallest id of its classes; large ones are kept out of the shuffle
     named = comps.join(classes.select("node", "doc"), "node")
