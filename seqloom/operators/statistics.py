@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from seqloom.storage import store
 
 
+def ordered_sum(value: str, *order: str) -> Column:
+    """Aggregate: the sum of ``value`` taken in ``order``, for groups of few rows, so that like groups have like sums however rows are dealt. Nulls don't count."""
+    listed = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(*order, value))))
+    return F.aggregate(listed, F.lit(None).cast("double"), lambda total, x: F.coalesce(total, F.lit(0.0)) + x[value])
+
+
 def gram_counts(sequences: DataFrame, label: str, grams: Column) -> DataFrame:
     """label, gram, n."""
     return sequences.select(F.col(label).alias("label"), F.explode(grams).alias("gram")).groupBy("label", "gram").agg(F.count("*").alias("n"))
