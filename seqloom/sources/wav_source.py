@@ -18,6 +18,8 @@ from seqloom.sources.recordings import unpack_samples, wav_format
 
 #: Frames of one row, bytes of one split, and bytes in front of the samples that are looked through for the header at once.
 FRAMES, SPLIT, HEAD = 4_096, 1 << 25, 1 << 16
+#: Tasks that small splits are dealt to; more where they would have more than SPLIT bytes each.
+TASKS = 256
 SCHEMA = "path string, sample_rate int, bits int, channels int, frames long, start long, samples array<long>"
 
 
@@ -64,6 +66,16 @@ class Split(InputPartition):
         self.path, self.size, self.lo, self.hi = path, size, lo, hi
 
 
+@dataclass
+class Splits(InputPartition):
+    """Splits that one task reads."""
+
+    of: list[Split]
+
+    def __init__(self, of: list[Split]):
+        self.of = of
+
+
 class WavReader(DataSourceReader):
     """The driver lists files and their sizes; headers are read by the tasks."""
 
@@ -79,12 +91,16 @@ class WavReader(DataSourceReader):
         info = fs.get_file_info([root])[0]
         files = [info] if info.is_file else fs.get_file_info(pa_fs.FileSelector(root, recursive=True))
         named = [f for f in files if f.is_file and f.path.lower().endswith(".wav")]
-        return [Split(f.path, f.size, lo, min(lo + self.split, f.size)) for f in named for lo in range(0, max(f.size, 1), self.split)] or [Split("", 0, 0, 0)]
+        splits = [Split(f.path, f.size, lo, min(lo + self.split, f.size)) for f in named for lo in range(0, max(f.size, 1), self.split)]
+        each = max(1, -(-len(splits) // max(TASKS, sum(p.hi - p.lo for p in splits) // SPLIT)))  # else a folder of many short files is as many tasks
+        return [Splits(splits[i : i + each]) for i in range(0, len(splits), each)] or [Splits([])]
 
-    def read(self, part: Split) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+    def read(self, part: Splits) -> Iterator[pa.RecordBatch]:
         fs, _ = pa_fs.FileSystem.from_uri(self.root)
+        for split in part.of:
+            yield from self._rows(fs, split)
+
+    def _rows(self, fs: pa_fs.FileSystem, part: Split) -> Iterator[pa.RecordBatch]:
         with fs.open_input_file(part.path) as f:
             try:
                 h = read_header(f, part.size)
