@@ -37,7 +37,7 @@ RETAINED, MISS = 32, 1e-7
 #: Hashes in a sketch (their upper 32 bits). Sets that fit are compared exactly, others pass with a margin of 5.9 standard deviations or more.
 SKETCH, MARGIN = 384, 0.12
 #: Classes of a list that are compared with as many others in one task.
-BLOCK = 500
+BLOCK = 2_000
 #: Pairs with their sets that go to a worker at once.
 WIDE_ROWS = 500
 #: Rows and sketch values that a comparison holds as a matrix at once.
@@ -229,6 +229,10 @@ def _cross(percent: int):
         sketch = [np.frombuffer(s, np.uint32) for s in table["sketch"].to_pylist()]
         a, z = (np.flatnonzero(block == table[c][0].as_py()) for c in ("one", "two"))
         same = table["one"][0].as_py() == table["two"][0].as_py()
+        if same:  # the largest component, which may be among them, has nothing to compare in itself
+            found, times = np.unique(comp[a], return_counts=True)
+            bulk = comp == found[times.argmax()]
+            a = a[~bulk[a]]
         sizes = np.array([len(s) for s in sketch])
         ends = np.array([_end(s, k) for s, k in zip(sketch, n, strict=True)])
         value, column, count = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
@@ -252,7 +256,7 @@ def _cross(percent: int):
             upto_b = np.stack([np.searchsorted(sketch[j], ends[some], "right") for j in z], 1)
             ok = _may_link(percent, shared, upto_a, upto_b, n[some][:, None], n[z]) & (comp[some][:, None] != comp[z])
             if same:
-                ok &= doc[some][:, None] < doc[z]
+                ok &= bulk[z] | (doc[some][:, None] < doc[z])
             i, j = np.nonzero(ok)
             first = [np.where((keys[some[i[c]]][:, :, None] == keys[z[j[c]]][:, None, :]).any(2), keys[some[i[c]]], np.iinfo(np.int64).max).min(1) == table["key"][0].as_py() for c in (slice(k, k + PAIRS) for k in range(0, len(i), PAIRS))]
             i, j = (x[np.concatenate(first)] if first else x for x in (i, j))
@@ -301,16 +305,18 @@ def _dealt(members: DataFrame) -> DataFrame:
 
     The largest component of a list has blocks of its own (below 0) that meet the
     others' blocks only, so that a large group of copies and a few strangers in
-    its lists are as many comparisons as the product of both.
+    its lists are as many comparisons as the product of both. Where both are one
+    block, they are one comparison, and every member goes there once.
     """
     kinds = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     most = F.max(F.struct("n", "comp"))
     lists = kinds.groupBy("key").agg(most.alias("most"), F.sum("n").alias("size"), F.count("*").alias("kinds")).filter("kinds > 1 AND size > 2")
     lists = store(lists.select("key", "size", F.col("most.comp").alias("bulk"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("bulks"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("others")), "open-lists")
     met = attach(members, lists, "key", "size", members.count(), "inner")
-    of_bulk = F.col("comp") == F.col("bulk")
+    of_bulk = (F.col("comp") == F.col("bulk")) & ((F.col("bulks") > 1) | (F.col("others") > 1))
+    first = F.when(of_bulk | ((F.col("bulks") == 1) & (F.col("others") == 1)), F.lit(0)).otherwise(-F.col("bulks"))
     block = F.when(of_bulk, -1 - F.pmod(F.hash("doc"), F.col("bulks"))).otherwise(F.pmod(F.hash("doc"), F.col("others")))
-    met = met.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.when(of_bulk, F.lit(0)).otherwise(-F.col("bulks")), F.col("others") - 1)))
+    met = met.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(first, F.col("others") - 1)))
     return met.select("key", "doc", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
 
