@@ -57,20 +57,44 @@ def _meet(k: int):
             counts.append(np.full(hi - lo, m))
         if not own:
             return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))})
-        flat = pa.StructArray.from_arrays([pa.array(np.round(np.concatenate(far), 12)), pa.array(np.concatenate(other))], ["far", "id"])
+        flat = pa.StructArray.from_arrays([pa.array(np.round(np.concatenate(far), 12) + 0.0), pa.array(np.concatenate(other))], ["far", "id"])
         return pa.table({"id": np.concatenate(own), "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pa.int32()), flat)})
 
     return best
 
 
+def _nearest(k: int):
+    """The ``k`` nearest entries of each list, each id once with the least distance that it was found at; ties by id."""
+
+    def cut(batches):
+        for b in batches:
+            near = b.column("near")
+            entries, owner = near.flatten(), np.repeat(np.arange(b.num_rows), near.value_lengths().to_numpy(zero_copy_only=False))
+            far, other = (entries.field(f).to_numpy(zero_copy_only=False) for f in ("far", "id"))
+            order = np.lexsort((far, other, owner))
+            owner, far, other = owner[order], far[order], other[order]
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])])[: len(owner)]
+            owner, far, other = owner[new], far[new], other[new]
+            order = np.lexsort((other, far, owner))
+            owner, far, other = owner[order], far[order], other[order]
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            owner, far, other = (x[place < k] for x in (owner, far, other))
+            ends = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array(far), pa.array(other)], ["far", "id"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "near"])
+
+    return cut
+
+
 def _lists(members: DataFrame, n: int, k: int, before: DataFrame | None = None) -> DataFrame:
     """id and near: the k nearest of all that a vector met in its groups (g, id, x) and had before. Stored."""
     calls = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TOGETHER))
     met = members.withColumn("call", F.pmod(F.xxhash64("g"), F.lit(calls))).groupBy("call").applyInArrow(lambda t: _meet(k)(t.drop_columns(["call"])), _LISTS)
     met = met if before is None else met.unionByName(before)
-    # a vector is in few groups: its own, and those of its list and of as many that have it in theirs
-    near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
-    return store(met.groupBy("id").agg(near.alias("near")), "lists")
+    # a vector is in few groups: its own, and those of its list and of as many that have it in theirs; products of
+    # two vectors differ in their last places from group to group, so an entry is known by its id alone
+    one = met.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near")).mapInArrow(_nearest(k), _LISTS)
+    return store(one, "lists")
 
 
 def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = LIST, seed: int = 1) -> DataFrame:
