@@ -20,7 +20,7 @@ from seqloom.storage import remove, store
 #: Entries of a list, rounds at most, and the gain in mean similarity below which rounds end.
 LIST, ROUNDS, GAIN = 24, 10, 1e-3
 #: Sets of planes for the first lists; vectors of one group, and groups that one task call handles, about.
-PLANES, GROUP, TOGETHER = 4, 64, 32
+PLANES, GROUP, TOGETHER = 8, 1_024, 32
 _MEMBERS = "g string, id long, x array<double>"
 _LISTS = "id long, near array<struct<far: double, id: long>>"
 
@@ -36,11 +36,12 @@ def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _meet(k: int):
-    """The ``k`` nearest others of every member of every group."""
+    """The ``k`` nearest others of every member of every group, and none farther than what ends its list already (``worst``)."""
 
     def best(t: pa.Table) -> pa.Table:
         t = t.sort_by([("g", "ascending"), ("id", "ascending")]).combine_chunks()
         ids, x = t["id"].to_numpy(), t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        worst = t["worst"].to_numpy()
         g = t["g"].combine_chunks().dictionary_encode().indices.to_numpy()
         edges = np.flatnonzero(np.diff(g)) + 1
         own, far, other, counts = [], [], [], []
@@ -51,13 +52,15 @@ def _meet(k: int):
             np.fill_diagonal(d, np.inf)
             m = min(k, hi - lo - 1)
             at = np.argpartition(d, m - 1, 1)[:, :m]
+            found = np.round(np.take_along_axis(d, at, 1), 12) + 0.0
+            keep = found <= worst[lo:hi, None]
             own.append(ids[lo:hi])
-            far.append(np.take_along_axis(d, at, 1).ravel())
-            other.append(ids[lo:hi][at].ravel())
-            counts.append(np.full(hi - lo, m))
+            far.append(found[keep])
+            other.append(ids[lo:hi][at][keep])
+            counts.append(keep.sum(1))
         if not own:
             return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))})
-        flat = pa.StructArray.from_arrays([pa.array(np.round(np.concatenate(far), 12) + 0.0), pa.array(np.concatenate(other))], ["far", "id"])
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(far)), pa.array(np.concatenate(other))], ["far", "id"])
         return pa.table({"id": np.concatenate(own), "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pa.int32()), flat)})
 
     return best
@@ -87,7 +90,7 @@ def _nearest(k: int):
 
 
 def _lists(members: DataFrame, n: int, k: int, before: DataFrame | None = None) -> DataFrame:
-    """id and near: the k nearest of all that a vector met in its groups (g, id, x) and had before. Stored."""
+    """id and near: the k nearest of all that a vector met in its groups (g, id, x, worst) and had before. Stored."""
     calls = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TOGETHER))
     met = members.withColumn("call", F.pmod(F.xxhash64("g"), F.lit(calls))).groupBy("call").applyInArrow(lambda t: _meet(k)(t.drop_columns(["call"])), _LISTS)
     met = met if before is None else met.unionByName(before)
@@ -120,7 +123,7 @@ def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = LIST, se
     first = nodes.mapInArrow(sides, _MEMBERS) if n else nodes.select(F.lit("").alias("g"), "id", "x")
     sizes = first.groupBy("g").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("parts")).filter("parts > 1")  # fewer than PLANES * n / GROUP rows
     split = first.join(sizes, "g", "left").withColumn("g", F.when(F.col("parts").isNull(), F.col("g")).otherwise(F.concat_ws("/", "g", F.pmod(F.xxhash64("id"), F.col("parts"))))).drop("parts")
-    lists, last = _lists(split, n, k), None
+    lists, last = _lists(split.withColumn("worst", F.lit(float("inf"))), n, k), None
     for step in range(ROUNDS):
         now = lists.agg(F.avg(F.aggregate("near", F.lit(0.0), lambda a, e: a + e["far"]) / F.size("near"))).first()[0]
         if now is None or (last is not None and last - now <= GAIN * max(last, 1e-12)):
@@ -130,7 +133,9 @@ def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = LIST, se
         some = Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(step)), "a")
         back = edges.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= k).select(F.col("b").alias("g"), F.col("a").alias("id"))
         pairs = edges.select(F.col("a").alias("g"), F.col("b").alias("id")).unionByName(back).unionByName(lists.select(F.col("id").alias("g"), "id")).distinct()
-        members = pairs.join(nodes, "id").select(F.col("g").cast("string").alias("g"), "id", "x")
+        worst = F.when(F.size("near") < k, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["far"])
+        known = nodes.join(lists.select("id", worst.alias("worst")), "id", "left")
+        members = pairs.join(known, "id").select(F.col("g").cast("string").alias("g"), "id", "x", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
         new = _lists(members, n, k, lists)
         remove(lists)
         lists = new
