@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqloom.storage import store
 
@@ -54,6 +57,36 @@ def differing(pairs: DataFrame, below: float = 0.001) -> DataFrame:
     return chi_square(pairs).withColumn("p", p).filter(F.col("p") < below).select("kx", "ky")
 
 
+def _most(t: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows of each kx and ky, greatest ``_apart`` first, ties by gram."""
+    t = t.sort_by([("kx", "ascending"), ("ky", "ascending"), ("_apart", "descending"), ("gram", "ascending")]).combine_chunks()
+    kx, ky = (t[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("kx", "ky"))
+    begins = np.flatnonzero(np.concatenate([[True], (kx[1:] != kx[:-1]) | (ky[1:] != ky[:-1])])) if len(kx) else np.zeros(0, int)
+    place = np.arange(len(kx)) - np.repeat(begins, np.diff(np.append(begins, len(kx))))
+    return t.filter(pa.array(place < k))
+
+
+def most_differing(pairs: DataFrame, k: int) -> DataFrame:
+    """Add ``rank`` (from 1) to the ``k`` grams of each kx and ky whose frequencies differ most, compared to twelve places, ties by gram.
+
+    Tasks hold ``k`` rows a pair of labels while they read, and only these are
+    ordered: a sort of all grams ahead of a window takes memory as they grow.
+    """
+    apart = pairs.withColumn("_apart", F.round(F.abs(F.col("fx") - F.col("fy")), 12))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            kept = _most(t if kept is None else pa.concat_tables([kept, t]), k)
+        if kept is not None:
+            yield from kept.to_batches()
+
+    w = Window.partitionBy("kx", "ky").orderBy(F.desc("_apart"), "gram")
+    ranked = apart.mapInArrow(some, apart.schema).withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranked.filter(F.col("rank") <= k).drop("_apart")
+
+
 def chi_square_p(statistic: Column, freedom: Column) -> Column:
     """Upper tail of the chi-square distribution."""
 

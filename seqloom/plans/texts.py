@@ -62,9 +62,8 @@ def _frequencies(spark, sf):
 
 def _top(spark, sf, k=25):
     p = store(statistics.paired(_frequencies(spark, sf)), "paired")
-    w = Window.partitionBy("kx", "ky").orderBy(F.round(F.abs(F.col("fx") - F.col("fy")), 12).desc(), "gram")
     differ = F.broadcast(statistics.differing(p))  # pairs of labels
-    return p.join(differ, ["kx", "ky"]).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).withColumn("diff", F.col("fx") - F.col("fy"))
+    return statistics.most_differing(p.join(differ, ["kx", "ky"]), k).withColumn("diff", F.col("fx") - F.col("fy"))
 
 
 @query("ngram_counts", f"{_COUNTS} SELECT label, gram, CAST(n AS BIGINT) AS n FROM c")
