@@ -23,12 +23,12 @@ R = 6
 
 @query("sequence_files", f"WITH {TOKENS} SELECT 'rec-' || rec AS encounter, cls, start, stop, cid AS id FROM tokens")
 def sequence_files(spark, sf):
-    """Decoded sequences, a folder for each recording."""
+    """Decoded sequences, written with their recordings and read back."""
     path = scratch_path(spark, "sequences")
     t = token_view(spark, sf).withColumn("path", F.format_string("store/rec-%d.wav", "rec"))
     row = F.struct("cls", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("cid").cast("int").alias("id"))
     d = t.groupBy("path").agg(F.min("start").cast("int").alias("start"), F.max("stop").cast("int").alias("stop"), F.collect_list(row).alias("sequence"), F.array().cast("array<int>").alias("proba_ids"))
-    tables.write_sequences(d.repartition("path"), path)
+    tables.write_sequences(d, path)
     out = tables.read_sequences(spark, path).select(F.col("encounter_id").alias("encounter"), F.explode("sequence").alias("t"))
     return out.select("encounter", "t.cls", *[F.col(f"t.{c}").cast("long").alias(c) for c in ("start", "stop", "id")])
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from seqloom.operators.prefix import at_ranks
-from seqloom.storage import store
+from seqloom.storage import exists, store
 
 ANNOTATIONS = "offset long, annotation string, source_file string, source_start long, source_stop long"
 #: Samples of an annotated window.
@@ -102,13 +102,30 @@ SEQUENCE = T.StructType([
 ])
 
 
+#: Folders that decoded sequences are dealt over.
+FOLDERS = 256
+
+
 def write_sequences(df: DataFrame, path: str) -> None:
-    """Decoded sequences, one folder for each encounter (the file's stem); a run again replaces its encounters only."""
+    """Decoded sequences with their encounter (the file's stem), dealt over FOLDERS folders by it; a run again replaces its encounters only.
+
+    A folder for each encounter would cost a few files each, which take longer to
+    list and open than to read. A folder that a run meets is written anew with what it held
+    of other encounters, so runs into one path must follow each other.
+    """
+    spark = df.sparkSession
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    df.withColumn("encounter_id", stem).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("encounter_id").parquet(path)
+    new = df.select(*SEQUENCE.names).withColumn("encounter_id", stem).withColumn("folder", F.pmod(F.xxhash64("encounter_id"), F.lit(FOLDERS)).cast("int"))
+    if exists(spark, path):
+        new = store(new, "sequences")
+        mine = new.select(F.col("encounter_id").alias("_mine")).distinct()
+        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select("folder").distinct()), "folder", "left_semi")
+        kept = store(old.join(mine, F.col("encounter_id").eqNullSafe(F.col("_mine")), "left_anti"), "kept")
+        new = new.unionByName(kept)
+    new.repartition("folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """All decoded sequences but those of queries."""
     schema = T.StructType([*SEQUENCE.fields, T.StructField("encounter_id", T.StringType())])
-    return spark.read.schema(schema).parquet(path).filter(~F.col("encounter_id").startswith("query"))
+    return spark.read.schema(schema).parquet(path).select(*schema.names).filter(~F.col("encounter_id").startswith("query"))
